@@ -192,11 +192,11 @@ class LibraryWords:
         """Little-endian 32-bit ids of every text."""
         split = [self.pieces(t) for t in texts]
         heads = self.encode([s[0] for s in split])
-        missing = set().union(*(s[1:] for s in split)) - self.known.keys()
-        if len(self.known) + len(missing) > self.keep:
+        words = set().union(*(s[1:] for s in split))
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.keep:
             self.known.clear()
-            missing = set().union(*(s[1:] for s in split))
-        new = list(missing)
+            new = list(words)
         self.known.update(zip(new, self.encode([f" {p}" if self.spaced else p for p in new]), strict=True))
         out = []
         for text, head, pieces in zip(texts, heads, split, strict=True):
