@@ -53,7 +53,25 @@ def v5(spark, sf_dir):
     return library.attempt_history(derive(spark, sf_dir, "operations"), derive(spark, sf_dir, "attempts"))
 
 
-@query("V6_activate")
+ACTIVATE = f"""WITH RECURSIVE {cte('library_events')}, e AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq) AS n FROM library_events),
+s AS (
+  SELECT document_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, 0 AS revision, false AS retired, CAST(NULL AS VARCHAR) AS operation, -1 AS expected, CAST(NULL AS VARCHAR) AS attempt, CAST('' AS VARCHAR) AS outcome FROM e WHERE n = 1
+  UNION ALL
+  SELECT document_id, n, seq, revision + CAST(won OR ends AS INT), retired OR ends, CASE WHEN takes THEN new_operation ELSE operation END, CASE WHEN takes THEN new_expected ELSE expected END,
+    CASE WHEN takes OR again THEN new_attempt ELSE attempt END,
+    CASE WHEN takes THEN 'accepted' WHEN kind = 'accept' THEN CASE WHEN retired THEN 'document_unavailable' ELSE 'document_changed' END WHEN again THEN 'retried' WHEN kind = 'attempt' THEN 'retry_obsolete'
+      WHEN won THEN 'activated' WHEN kind = 'activate' THEN 'publication_conflict' WHEN ends THEN 'retired' ELSE 'unchanged' END
+  FROM (
+    SELECT s.document_id, e.n, e.seq, e.kind, s.revision, s.retired, s.operation, s.expected, s.attempt, e.operation AS new_operation, e.expected AS new_expected, e.attempt AS new_attempt,
+      e.kind = 'accept' AND NOT s.retired AND e.expected = s.revision AS takes, e.kind = 'attempt' AND e.operation IS NOT DISTINCT FROM s.operation AS again,
+      e.kind = 'activate' AND NOT s.retired AND e.operation IS NOT DISTINCT FROM s.operation AND s.expected = s.revision AND e.attempt IS NOT DISTINCT FROM s.attempt AS won, e.kind = 'retire' AND NOT s.retired AS ends
+    FROM s JOIN e ON e.document_id = s.document_id AND e.n = s.n + 1
+  )
+)
+SELECT document_id, seq, outcome, revision FROM s WHERE n > 0"""
+
+
+@query("V6_activate", ACTIVATE)
 def v6(spark, sf_dir):
     return library.activate(derive(spark, sf_dir, "library_events"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio.plans.corpus import scratch
 from folio.plans.derived import BASE, TEMPLATES, cte, derive
+from folio.plans.librarian import ACTIVATE
 from folio.plans.registry import query
 from folio.streaming import streams
 
@@ -57,11 +58,11 @@ def st1b(spark, sf_dir):
     return streams.progress_state(derive(spark, sf_dir, "progress"))
 
 
-@query("ST2_library_stream")
+@query("ST2_library_stream", ACTIVATE)
 def st2(spark, sf_dir):
     path = scratch(spark, "library")
     finished(streams.library_stream(streamed(spark, sf_dir, "library_events")), "append", appended(path))
-    return spark.read.schema(streams.OUTCOME).parquet(path)
+    return spark.read.schema(streams.OUTCOME).parquet(path).select("document_id", "seq", "outcome", "revision")
 
 
 USAGE = f"WITH {cte('calls')} SELECT run_id, count(*) AS calls, sum(k) AS tokens, round(sum(elapsed_ms), 2) AS elapsed_ms, count(*) > 60 AS breached FROM calls GROUP BY run_id"

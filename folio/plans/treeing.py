@@ -196,12 +196,39 @@ def t17(spark, sf_dir):
     return sized(spark, sf_dir).select("doc_id", "node", "chars", "n_pages", "leaf")
 
 
-@query("T18_merge_small")
+MERGED = "WITH RECURSIVE " + SIZED + """, back AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY node DESC) AS n FROM sized), steps AS (
+  SELECT doc_id, n, node, title, start, "end", depth, parent, origin, leaf, chars, CAST('' AS VARCHAR) AS merged, false AS joined FROM back WHERE n = 1
+  UNION ALL
+  SELECT b.doc_id, b.n, b.node, b.title, b.start, CASE WHEN j THEN greatest(b."end", l_end) ELSE b."end" END, b.depth, b.parent, b.origin, b.leaf,
+    CASE WHEN j THEN (SELECT sum(length(p.text)) FROM page_text p WHERE p.doc_id = b.doc_id AND p.page BETWEEN b.start AND greatest(b."end", l_end)) ELSE b.chars END,
+    CASE WHEN j THEN concat_ws(' | ', l_title, nullif(l_merged, '')) ELSE '' END, j
+  FROM (
+    SELECT b.*, s.title AS l_title, s."end" AS l_end, s.merged AS l_merged,
+      b.leaf AND s.leaf AND b.parent IS NOT DISTINCT FROM s.parent AND b.depth = s.depth AND s.chars < 500 AND s.chars + b.chars <= 5000 AND s.start <= b."end" + 1 AS j
+    FROM steps s JOIN back b ON b.doc_id = s.doc_id AND b.n = s.n + 1
+  ) b
+)
+SELECT doc_id, node, title, start, "end", depth, parent, origin, merged AS merged_titles FROM steps s WHERE NOT EXISTS (SELECT 1 FROM steps x WHERE x.doc_id = s.doc_id AND x.n = s.n + 1 AND x.joined)"""
+
+
+@query("T18_merge_small", MERGED)
 def t18(spark, sf_dir):
     return trees.merge_small(sized(spark, sf_dir))
 
 
-@query("T19_pack_windows")
+WINDOWS = "WITH RECURSIVE " + PAGES + """, j AS (
+  SELECT doc_id, page, length(concat('{"page":', CAST(page AS VARCHAR), ',"label":null,"text":', CAST(to_json(text) AS VARCHAR), '}')) AS size FROM page_text
+), w AS (
+  SELECT doc_id, page, 0 AS win, 1 AS n, size + 2 AS chars FROM j WHERE page = 1
+  UNION ALL
+  SELECT j.doc_id, j.page, CASE WHEN w.n >= 8 OR w.chars + j.size + 1 > 8000 THEN w.win + 1 ELSE w.win END, CASE WHEN w.n >= 8 OR w.chars + j.size + 1 > 8000 THEN 1 ELSE w.n + 1 END,
+    CASE WHEN w.n >= 8 OR w.chars + j.size + 1 > 8000 THEN j.size + 2 ELSE w.chars + j.size + 1 END
+  FROM w JOIN j ON j.doc_id = w.doc_id AND j.page = w.page + 1
+), large AS (SELECT doc_id FROM j GROUP BY doc_id HAVING max(size) + 12 > 10000)
+SELECT doc_id, page, CASE WHEN doc_id NOT IN (SELECT doc_id FROM large) THEN win END AS "window", CASE WHEN doc_id IN (SELECT doc_id FROM large) THEN 'page_context_too_large' END AS failure FROM w"""
+
+
+@query("T19_pack_windows", WINDOWS)
 def t19(spark, sf_dir):
     labelled = pages(spark, sf_dir).withColumn("label", F.lit(None).cast("string"))
     return trees.pack_windows(labelled.select("doc_id", "page", "label", "text"), 12000)
@@ -248,7 +275,19 @@ def t22(spark, sf_dir):
     return trees.own_text(tree(spark, sf_dir), pages(spark, sf_dir))
 
 
-@query("T23_rollup_batches")
+BATCHES = "WITH RECURSIVE " + SIZED + """, parts AS (
+  SELECT doc_id, parent, node AS pos, least(chars, 1600) AS size, row_number() OVER (PARTITION BY doc_id, parent ORDER BY node) AS k FROM sized WHERE parent IS NOT NULL
+), b AS (
+  SELECT doc_id, parent, pos, k, 0 AS batch, 1 AS n, size AS chars FROM parts WHERE k = 1
+  UNION ALL
+  SELECT p.doc_id, p.parent, p.pos, p.k, CASE WHEN b.n >= 12 OR b.chars + p.size >= 4000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.n >= 12 OR b.chars + p.size >= 4000 THEN 1 ELSE b.n + 1 END,
+    CASE WHEN b.n >= 12 OR b.chars + p.size >= 4000 THEN p.size ELSE b.chars + p.size END
+  FROM b JOIN parts p ON p.doc_id = b.doc_id AND p.parent = b.parent AND p.k = b.k + 1
+)
+SELECT doc_id, parent, pos, batch FROM b"""
+
+
+@query("T23_rollup_batches", BATCHES)
 def t23(spark, sf_dir):
     nodes = sized(spark, sf_dir).where("parent is not null")
     parts = nodes.select("doc_id", "parent", F.col("node").alias("pos"), F.least(F.col("chars"), F.lit(1600)).alias("size"))
