@@ -108,7 +108,7 @@ class RankTable:
 class CountingWords:
     """Token counts of texts: texts fall apart at single spaces, each new piece is split and merged once a batch."""
 
-    def __init__(self, spec: str, keep: int = 1_000_000):
+    def __init__(self, spec: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.table = RankTable(spec)
@@ -173,7 +173,7 @@ class LibraryWords:
     The pieces' ids joined are the text's ids: no token and no rule of either kind reaches across such a space.
     """
 
-    def __init__(self, spec: str, spaced: bool, keep: int = 1_000_000):
+    def __init__(self, spec: str, spaced: bool, keep: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
