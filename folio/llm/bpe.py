@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,19 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+def worker_state(key: tuple, make):
+    """One object a Python worker: workers outlive tasks, so what one task learned serves the next.
+
+    Only the object asked for last is held, so stages that follow each other don't add up.
+    """
+    held = vars(sys.modules.setdefault("folio_worker_state", types.ModuleType("folio_worker_state")))
+    if held.get("key") != key:
+        held["key"] = held["state"] = None
+        held["state"] = make()
+        held["key"] = key
+    return held["state"]
+
+
 class RankTable:
     """Merge ranks of a byte-level vocabulary as sorted arrays."""
 

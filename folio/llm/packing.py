@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from folio.llm.bpe import LibraryWords, slices
+from folio.llm.bpe import LibraryWords, slices, worker_state
 from folio.llm.common import session_of, stored
 from folio.llm.token_counts import tokenizer_spec
 
@@ -142,7 +142,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
     def run(batches):
         from pyspark import TaskContext
 
-        words, part = LibraryWords(spec.value, spaced=False), TaskContext.get().partitionId()
+        words, part = worker_state(("plain", vocabulary), lambda: LibraryWords(spec.value, spaced=False)), TaskContext.get().partitionId()
         ranks = [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folio.llm.bpe import CountingWords, slices
+from folio.llm.bpe import CountingWords, slices, worker_state
 from folio.llm.common import session_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -31,7 +31,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     spec = session_of(docs).sparkContext.broadcast(tokenizer_spec(path))
 
     def run(batches):
-        words = CountingWords(spec.value)
+        words = worker_state(("count", path), lambda: CountingWords(spec.value))
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 counts = words.batch(texts)

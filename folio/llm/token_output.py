@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from folio.llm.bpe import LibraryWords, slices
+from folio.llm.bpe import LibraryWords, slices, worker_state
 from folio.llm.common import session_of
 from folio.llm.token_counts import tokenizer_spec
 
@@ -58,7 +58,7 @@ def write_tokens(
         import zstandard
         from pyspark import TaskContext
 
-        words, part = LibraryWords(spec.value, spaced=True), TaskContext.get().partitionId()
+        words, part = worker_state(("spaced", vocabulary), lambda: LibraryWords(spec.value, spaced=True)), TaskContext.get().partitionId()
         squeeze = zstandard.ZstdCompressor(level=level)
         end = np.array([end_id], "<u4").tobytes()
         held: list[tuple[int | None, bytes]] = []
