@@ -188,7 +188,7 @@ class LibraryWords:
     The pieces' ids joined are the text's ids: no token and no rule of either kind reaches across such a space.
     """
 
-    def __init__(self, spec: str, spaced: bool, keep: int = 400_000):
+    def __init__(self, spec: str, spaced: bool, keep: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
