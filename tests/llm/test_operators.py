@@ -170,6 +170,16 @@ def test_join_finds_dense_groups_that_straddle_the_threshold(spark):
     assert sorted(map(tuple, found), key=key) == brute_components(rows, 4, 85)
 
 
+def test_components_of_a_shuffled_chain(spark):
+    n, order = 1000, list(range(1, 1001))
+    random.Random(8).shuffle(order)
+    chain = list(zip(order, order[1:]))
+    links = spark.createDataFrame([*chain, chain[0], (2001, 2000), (2001, 2002), (3000, 3000)], "a long, b long")
+    found = {r.node: r.label for r in ngram_join.components(links).collect()}
+    assert found == {i: 1 for i in range(1, n + 1)} | {2000: 2000, 2001: 2000, 2002: 2000, 3000: 3000}
+    assert ngram_join.components(links.where("a < 0")).count() == 0
+
+
 def test_no_link_is_lost_by_signatures():
     rng, signer, tried = random.Random(6), ngram_join.Signer(85), 0
     for _ in range(600):
