@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import json
+import tempfile
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -11,6 +15,44 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 TERMINAL = ("ready", "failed", "unsupported", "interrupted")
 
 
+def text(value) -> str | None:
+    """A string of a pandas column, or None."""
+    return None if pd.isna(value) else value
+
+
+def in_order(batches: Iterator[pd.DataFrame], by: str = "seq", run_rows: int = 200_000) -> Iterator:
+    """Rows of a group's chunks in order. Up to ``run_rows`` are sorted in memory; more become sorted runs in temporary files, which are merged."""
+    held, rows, runs = [], 0, []
+
+    def sorted_run() -> pd.DataFrame:
+        return pd.concat(held).sort_values(by, kind="stable")
+
+    def rows_of(file) -> Iterator:
+        file.seek(0)
+        while True:
+            try:
+                yield from pd.read_pickle(file, compression=None).itertuples()
+            except EOFError:
+                return
+
+    try:
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                rows += len(batch)
+            if rows >= run_rows:
+                run, file = sorted_run(), tempfile.TemporaryFile()
+                runs.append(file)
+                for at in range(0, len(run), 5000):
+                    run.iloc[at : at + 5000].to_pickle(file, compression=None)
+                held, rows = [], 0
+        last = [sorted_run().itertuples()] if held else []
+        yield from heapq.merge(*map(rows_of, runs), *last, key=attrgetter(by))
+    finally:
+        for file in runs:
+            file.close()
+
+
 def progress_state(events: DataFrame) -> DataFrame:
     """ST1 on a batch: current status, stage and reason of each operation (operation, seq, attempt, status, stage, reason); a status of null opens the attempt.
 
@@ -28,53 +70,85 @@ PROGRESS = "operation string, attempt string, status string, stage string, reaso
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
-    """ST1 on a stream: the same in update mode; state is one row an operation, whatever the number of its events."""
+    """ST1 on a stream: the same in update mode, in whatever order events come.
+
+    State of an operation: its newest opening and the newest status of each attempt that has said something since, at the most. A status may come
+    before the opening of its attempt, so those of other attempts are kept until an opening is newer.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempt, status, stage, reason = state.get if state.exists else (None, None, None, None)
+        attempt, since, kept = state.get if state.exists else (None, None, "[]")
+        said = {own: tuple(rest) for own, *rest in json.loads(kept)}
         for batch in batches:
-            for e in batch.sort_values("seq").itertuples():
-                if e.status is None:
-                    attempt, status, stage, reason = e.attempt, "queued", "accepted", None
-                elif e.attempt == attempt:
-                    status, stage, reason = e.status, e.stage, e.reason
-        state.update((attempt, status, stage, reason))
+            batch = batch.sort_values("seq")
+            opens = batch["status"].isna()
+            if opens.any():
+                newest = batch[opens].iloc[-1]
+                if since is None or newest["seq"] > since:
+                    attempt, since = text(newest["attempt"]), int(newest["seq"])
+            for e in batch[~opens].drop_duplicates("attempt", keep="last").itertuples():
+                own, seq = text(e.attempt), int(e.seq)
+                if own is not None and (own not in said or seq > said[own][0]):
+                    said[own] = seq, text(e.status), text(e.stage), text(e.reason)
+            said = {own: s for own, s in said.items() if since is None or s[0] > since}
+        state.update((attempt, since, json.dumps([[own, *s] for own, s in said.items()])))
         if attempt is not None:
+            _, status, stage, reason = said.get(attempt, (None, "queued", "accepted", None))
             yield pd.DataFrame({"operation": [key[0]], "attempt": [attempt], "status": [status], "stage": [stage], "reason": [reason]})
 
-    kept = "attempt string, status string, stage string, reason string"
-    return events.groupBy("operation").applyInPandasWithState(step, PROGRESS, kept, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("operation").applyInPandasWithState(step, PROGRESS, "attempt string, since long, said string", "update", GroupStateTimeout.NoTimeout)
 
 
 OUTCOME = "document_id string, seq long, outcome string, revision int"
 
 
+class LibraryState:
+    """A document's revision, latest operation and attempt, and the outcome of each event by the rules of ``activate``."""
+
+    def __init__(self, revision=0, retired=False, operation=None, expected=-1, attempt=None):
+        self.revision, self.retired, self.operation, self.expected, self.attempt = revision, retired, operation, expected, attempt
+
+    def kept(self) -> tuple:
+        return int(self.revision), bool(self.retired), self.operation, int(self.expected), self.attempt
+
+    def after(self, e) -> str:
+        operation, attempt = text(e.operation), text(e.attempt)
+        if e.kind == "accept":
+            if self.retired or e.expected != self.revision:
+                return "document_unavailable" if self.retired else "document_changed"
+            self.operation, self.expected, self.attempt = operation, int(e.expected), attempt
+            return "accepted"
+        if e.kind == "attempt":
+            if operation != self.operation:
+                return "retry_obsolete"
+            self.attempt = attempt
+            return "retried"
+        if e.kind == "activate":
+            wins = not self.retired and operation == self.operation and self.expected == self.revision and attempt == self.attempt
+            self.revision += wins
+            return "activated" if wins else "publication_conflict"
+        if e.kind == "retire" and not self.retired:
+            self.retired, self.revision = True, self.revision + 1
+            return "retired"
+        return "unchanged"
+
+
 def library_stream(events: DataFrame) -> DataFrame:
-    """ST2: outcomes of library events on a stream, by the rules of ``activate``; state is a document's revision, latest operation and attempt."""
+    """ST2: outcomes of library events on a stream, by the rules of ``activate``; state is a document's revision, latest operation and attempt.
+
+    A document's events of a micro-batch are put in order first, however Spark cuts them into chunks; micro-batches count as they come.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        revision, retired, operation, expected, attempt = state.get if state.exists else (0, False, None, -1, None)
-        rows = []
-        for batch in batches:
-            for e in batch.sort_values("seq").itertuples():
-                outcome = "unchanged"
-                if e.kind == "accept":
-                    outcome = "document_unavailable" if retired else "accepted" if e.expected == revision else "document_changed"
-                    if outcome == "accepted":
-                        operation, expected, attempt = e.operation, int(e.expected), e.attempt
-                elif e.kind == "attempt":
-                    outcome = "retried" if e.operation == operation else "retry_obsolete"
-                    if outcome == "retried":
-                        attempt = e.attempt
-                elif e.kind == "activate":
-                    wins = not retired and e.operation == operation and expected == revision and e.attempt == attempt
-                    outcome = "activated" if wins else "publication_conflict"
-                    revision += wins
-                elif e.kind == "retire" and not retired:
-                    outcome, retired, revision = "retired", True, revision + 1
-                rows.append((key[0], int(e.seq), outcome, int(revision)))
-        state.update((int(revision), bool(retired), operation, int(expected), attempt))
-        yield pd.DataFrame(rows, columns=["document_id", "seq", "outcome", "revision"])
+        own, rows, columns = LibraryState(*state.get) if state.exists else LibraryState(), [], ["document_id", "seq", "outcome", "revision"]
+        for e in in_order(batches):
+            rows.append((key[0], int(e.seq), own.after(e), int(own.revision)))
+            if len(rows) == 10_000:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        state.update(own.kept())
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     kept = "revision int, retired boolean, operation string, expected int, attempt string"
     return events.groupBy("document_id").applyInPandasWithState(step, OUTCOME, kept, "append", GroupStateTimeout.NoTimeout)

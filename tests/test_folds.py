@@ -167,6 +167,45 @@ def test_library_stream_equals_the_fold_over_several_batches(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(library_model(events))
 
 
+def streamed(spark, events, schema, build, mode, tmp_path):
+    source, found = str(tmp_path / "in"), []
+    spark.createDataFrame(events, schema).repartition(5).write.parquet(source)
+    stream = build(spark.readStream.schema(schema).parquet(source))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        write = stream.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+        write.foreachBatch(lambda df, _: found.extend(map(tuple, df.collect()))).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    return sorted(found)
+
+
+def test_progress_of_a_hot_operation_in_small_chunks(spark, tmp_path):
+    rng, schema = random.Random(11), "operation string, seq long, attempt string, status string, stage string, reason string"
+    # most operations end with several statuses after the last opening, some of attempts that are replaced
+    events = [(f"o{i % 9 if i % 3 else 0}", i, f"a{rng.randint(0, 2)}", None if i < 540 and rng.random() < 0.1 else f"s{i}", f"g{i}", None) for i in range(600)]
+    rng.shuffle(events)
+    wanted = sorted(map(tuple, streams.progress_state(spark.createDataFrame(events, schema)).collect()))
+    assert len({r[2] for r in wanted}) > 2
+    assert streamed(spark, events, schema, streams.progress_stream, "update", tmp_path) == wanted
+
+
+def test_library_stream_of_a_hot_document_in_small_chunks(spark, tmp_path):
+    events = [("d0" if i % 2 else e[0], *e[1:]) for i, e in enumerate(library_events()) if e[2] != "retire"]
+    random.Random(12).shuffle(events)
+    assert streamed(spark, events, EVENTS, streams.library_stream, "append", tmp_path) == sorted(library_model(events))
+
+
+def test_rows_come_in_order_from_several_runs():
+    import pandas as pd
+
+    seqs = list(range(12_000))
+    random.Random(13).shuffle(seqs)
+    chunks = [pd.DataFrame({"seq": seqs[i : i + 100]}) for i in range(0, len(seqs), 100)]
+    assert [r.seq for r in streams.in_order(iter(chunks), run_rows=5500)] == sorted(seqs)
+    assert list(streams.in_order(iter([]))) == []
+
+
 def test_breaches_are_written_once_a_batch(spark, tmp_path):
     calls = spark.createDataFrame([(1, 5, 1.0)] * 4 + [(2, 5, 1.0)], "run_id long, tokens long, elapsed_ms double")
     write = streams.breaches_to(str(tmp_path / "b"))
