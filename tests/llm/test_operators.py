@@ -215,6 +215,22 @@ def test_one_document_of_each_group_stays(docs, rows):
     assert {r.doc_id for r in left.collect()} == {i for i, _ in wanted}
 
 
+def test_copies_of_null_and_repeated_ids_leave_clean_texts_alone(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    near = lambda t: t + " more"
+    a, b, c, d, clean, other, own = (text() for _ in range(7))
+    rows = [
+        (1, a), (None, near(a)), (None, clean), (2, b), (2, other), (1, near(b)), (None, c), (None, near(c)), (None, near(near(c))),
+        (5, d), (5, d), (3, own), (None, None), (None, ""), (None, " "), (None, " "),
+    ]
+    left = [tuple(r) for r in ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    one = [r for r in left if r[1] and r[1].startswith(c)]
+    assert len(one) == 1
+    left.remove(one[0])
+    assert sorted(left, key=str) == sorted([(1, a), (None, clean), (2, other), (1, near(b)), (5, d), (3, own), (None, None), (None, ""), (None, " ")], key=str)
+
+
 # 4
 def test_secrets(docs, rows):
     found = {(r.doc_id, r.base_sha256): r for r in secrets.scan_secrets(docs).collect()}
