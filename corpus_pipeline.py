@@ -14,11 +14,14 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: not null, not without letters, not scored below ``LEAST_SCORE``."""
+    """Documents whose language is known: not null, not without letters, not scored below ``LEAST_SCORE``.
+
+    Without a label to learn from there are no scores, and only texts that are null or have no letter are left out.
+    """
     net = langid.fit(docs)
     known = langid.predict(docs, net, docs.columns)
     if net is None:
-        return known.where("score > 0 and lang_pred <> 'und'").select(*docs.columns)
+        return known.where("score < 1").select(*docs.columns)
     return known.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(*docs.columns)
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from folio.llm import chat, common, decontam, langid, line_dedup, ngram_join, packing, secrets, simhash, token_counts, token_output
 from folio.llm.bpe import CountingWords, LibraryWords, RankTable
 
@@ -491,6 +492,12 @@ def test_language_of_odd_rows(spark, docs, rows, empty):
     assert {r.lang_pred for r in langid.identify_language(unlabelled).collect()} == {"und"}
 
 
+def test_texts_pass_where_no_language_can_be_learned(spark):
+    rows = [(1, "plain words", None), (2, None, None), (3, "", None), (4, "12 34", None), (5, "Größe", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 5]
+
+
 # empty tables
 def test_empty_tables_give_empty_results(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
