@@ -72,12 +72,13 @@ def train(rows: list[tuple[str, str]], *, filters: int = 8, epochs: int = 15, ra
     """Fit by Adam on windows of the texts; equal weight to each language."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for _, lang in rows})
+    place = {lang: i for i, lang in enumerate(langs)}
     data, labels = [], []
     for text, lang in rows:
         own = windows_of(text)
         own = own[rng.permutation(len(own))[:per_text]]
         data.append(own)
-        labels += [langs.index(lang)] * len(own)
+        labels += [place[lang]] * len(own)
     x, y = np.concatenate(data), np.array(labels)
     weight = (len(y) / np.maximum(1, np.bincount(y, minlength=len(langs))) / len(langs))[y].astype(np.float32)
     f = {w: rng.normal(0, 0.1, (w, 256, filters)).astype(np.float32) for w in WIDTHS}
@@ -127,19 +128,21 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, *, per_lang: int = 400, sample_chars: int = 1500, max_langs: int = 400) -> ByteNet | None:
+def fit(docs: DataFrame, *, per_lang: int = 400, sample_chars: int = 1500) -> ByteNet | None:
     """A network from at most about ``per_lang`` labelled documents a language that aren't held out.
 
     The sample is a hash threshold for each language, so it is bounded (``per_lang`` + a fluctuation, ``sample_chars`` code points each,
-    from a place in the text that its hash names) and the same on every run. None without labelled rows.
+    from a place in the text that its hash names) and the same on every run. Every language is learned: where there are more than 400,
+    each gives fewer texts, so that the sample keeps its size, but 16 or all it has. None without labelled rows.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~is_held_out())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    shares = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_lang / n))])
+    per_lang = min(per_lang, max(16, 400 * per_lang // len(counts)))
+    shares = session_of(docs).createDataFrame([(k, min(1.0, per_lang / n)) for k, n in sorted(counts.items())], "lang string, share double")
     unit = F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1 << 30)) / float(1 << 30)
-    sample_rows = labelled.where(unit < F.coalesce(shares[F.col("lang")], F.lit(0.0)))
+    sample_rows = labelled.join(F.broadcast(shares), "lang").where(unit < F.col("share"))
     room = F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1
     at = (F.pmod(F.xxhash64("doc_id", F.lit("place")), room) + 1).cast("int")
     rows = sample_rows.select("doc_id", F.substring(F.col("text"), at, F.lit(sample_chars)).alias("text"), "lang")

@@ -492,6 +492,13 @@ def test_language_of_odd_rows(spark, docs, rows, empty):
     assert {r.lang_pred for r in langid.identify_language(unlabelled).collect()} == {"und"}
 
 
+def test_more_than_400_languages_are_learned(spark):
+    rows = [(i, f"text of language {i % 450}", f"l{i % 450:03}") for i in range(2700)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.langs == sorted({lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1})
+    assert len(net.langs) > 400
+
+
 def test_texts_pass_where_no_language_can_be_learned(spark):
     rows = [(1, "plain words", None), (2, None, None), (3, "", None), (4, "12 34", None), (5, "Größe", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
