@@ -1,18 +1,19 @@
-"""Byte-pair encoding over batches: rank-synchronous array merging, and word caches for a library encoder."""
+"""Byte-pair encoding over batches: rank-synchronous array merging, and a library encoder that meets each distinct word of a batch once."""
 
 from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 NO_RANK = np.iinfo(np.int32).max
+NO_IDS = np.empty(0, "<u4")
 #: The split pattern of the byte-level vocabulary; \s is Unicode white space, spelled out.
 SPACE_CLASS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BYTE_LEVEL = (
@@ -21,8 +22,11 @@ BYTE_LEVEL = (
 )
 #: Characters below this one are classed alike by every Unicode version in use.
 PLAIN_LIMIT = "\u0300"
-#: Python's split() takes these for white space, the vocabularies don't.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: How the vocabularies write a space and the end of a word.
+SPACE, WORD_END = "Ġ", "</w>"
+#: Words that a word vocabulary takes as one run of letters, or as one with a run of marks after it.
+ONE_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+WORD_AND_MARK = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]+")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -32,19 +36,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
-def worker_state(key: tuple, make):
-    """One object a Python worker: workers outlive tasks, so what one task learned serves the next.
-
-    Only the object asked for last is held, so stages that follow each other don't add up.
-    """
-    held = vars(sys.modules.setdefault("folio_worker_state", types.ModuleType("folio_worker_state")))
-    if held.get("key") != key:
-        held["key"] = held["state"] = None
-        held["state"] = make()
-        held["key"] = key
-    return held["state"]
-
-
 class RankTable:
     """Merge ranks of a byte-level vocabulary as sorted arrays."""
 
@@ -89,10 +80,10 @@ class RankTable:
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        ranks = np.full(len(symbols), NO_RANK, np.int32)  # of the pair that begins here
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        ranks[inside] = self.pair_ranks(symbols[inside], symbols[inside + 1])
         while len(symbols) > 1:
-            ranks = np.full(len(symbols), NO_RANK, np.int32)
-            ranks[:-1] = self.pair_ranks(symbols[:-1], symbols[1:])
-            ranks[:-1][owner[:-1] != owner[1:]] = NO_RANK
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             sizes = np.diff(np.r_[starts, len(owner)])
             lowest = np.repeat(np.minimum.reduceat(ranks, starts), sizes)
@@ -105,14 +96,22 @@ class RankTable:
             hit = ranks == lowest
             # of pairs that overlap, as in "aaa", every second one counts, from the left
             before = np.r_[False, hit[:-1]]
-            index = np.arange(len(hit))
-            run_start = np.maximum.accumulate(np.where(hit & ~before, index, -1))
-            hit &= (index - run_start) % 2 == 0
+            if (hit & before).any():
+                index = np.arange(len(hit))
+                run_start = np.maximum.accumulate(np.where(hit & ~before, index, -1))
+                hit &= (index - run_start) % 2 == 0
             at = np.flatnonzero(hit)
             symbols[at] = self.new[ranks[at]]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            at -= np.arange(len(at))  # where they are now
+            symbols, owner, ranks = symbols[keep], owner[keep], ranks[keep]
+            # only the pairs on both sides of a new symbol have another rank
+            ranks[at] = NO_RANK
+            changed = np.unique(np.r_[at, at[at > 0] - 1])
+            changed = changed[changed < len(symbols) - 1]
+            changed = changed[owner[changed] == owner[changed + 1]]
+            ranks[changed] = self.pair_ranks(symbols[changed], symbols[changed + 1])
         done.append((symbols, owner))
         flat = np.concatenate([x for x, _ in done])
         owners = np.concatenate([x for _, x in done])
@@ -120,15 +119,52 @@ class RankTable:
         return flat[order], owners[order]
 
 
+@dataclass
+class Words:
+    """Texts as runs of words between single spaces: ``codes`` of text i are those from ``starts[i]`` to ``starts[i + 1]``.
+
+    A text where some space has white space before it is not cut (``whole``): there a token may reach across. The first word of a
+    text stands without a space before it.
+    """
+
+    distinct: pa.Array
+    codes: np.ndarray
+    starts: np.ndarray
+    whole: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Words:
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.flatten().dictionary_encode()
+        codes = np.asarray(coded.indices)
+        starts = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(parts)), dtype=np.int64)]
+        odd = odd_ends(coded.dictionary)[codes] if len(codes) else np.empty(0, bool)
+        if len(starts) > 1:
+            odd[starts[1:] - 1] = False  # nothing follows a text's last word
+        whole = np.add.reduceat(odd, starts[:-1]) > 0 if len(codes) else np.zeros(len(texts), bool)
+        return cls(coded.dictionary, codes, starts, whole)
+
+
+def odd_ends(words: pa.Array) -> np.ndarray:
+    """Whether a word is empty or ends in white space (Unicode's, and the separators 1C to 1F)."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    size = np.diff(ends)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    last = np.zeros(len(words), np.uint8)
+    last[size > 0] = data[ends[1:][size > 0] - 1]
+    odd = (size == 0) | ((last >= 9) & (last <= 13)) | ((last >= 28) & (last <= 32))
+    beyond = np.flatnonzero(last >= 128)
+    odd[beyond] = [words[i].as_py()[-1].isspace() for i in beyond]
+    return odd
+
+
 class CountingWords:
-    """Token counts of texts: texts fall apart at single spaces, each new piece is split and merged once a batch."""
+    """Token counts of texts: a text's words between single spaces are split and merged once a batch, by arrays."""
 
-    def __init__(self, spec: str, keep: int = 400_000):
+    def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.table = RankTable(spec)
-        self.keep = keep
-        self.known: dict[str, int] = {}
         self.pattern = regex.compile(BYTE_LEVEL)
         self.special = re.compile("|".join(map(re.escape, sorted(self.table.specials, key=len, reverse=True))) or r"(?!)")
         self.library = Tokenizer.from_str(spec).pre_tokenizer
@@ -140,55 +176,47 @@ class CountingWords:
         split = self.library.pre_tokenize_str(text)
         return [bytes(self.bytes_of[c] for c in w) for w, _ in split]
 
-    def learn(self, pieces: list[str]) -> dict[str, int]:
-        """Counts of pieces, each split by specials, then by the pattern, then merged."""
-        words: dict[bytes, int] = {}
+    def counts(self, pieces: list[str]) -> np.ndarray:
+        """Tokens of every piece: split by specials, then by the pattern, then merged; a pretoken that pieces share merges once."""
+        found = np.zeros(len(pieces), np.int64)
+        merged: dict[bytes, int] = {}
         at, whose = [], []
-        found = dict.fromkeys(pieces, 0)
-        for piece in found:
-            parts = self.special.split(piece) if "<" in piece or self.table.specials and self.special.search(piece) else [piece]
-            found[piece] = len(parts) - 1
+        for i, piece in enumerate(pieces):
+            parts = self.special.split(piece) if self.special.search(piece) else (piece,)
+            found[i] = len(parts) - 1
             for part in parts:
-                if part:
-                    own = [words.setdefault(w, len(words)) for w in self.pretokens(part)]
-                    at += own
-                    whose.append((piece, len(own)))
-        counts = self.table.counts(list(words))
-        sums = np.add.reduceat(counts[at], np.cumsum([0, *(n for _, n in whose[:-1])])) if whose else []
-        for (piece, _), n in zip(whose, sums, strict=True):
-            found[piece] += int(n)
+                own = [merged.setdefault(w, len(merged)) for w in self.pretokens(part)] if part else ()
+                at += own
+                whose += [i] * len(own)
+        if at:
+            found += np.bincount(np.array(whose), self.table.counts(list(merged))[np.array(at)], len(pieces)).astype(np.int64)
         return found
 
-    def batch(self, texts: list[str]) -> list[int]:
-        split = [t.split(" ") for t in texts]
-        for pieces in split:
-            pieces[1:] = [f" {p}" for p in pieces[1:]]
-        # a space belongs to the word after it, unless more white space stands before it: then the text stays whole
-        whole: list[str] = []
-        for i, pieces in enumerate(split):
-            if any(p[-1:].isspace() or not p for p in pieces[:-1]):
-                split[i] = [texts[i]]
-                whole.append(texts[i])
-        new = {p for pieces in split for p in pieces if p not in self.known}
-        found = self.learn(list(new))
-        if len(self.known) + len(found) > self.keep:
-            self.known.clear()
-            found = self.learn(list({p for pieces in split for p in pieces}))
-        self.known.update(found)
-        sums = [sum(map(self.known.__getitem__, pieces)) for pieces in split]
-        for t in whole:
-            self.known.pop(t, None)
-        return sums
+    def batch(self, texts: pa.Array) -> np.ndarray:
+        if not len(texts):
+            return np.empty(0, np.int64)
+        words = Words.of(texts)
+        first = words.starts[:-1]
+        rest = ~np.repeat(words.whole, np.diff(words.starts))
+        rest[first] = False
+        used = np.unique(words.codes[rest])
+        spelled = [f" {w}" for w in words.distinct.take(pa.array(used)).to_pylist()]
+        heads = [texts[i].as_py() if w else words.distinct[words.codes[k]].as_py() for i, (w, k) in enumerate(zip(words.whole, first, strict=True))]
+        counted = self.counts(spelled + heads)
+        of_word = np.zeros(len(words.distinct), np.int64)
+        of_word[used] = counted[: len(used)]
+        return np.add.reduceat(np.where(rest, of_word[words.codes], 0), first) + counted[len(used) :]
 
 
 class LibraryWords:
-    """Ids of texts by the tokenizers library; pieces between single spaces are encoded once and kept.
+    """Ids of texts by the tokenizers library, which meets every distinct word of a batch once. Nothing is kept between batches.
 
-    ``spaced``: a space belongs to the word after it (byte-level); else spaces vanish (word vocabularies).
-    The pieces' ids joined are the text's ids: no token and no rule of either kind reaches across such a space.
+    ``spaced``: a space belongs to the word after it (byte-level); else spaces vanish (word vocabularies). The words' ids joined are
+    the text's ids: no token and no rule of either kind reaches across such a space. Words go to the library many in a string, and
+    their ids are told apart by the tokens that begin with a space, or by those that end a word.
     """
 
-    def __init__(self, spec: str, spaced: bool, keep: int = 800_000):
+    def __init__(self, spec: str, spaced: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -196,53 +224,88 @@ class LibraryWords:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.spaced = spaced
-        self.keep = keep
-        self.known: dict[str, bytes | None] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in coded]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text."""
-        split = [self.pieces(t) for t in texts]
-        heads = self.encode([s[0] for s in split])
-        words = set().union(*(s[1:] for s in split))
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = list(words)
-        self.known.update(zip(new, self.encode([f" {p}" if self.spaced else p for p in new]), strict=True))
-        out = []
-        for text, head, pieces in zip(texts, heads, split, strict=True):
-            if self.spaced and len(pieces) > 1 and self.broken(pieces):
-                out.append(self.encode([text])[0])
-            else:
-                out.append(head + b"".join(map(self.known.__getitem__, pieces[1:])))
-        return out
-
-    def pieces(self, text: str) -> list[str]:
-        if self.spaced or any(c in text for c in SEPARATORS):
-            return text.split(" ")
-        return ["", *text.split()]
-
-    @staticmethod
-    def broken(pieces: list[str]) -> bool:
-        """Whether some space has white space before it."""
-        return any(p[-1:].isspace() or not p for p in pieces[:-1])
-
-
-def slices(batch: pa.RecordBatch, text: str, at_most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch of about ``at_most`` characters, and their texts (null: empty)."""
-    texts = batch.column(batch.schema.get_field_index(text))
-    begin = size = 0
-    part: list[str] = []
-    for i in range(batch.num_rows):
-        value = texts[i].as_py() or ""
-        if part and size + len(value) > at_most:
-            yield batch.slice(begin, i - begin), part
-            begin, size, part = i, 0, []
-        part.append(value)
-        size += len(value)
-    if part:
-        yield batch.slice(begin, len(part)), part
+        vocab = self.tokenizer.get_vocab()
+        edge = (lambda t: t[0] == SPACE) if spaced else (lambda t: t.endswith(WORD_END))
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.edge[[i for t, i in vocab.items() if t and edge(t)]] = True
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        found: list[np.ndarray] = []
+        for i in range(0, len(texts), 1000):
+            found += [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False)]
+        return found
+
+    def joined(self, words: list[str], edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words that each have so many tokens at an edge, 256 words to a string, and how many ids each word has."""
+        for low in range(0, len(words), 256 * 32):
+            parts = [(words[i : i + 256], edges[i : i + 256]) for i in range(low, min(low + 256 * 32, len(words)), 256)]
+            coded = self.encode([f" {' '.join(part)}" for part, _ in parts])
+            for (part, n), ids in zip(parts, coded, strict=True):
+                at, ends = np.flatnonzero(self.edge[ids]), np.cumsum(n)
+                if len(at) != ends[-1]:  # a word isn't what it seemed
+                    yield self.apart(part)
+                elif self.spaced:
+                    yield ids, np.diff(np.r_[at, len(ids)])
+                else:
+                    yield ids, np.diff(np.r_[-1, at[ends - 1]])
+
+    def apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.encode([f" {w}" for w in words])
+        return np.concatenate([*found, NO_IDS]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, each with a space before it: all ids, and where each word's begin and how many they are."""
+        if self.spaced:
+            edges = np.fromiter((w != "" and not w[0].isspace() and not w[-1].isspace() for w in words), np.int64, len(words))
+        else:
+            edges = np.fromiter((1 if ONE_WORD.fullmatch(w) else 2 if WORD_AND_MARK.fullmatch(w) else 0 for w in words), np.int64, len(words))
+        plain, other = np.flatnonzero(edges), np.flatnonzero(edges == 0)
+        found = [*self.joined([words[i] for i in plain], edges[plain]), self.apart([words[i] for i in other])]
+        lengths, places = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        order = np.r_[plain, other]
+        lengths[order] = np.concatenate([n for _, n in found])
+        places[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate([ids for ids, _ in found]), places, lengths
+
+    def batch(self, texts: pa.Array, at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+        """Little-endian 32-bit ids of every text, in order; about ``at_once`` ids are laid out at a time."""
+        if not len(texts):
+            return
+        words = Words.of(texts if self.spaced else pc.replace_substring(texts, "\n", " "))
+        first = words.starts[:-1]
+        rest = np.ones(len(words.codes), bool)
+        if self.spaced:
+            rest = ~np.repeat(words.whole, np.diff(words.starts))
+            rest[first] = False
+        used = np.unique(words.codes[rest])
+        flat, places, lengths = self.of_words(words.distinct.take(pa.array(used)).to_pylist())
+        at = np.zeros(len(words.distinct), np.int64)  # from codes to places of used words
+        at[used] = np.arange(len(used))
+        each = np.where(rest, lengths[at[words.codes]], 0) if len(used) else np.zeros(len(words.codes), np.int64)
+        of_text = np.r_[0, np.cumsum(np.add.reduceat(each, first))]
+        low = 0
+        while low < len(first):
+            high = max(low + 1, int(np.searchsorted(of_text, of_text[low] + at_once, side="right")) - 1)
+            run = slice(words.starts[low], words.starts[high])
+            n = each[run]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(places[at[words.codes[run]]] - ends + n, n) + np.arange(ends[-1])] if ends[-1] else NO_IDS
+            heads = [NO_IDS] * (high - low)
+            if self.spaced:
+                heads = self.encode([texts[i].as_py() if words.whole[i] else words.distinct[words.codes[first[i]]].as_py() for i in range(low, high)])
+            for i, head in enumerate(heads, low):
+                own = ids[of_text[i] - of_text[low] : of_text[i + 1] - of_text[low]]
+                yield np.concatenate([head, own]) if len(head) else own
+            low = high
+
+
+def slices(batch: pa.RecordBatch, text: str, at_most: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of a batch of about ``at_most`` bytes of text (a longer one is a part of its own), and their texts (null: empty)."""
+    texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
+    total = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        before = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, before + at_most, side="right")))
+        yield batch.slice(low, high - low), texts.slice(low, high - low)
+        low = high

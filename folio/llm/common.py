@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,30 +17,83 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, or an own one where none is named (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='folio-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """A folder of this application in the one that driver and executors share: the cluster's checkpoint folder, or the warehouse where none is named.
+
+    It goes when the session's Python ends, or with ``clear``.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/folio-{spark.sparkContext.applicationId}"
+    if path not in _AT_END:
+        _AT_END.add(path)
+        atexit.register(lambda: spark.sparkContext._jsc and _delete(spark, path))
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application stored; results that weren't written yet can't be read any more."""
+    _delete(spark, shared_dir(spark))
+
+
+_AT_END: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, outlives executors."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, outlives executors.
+
+    While it is written, batches that go to Python hold 8 MB, or as much as the session says if that is less, so that rows with
+    wide arrays don't fill an executor's memory. The session's setting is put back after.
+    """
     spark = session_of(df)
-    path = f"{shared_dir(spark)}/folio-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a table made by ``stored`` when nothing reads it any more."""
-    roots = {f.rsplit("/part-", 1)[0] for f in df.inputFiles()}
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for root in roots:
-        if "/folio-" in root:
-            path = hadoop.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = new_path(spark, label)
+    before = spark.conf.get(BATCH_BYTES)
+    if _bytes_of(before) > 8 << 20:
+        spark.conf.set(BATCH_BYTES, "8m")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bytes_of(size: str) -> int:
+    """A size of Spark's settings in bytes; one without a bound is large."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", size.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit] if int(number) > 0 else 1 << 60
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Remove tables made by ``stored`` that nothing reads any more."""
+    for df in tables:
+        _delete(session_of(df), df.stored_at)
+
+
+def parts_for(df: DataFrame, mb: int = 256) -> int:
+    """Partitions for a shuffle of a table's rows: the session's number, or more, so that one holds about ``mb`` MB of its files (where Spark knows their size)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 57 else 0
+    return max(int(session_of(df).conf.get("spark.sql.shuffle.partitions")), (known >> 20) // mb)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column in ``taken`` has it in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def lower_ascii(text: Column) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from folio.llm.bpe import LibraryWords, slices, worker_state
+from folio.llm.bpe import LibraryWords, slices
 from folio.llm.common import session_of, stored
 from folio.llm.token_counts import tokenizer_spec
 
@@ -142,18 +142,18 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
     def run(batches):
         from pyspark import TaskContext
 
-        words, part = worker_state(("plain", vocabulary), lambda: LibraryWords(spec.value, spaced=False)), TaskContext.get().partitionId()
+        words, part = LibraryWords(spec.value, spaced=False), TaskContext.get().partitionId()
         ranks = [0] * (capacity + 1)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
             for rows, texts in slices(batch, "text"):
                 out = []
                 for doc_id, ids in zip(rows.column(0).to_pylist(), words.batch(texts), strict=True):
-                    ids += end
-                    for k, i in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[i : i + 4 * capacity]
-                        n = len(own) // 4
-                        out.append((doc_id, k, i // 4, n, zlib.crc32(own), part, ranks[n]))
+                    ids = np.append(ids, end)
+                    for k, i in enumerate(range(0, len(ids), capacity)):
+                        own = ids[i : i + capacity]
+                        n = len(own)
+                        out.append((doc_id, k, i, n, zlib.crc32(own), part, ranks[n]))
                         ranks[n] += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folio.llm.common import lower_ascii, row_key, same_key, session_of, stored
+from folio.llm.common import lower_ascii, parts_for, row_key, same_key, stored
 
 LANES = 0x100000001
 KEY = ["k_id", "k_a", "k_b"]
@@ -75,7 +75,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     The last is followed by the first. Keys alone are dealt by range; the ends of the ranges, a row each, are joined on.
     """
-    parts = int(session_of(docs).conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs)
     keys = docs.select(*row_key(), F.length(F.coalesce("text", F.lit(""))).alias("c_chars")).distinct()
     dealt = stored(keys.repartitionByRange(parts, *KEY).withColumn("part", F.spark_partition_id()), "order")
     me = F.struct(*KEY, "c_chars")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from folio.llm.bpe import CountingWords, slices, worker_state
+from folio.llm.bpe import CountingWords, slices
 from folio.llm.common import session_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -20,27 +22,28 @@ def tokenizer_spec(path: str) -> str:
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """Tokens of every whole text under the byte-level vocabulary at ``path``.
 
-    Map-only: pieces of texts become ragged byte arrays, each word's lowest-rank pair merges at once in all
+    Map-only: the distinct words of a batch become ragged byte arrays, each word's lowest-rank pair merges at once in all
     words of a batch until no pair is left, and the surviving symbols count. Strings of special tokens inside
     a text count as one token, as the library takes them.
 
     Null or empty text: 0 bytes, 0 tokens. A null id stays null; repeated rows give repeated rows; an empty
     table gives an empty result; columns other than ``doc_id`` and ``text`` are not read. A text of any
-    length is counted whole; one without a space is one piece.
+    length is counted whole; one without a space is one piece. A task holds a batch of about 16 MB of text (or one longer text), and keeps
+    nothing from one batch to the next.
     """
     spec = session_of(docs).sparkContext.broadcast(tokenizer_spec(path))
 
     def run(batches):
-        words = worker_state(("count", path), lambda: CountingWords(spec.value))
+        words = CountingWords(spec.value)
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                counts = words.batch(texts)
+                counts = np.asarray(words.batch(texts), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([len(t.encode()) for t in texts], pa.int64()),
-                        pa.array(counts, pa.int64()),
-                        pa.array([n > limit for n in counts], pa.bool_()),
+                        pc.cast(pc.binary_length(texts), pa.int64()),
+                        pa.array(counts),
+                        pa.array(counts > limit),
                     ],
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )

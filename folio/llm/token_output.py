@@ -9,14 +9,13 @@ four byte planes (lowest first) or 32 bit planes, each plane compressed with zst
 from __future__ import annotations
 
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from folio.llm.bpe import LibraryWords, slices, worker_state
-from folio.llm.common import session_of
+from folio.llm.bpe import LibraryWords, slices
+from folio.llm.common import parts_for, session_of
 from folio.llm.token_counts import tokenizer_spec
 
 BLOCK = 1 << 14
@@ -47,45 +46,45 @@ def write_tokens(
 ) -> None:
     """Encode every whole text, append ``end_id``, write a token table at ``path`` in ascending order of doc_id.
 
-    One range shuffle by doc_id; a task then encodes and writes its range in chunks of about ``chunk_ids`` ids, so a
-    lost task is done again alone. Null text: the end id alone. Null ids come first; rows with one id keep the
-    order of their texts. A document longer than a chunk has a chunk of its own.
+    One range shuffle by doc_id (the driver samples ids and hashes, never texts); a task then encodes and writes its range in chunks of
+    about ``chunk_ids`` ids, so a lost task is done again alone. Null text: the end id alone. Null ids come first; rows with one id go by
+    the hash of their texts, then by the texts. A document longer than a chunk has a chunk of its own.
     """
     spec = session_of(docs).sparkContext.broadcast(tokenizer_spec(vocabulary))
-    parts = int(session_of(docs).conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs)
 
     def run(batches):
         import zstandard
         from pyspark import TaskContext
 
-        words, part = worker_state(("spaced", vocabulary), lambda: LibraryWords(spec.value, spaced=True)), TaskContext.get().partitionId()
+        words, part = LibraryWords(spec.value, spaced=True), TaskContext.get().partitionId()
         squeeze = zstandard.ZstdCompressor(level=level)
-        end = np.array([end_id], "<u4").tobytes()
-        held: list[tuple[int | None, bytes]] = []
+        end = np.array([end_id], "<u4")
+        held: list[tuple[int | None, np.ndarray]] = []
         size, first, n = 0, 0, 0
 
         def chunk():
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.concatenate([x for _, x in held])
             blocks = [[squeeze.compress(p.tobytes()) for p in shuffled(ids[i : i + block], bits)] for i in range(0, len(ids), block)]
             row = {
                 "part": part, "chunk": n, "first_id": first, "n_ids": len(ids), "doc_ids": [k for k, _ in held],
-                "lengths": [len(x) // 4 for _, x in held], "blocks": blocks,
+                "lengths": [len(x) for _, x in held], "blocks": blocks,
             }
             return pa.RecordBatch.from_pylist([row], schema=ARROW_CHUNK)
 
         for batch in batches:
             for rows, texts in slices(batch, "text"):
                 for doc_id, ids in zip(rows.column(0).to_pylist(), words.batch(texts), strict=True):
-                    if held and size + len(ids) // 4 >= chunk_ids:
+                    if held and size + len(ids) >= chunk_ids:
                         yield chunk()
                         held, first, n, size = [], first + size, n + 1, 0
-                    held.append((doc_id, ids + end))
-                    size += len(ids) // 4 + 1
+                    held.append((doc_id, np.append(ids, end)))
+                    size += len(ids) + 1
         if held:
             yield chunk()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id", "text")
-    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(run, CHUNK_SCHEMA).write.parquet(path)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id", F.xxhash64("text"))
+    ordered.sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(run, CHUNK_SCHEMA).write.parquet(path)
 
 
 ARROW_CHUNK = pa.schema(
