@@ -8,10 +8,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from folio.llm.bpe import byte_alphabet
-from folio.llm.common import session_of
+from folio.llm.bpe import LibraryWords, byte_alphabet, slices
+from folio.llm.common import parts_for, session_of
 from folio.llm.token_counts import tokenizer_spec
 
 #: Ids after the vocabulary's own: begin of a turn, end of its role, end of a turn. As text, the template is
@@ -37,80 +37,83 @@ def unescaped(text: str) -> str:
     return _MARKED.sub(r"\1", text)
 
 
-SEGMENTS = "conv_id long, turn long, turn_order long, first_id long, ids array<int>, loss array<boolean>, n_chars long"
+SEGMENTS = "conv_id long, turn long, tie long, ids array<int>, loss array<boolean>"
 
 
 def format_chats(turns: DataFrame, vocabulary: str) -> DataFrame:
-    """Token segments of formatted conversations: a row a turn, to be joined in order of ``turn_order`` within ``conv_id``.
+    """Token segments of formatted conversations: a row a turn, to be joined in order of ``turn`` and ``tie`` within ``conv_id``.
 
     Role and text of a turn are escaped and encoded apart from each other; the reserved ids are spliced around
     them, so no token spans a boundary and no content makes a reserved id. ``loss`` marks the tokens of an assistant's
-    text, from prefix sums over the lengths of segments. ``first_id`` is the number of the conversation's tokens before
-    the turn. A task encodes rows wherever they are: a conversation of any length never meets in one task.
+    text, from prefix sums over the lengths of segments. Map-only: a task encodes rows wherever they are, so a conversation of any length
+    is spread over all tasks.
 
-    Turns go by ``turn`` (nulls first), equal ones by role and text, so ties have an order. Null text or role: empty. Null
+    Turns go by ``turn`` (nulls first), equal ones by ``tie``, a hash of role and text. Null text or role: empty. Null
     conv_id: a conversation of its own. Repeated rows are turns of their own. Empty table: empty result. Other columns are
     not read.
     """
     spec = session_of(turns).sparkContext.broadcast(tokenizer_spec(vocabulary))
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(spec.value)
-        tokenizer.encode_special_tokens = True
+        words = LibraryWords(spec.value, spaced=True)
+        words.tokenizer.encode_special_tokens = True
+        of_role: dict[str, np.ndarray] = {}
         for batch in batches:
-            roles = [x or "" for x in batch.column(2).to_pylist()]
-            texts = [escaped(x or "") for x in batch.column(3).to_pylist()]
-            heads = tokenizer.encode_batch_fast([escaped(r) for r in roles], add_special_tokens=False)
-            bodies = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ids, loss = [], []
-            for role, head, body in zip(roles, heads, bodies, strict=True):
-                parts = [[TURN], head.ids, [SAYS], body.ids, [END]]
-                ends = np.cumsum([len(p) for p in parts])
-                mask = np.zeros(ends[-1] + 1, np.int8)
-                if role == "assistant":
-                    mask[ends[2]] += 1
-                    mask[ends[3]] -= 1
-                ids.append([i for p in parts for i in p])
-                loss.append(np.cumsum(mask[:-1]).astype(bool))
-            fixed = sum(map(len, MARKS.values()))
-            chars = [len(escaped(r)) + len(t) + fixed for r, t in zip(roles, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(4), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
-                 pa.array(loss, pa.list_(pa.bool_())), pa.array(chars, pa.int64())],
-                names=["conv_id", "turn", "turn_order", "n_ids", "ids", "loss", "n_chars"],
-            )
-
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.xxhash64("text"))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = rows.withColumn("turn_order", F.row_number().over(order).cast("long"))
-    schema = SEGMENTS.replace("first_id", "n_ids")
-    before = Window.partitionBy("conv_id").orderBy("turn_order").rowsBetween(Window.unboundedPreceding, -1)
-    coded = rows.mapInArrow(run, schema).withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return coded.select("conv_id", "turn", "turn_order", "first_id", "ids", "loss", "n_chars")
+            for part, texts in slices(batch, "text"):
+                roles = [x or "" for x in part.column(3).to_pylist()]
+                new = [r for r in dict.fromkeys(roles) if r not in of_role]
+                if len(of_role) + len(new) > 1000:  # roles are few; if they aren't, none is kept
+                    of_role, new = {}, list(dict.fromkeys(roles))
+                of_role |= zip(new, words.encode([escaped(r) for r in new]), strict=True)
+                ids, loss = [], []
+                for role, body in zip(roles, words.batch(pa.array([escaped(t) for t in texts.to_pylist()], pa.string())), strict=True):
+                    parts = [[TURN], of_role[role], [SAYS], body, [END]]
+                    ends = np.cumsum([len(p) for p in parts])
+                    mask = np.zeros(ends[-1] + 1, np.int8)
+                    if role == "assistant":
+                        mask[ends[2]] += 1
+                        mask[ends[3]] -= 1
+                    ids.append(np.concatenate(parts).astype(np.int32))
+                    loss.append(np.cumsum(mask[:-1]).astype(bool))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.bool_()))], names=["conv_id", "turn", "tie", "ids", "loss"]
+                )
+
+    own = [F.col(c).cast("long").alias(c) for c in ("conv_id", "turn")]
+    return turns.select(*own, F.xxhash64("role", "text").alias("tie"), "role", "text").mapInArrow(run, SEGMENTS)
+
+
+class Decoder:
+    """Bytes of ids, many at a time: tokens' bytes lie in one array."""
+
+    def __init__(self, spec: str):
+        alphabet, vocab = byte_alphabet(), json.loads(spec)["model"]["vocab"]
+        plain = [b""] * (max(*vocab.values(), *MARKS) + 1)
+        for token, i in vocab.items():
+            plain[i] = bytes(alphabet[c] for c in token)
+        for i, mark in MARKS.items():
+            plain[i] = mark.encode()
+        self.size = np.fromiter(map(len, plain), np.int64, len(plain))
+        self.begin = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer(b"".join(plain), np.uint8)
+
+    def of(self, ids: np.ndarray) -> bytes:
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.begin[ids] - ends + n, n) + np.arange(ends[-1])].tobytes() if len(ids) and ends[-1] else b""
 
 
 def read_chats(segments: DataFrame, vocabulary: str) -> DataFrame:
     """Digests of conversations from formatted segments alone: a row a conversation.
 
-    Segments go by conversation and order; a task streams them and holds one digest at a time, so a conversation's
-    length costs time but no memory.
+    ``formatted_chars`` counts the code points of the decoded ids, reserved ones as their marks. One shuffle puts the segments in order; a
+    task streams them and holds one segment and one digest at a time, so a conversation's length costs time but no memory.
     """
     spec = session_of(segments).sparkContext.broadcast(tokenizer_spec(vocabulary))
-    parts = int(session_of(segments).conf.get("spark.sql.shuffle.partitions"))
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long, n_loss_ids long"
 
     def run(batches):
-        alphabet = byte_alphabet()
-        vocab = json.loads(spec.value)["model"]["vocab"]
-        plain = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            plain[i] = bytes(alphabet[c] for c in token)
-        text_of = lambda ids: unescaped(b"".join(plain[i] for i in ids).decode())
+        decoder = Decoder(spec.value)
         now, rows = None, []
 
         def closed(x):
@@ -119,27 +122,28 @@ def read_chats(segments: DataFrame, vocabulary: str) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
-            for i in range(batch.num_rows):
-                conv_id, ids = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                loss, chars = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+            for i, conv_id in enumerate(batch.column(0).to_pylist()):
+                ids, loss = (np.asarray(batch.column(c)[i].values) for c in (1, 2))
+                loss = loss.astype(bool)
                 if now is None or now["conv_id"] != conv_id:
                     if now:
                         rows.append(closed(now))
                     now = {"conv_id": conv_id, "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "ids": 0, "loss_ids": 0}
-                says = ids.index(SAYS)
+                says = int(np.flatnonzero(ids == SAYS)[0])
+                role, text = (decoder.of(x).decode() for x in (ids[1:says], ids[says + 1 : -1]))
                 now["turns"] += 1
-                now["all"].update(f"{text_of(ids[1:says])}\n{text_of(ids[says + 1 : -1])}\n".encode())
-                wanted = text_of([k for k, m in zip(ids, loss, strict=True) if m])
+                now["all"].update(f"{unescaped(role)}\n{unescaped(text)}\n".encode())
+                wanted = unescaped(decoder.of(ids[loss]).decode())
                 now["loss"].update(wanted.encode())
                 now["loss_chars"] += len(wanted)
-                now["chars"] += chars
+                now["chars"] += len(role) + len(text) + sum(len(MARKS[int(k)]) for k in ids[[0, says, -1]])
                 now["ids"] += len(ids)
-                now["loss_ids"] += sum(loss)
+                now["loss_ids"] += int(loss.sum())
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 rows = []
         if now:
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(closed(now), kinds, strict=True)], names=names)
 
-    ordered = segments.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn_order")
-    return ordered.select("conv_id", "ids", "loss", "n_chars").mapInArrow(run, schema)
+    ordered = segments.repartition(parts_for(segments), "conv_id").sortWithinPartitions("conv_id", "turn", "tie")
+    return ordered.select("conv_id", "ids", "loss").mapInArrow(run, schema)
