@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio.llm import common, decontam, langid, line_dedup, ngram_join, packing
 
@@ -20,19 +18,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     net = langid.fit(docs)
     known = langid.predict(docs, net, docs.columns)
-    if net is None:
-        return known.where("score < 1").select(*docs.columns)
-    return known.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(*docs.columns)
+    pred, score = (F.col(f"`{c}`") for c in known.columns[-2:])
+    passes = score < 1 if net is None else (pred != "und") & (score >= LEAST_SCORE)
+    return known.where(passes).select(*[f"`{c}`" for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that ten documents share."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    return line_dedup.dedup_lines(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    return ngram_join.keep_one_of_each(docs, words=5, percent=80).select(*docs.columns)
+    return ngram_join.keep_one_of_each(docs, words=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{common.shared_dir(spark)}/folio-stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        done = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            common.drop_stored(before)
+        docs = before = done
     return docs

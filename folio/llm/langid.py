@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from folio.llm.common import session_of
+from folio.llm.common import free_name, session_of
 
 WIDTHS = (2, 3, 4)
 WINDOW = 256
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, *, per_lang: int = 400, sample_chars: int = 1500) -> By
     from a place in the text that its hash names) and the same on every run. Every language is learned: where there are more than 400,
     each gives fewer texts, so that the sample keeps its size, but 16 or all it has. None without labelled rows.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~is_held_out())
+    labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~is_held_out())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -151,20 +152,18 @@ def fit(docs: DataFrame, *, per_lang: int = 400, sample_chars: int = 1500) -> By
 
 
 def predict(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of docs with lang_pred and score: the mean of log probabilities over all windows of the whole text.
+    """Columns ``keep`` of docs, then the language and its score: the mean of log probabilities over all windows of the whole text.
 
-    ``und`` with score 1 where the text is null or has no letter, and 0 where nothing was learned.
+    ``und`` with score 1 where the text is null or has no letter, and 0 where nothing was learned. The two columns are ``lang_pred`` and
+    ``score``, with underscores added where ``keep`` has such names; kept columns may have any name.
     """
     shared = session_of(docs).sparkContext.broadcast((net.langs, net.filters, net.out, net.bias) if net else None)
-    rows = docs.select(*keep, F.col("text").alias("lang_text"))
-    extra = [("lang_pred", pa.string()), ("score", pa.float64())]
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = ByteNet(*shared.value).prepare() if shared.value else None
-        for batch in batches:
-            texts, preds, scores = batch.column(batch.num_columns - 1), [], []
-            for i in range(batch.num_rows):
+        for texts in batches:
+            preds, scores = [], []
+            for i in range(len(texts)):
                 text = texts[i].as_py()
                 if not text or not LETTER.search(text):
                     preds.append("und")
@@ -180,10 +179,13 @@ def predict(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFrame:
                 best = int(total.argmax())
                 preds.append(own.langs[best])
                 scores.append(float(p[best] / p.sum()))
-            arrays = [*batch.columns[:-1], pa.array(preds, extra[0][1]), pa.array(scores, extra[1][1])]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    # the text alone goes to Python; once, as it is not to be done again for a filter
+    udf = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
+    both = free_name("found", keep)
+    known = docs.select(*[f"`{c}`" for c in keep], udf("text").alias(both))
+    return known.select(*[f"`{c}`" for c in keep], *[F.col(both)[c].alias(free_name(c, keep)) for c in ("lang_pred", "score")])
 
 
 def identify_language(docs: DataFrame, **options) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folio.llm.common import ASCII_SPACE, lower_ascii, row_key, same_key, stored
+from folio.llm.common import ASCII_SPACE, free_name, lower_ascii, row_key, same_key, stored
 
 
 def line_key(line: Column) -> Column:
@@ -45,9 +45,8 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_length: int = 1, tex
     )
     out = joined.withColumn("all_lines", F.split("l_text", "\n"))
     passed = [F.col("l_row").getField(c).alias(c) if c != text else text_left.alias(text) for c in docs.columns]
-    return out.select(
-        *passed, F.size("all_lines").cast("long").alias("l_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("l_dropped")
-    )
+    n_lines, n_dropped = F.size("all_lines").cast("long"), F.coalesce(F.size("drops"), F.lit(0)).cast("long")
+    return out.select(*passed, n_lines.alias(free_name("l_lines", docs.columns)), n_dropped.alias(free_name("l_dropped", docs.columns)))
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:

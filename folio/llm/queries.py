@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,14 +19,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{common.shared_dir(spark)}/folio-tokens-{uuid.uuid4().hex}"
+    path = common.new_path(spark, "tokens")
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.read_tokens(spark, path)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_join(table(spark, sf_dir, "documents"), words=4, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +47,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([Row(conv_id=-7, turn=0, role="user", text=said), Row(conv_id=-7, turn=1, role="assistant", text=said)], "conv_id long, turn long, role string, text string")
     path = public_tokenizers.path("byte_bpe_50k.json")
     segments = common.stored(chat.format_chats(turns.unionByName(added), path), "chats")
-    return chat.read_chats(segments, path).drop("n_ids", "n_loss_ids")
+    return chat.read_chats(segments, path)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

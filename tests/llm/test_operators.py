@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -89,10 +90,12 @@ def test_pieces_joined_equal_whole_texts():
     with open(BYTE, encoding="utf-8") as f, open(WORD, encoding="utf-8") as g:
         byte, word = f.read(), g.read()
     wanted = ids_of(BYTE, texts)
-    counting = CountingWords(byte, keep=50)
-    assert [n for i in range(0, 2000, 100) for n in counting.batch(texts[i : i + 100])] == [len(i) for i in wanted]
-    assert [np.frombuffer(x, "<u4").tolist() for x in LibraryWords(byte, True, keep=50).batch(texts)] == wanted
-    assert [np.frombuffer(x, "<u4").tolist() for x in LibraryWords(word, False).batch(texts)] == ids_of(WORD, texts)
+    column = pa.array(texts, pa.string())
+    counting = CountingWords(byte)
+    assert [n for i in range(0, 2000, 100) for n in counting.batch(column.slice(i, 100))] == [len(i) for i in wanted]
+    assert [x.tolist() for x in LibraryWords(byte, True).batch(column, at_once=100)] == wanted
+    assert [x.tolist() for x in LibraryWords(word, False).batch(column)] == ids_of(WORD, texts)
+    assert [list(w.batch(column.slice(0, 0))) for w in (counting, LibraryWords(byte, True), LibraryWords(word, False))] == [[]] * 3
 
 
 def test_merging_gives_the_library_ids():
@@ -329,11 +332,17 @@ def test_chats(spark):
         loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
         assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert r.formatted_chars >= len(said)
+        assert r.formatted_chars == sum(len(f"<|turn|>{chat.escaped(x[2] or '')}<|says|>{chat.escaped(x[3] or '')}<|end|>") for x in own)
     for r in segments.collect():
         assert [r.ids.count(i) for i in (chat.TURN, chat.SAYS, chat.END)] == [1, 1, 1]
-    starts = segments.where("conv_id = 1").orderBy("turn_order").collect()
-    assert [r.first_id for r in starts] == [0, *np.cumsum([len(r.ids) for r in starts])[:-1]]
+    ids = [r.ids for r in segments.where("conv_id = 1").collect()]
+    assert found[1].n_ids == sum(map(len, ids))
+    tokenizer = Tokenizer.from_file(BYTE)
+    tokenizer.encode_special_tokens = True
+    for r in segments.collect():
+        says = r.ids.index(chat.SAYS)
+        assert tokenizer.decode(r.ids[1:says], skip_special_tokens=False) in {x[2] or "" for x in rows}
+        assert all(not m for m in r.loss[: says + 1]) and not r.loss[-1]
 
 
 def test_no_control_string_survives_escaping():
@@ -396,6 +405,53 @@ def test_proximity_matches(spark):
     assert {r.doc_id: (r.n_hit, r.n_near) for r in decontam.decontaminate(docs, items).collect()} == {1: (0, 1), 2: (0, 0)}
 
 
+def test_proximity_equals_brute_force(spark):
+    """Items with words changed, left out or put in, against a plain count of places in bands."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([1, 2, 5, 13, 20])))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = items[i % 12][1].split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = rng.choices(vocab, k=rng.randrange(3))
+            w = w or ["w0"]
+        docs.append((i, " ".join(rng.choices(vocab, k=rng.randrange(9)) + w + rng.choices(vocab, k=rng.randrange(9)))))
+
+    def near(text, item):
+        w, q = text.split(), item.split()
+        size, best = min(13, len(q)), 0
+        exact = any(w[p : p + size] == q[s : s + size] for s in range(len(q) - size + 1) for p in range(len(w)))
+        for grid in (0, 1):
+            bands = {}
+            for p, a in enumerate(w):
+                for k, b in enumerate(q):
+                    if a == b:
+                        bands.setdefault((p - k + 4 * grid) // 8, set()).add(k)
+            best = max([best, *(sum(s <= k < s + 13 for k in own) for own in bands.values() for s in range(len(q)))])
+        return not exact and best >= math.ceil(0.8 * size)
+
+    wanted = {i: sum(near(t, x) for _, x in items) for i, t in docs}
+    assert sum(wanted.values()) > 20
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (2_000_000, 0):
+        assert {r.doc_id: r.n_near for r in decontam.decontaminate(*tables, broadcast_rows=limit).collect()} == wanted
+
+
+def test_stages_take_columns_named_as_their_own(spark, data):
+    """A table with columns called as the operators' own ones goes through every stage."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    names = ["score", "lang_pred", "l_lines", "l_dropped", "gone_id", "again_id", "found", "whole", "once", "share", "k_a", "d_row", "parts", "a.b"]
+    wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.stored(stage(spark, wide, data), f"test-{name}")
+        assert out.count()
+        if name != "pack":
+            assert out.columns == wide.columns
+            assert out.select(*[f"`{n}`" for n in names]).distinct().collect() == [tuple(range(len(names)))]
+
+
 # 9
 def brute_simhash(text, words=5):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").strip(" \t\n\v\f\r")
