@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.functions.text import normalized_chars, squeezed
@@ -15,14 +17,14 @@ def latest_results(records: DataFrame, keys: list[str], position: str = "report"
     return latest(records, keys, F.desc(position))
 
 
-def flatten_tree(nested: DataFrame, depth: int = 8) -> DataFrame:
+def flatten_tree(nested: DataFrame) -> DataFrame:
     """Nested nodes (tree_id, nodes array of title, start_index, end_index, summary, nodes) to rows with depth, in pre-order.
 
-    One ``explode`` a level; the path of positions orders parents before children.
+    One ``explode`` for each level that the schema has; the path of positions orders parents before children.
     """
     level = nested.select("tree_id", F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), "nodes")
     out = None
-    for d in range(depth + 1):
+    for d in count():
         rows = level.select("tree_id", "path", "depth", F.posexplode("nodes").alias("pos", "n"))
         rows = rows.select("tree_id", F.concat("path", F.array("pos")).alias("path"), "depth", "n")
         flat = rows.select("tree_id", "path", "depth", "n.title", F.col("n.start_index").alias("start"), F.col("n.end_index").alias("end"), "n.summary")
@@ -125,6 +127,24 @@ def trial_history(records: DataFrame, modes: list[str]) -> DataFrame:
     return joined.withColumn("rejected", F.col("observed") - F.col("ready"))
 
 
+def rejected_files(records: DataFrame) -> DataFrame:
+    """Files that a report's mode didn't accept, with status and reason (report, mode, file, status, reason)."""
+    return records.where("status <> 'ready' or status is null").select("report", "mode", "file", "status", "reason")
+
+
+def earlier_outcomes(records: DataFrame) -> DataFrame:
+    """Outcomes of attempts before a deliberate retry (report, mode, file, original_outcome; null without a retry)."""
+    return records.where("original_outcome is not null").select("report", "mode", "file", F.col("original_outcome").alias("outcome"))
+
+
+def question_outcomes(questions: DataFrame) -> DataFrame:
+    """Status and reason of each report's questions: the question's own, else its result's, else why it was not asked.
+
+    questions: report, mode, id, status, result struct of status and reason, reason, why.
+    """
+    return questions.select("report", "mode", "id", F.coalesce("status", "result.status").alias("status"), F.coalesce("reason", "result.reason", "why").alias("reason"))
+
+
 def qa_checks(runs: DataFrame, questions: DataFrame, reads: DataFrame) -> DataFrame:
     """Expected outcome, all facts in the text, and every expected original cited.
 
@@ -145,9 +165,10 @@ def qa_checks(runs: DataFrame, questions: DataFrame, reads: DataFrame) -> DataFr
 
 
 def distribution(value: str, prefix: str = "") -> list[Column]:
-    """Count, least, nearest-rank median and 95th percentile, and largest of a column's numbers; null when there is none."""
-    v = F.when(~F.isnan(value), F.col(value))
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN NOT isnan(`{value}`) THEN `{value}` END)")
+    """Count, least, nearest-rank median and 95th percentile, and largest of a column's finite numbers; null when there is none."""
+    finite = f"CASE WHEN abs(`{value}`) < double('Infinity') THEN `{value}` END"  # not a number is above all
+    v = F.expr(finite)
+    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {finite})")
     return [
         F.count(v).alias(f"{prefix}count"), F.min(v).alias(f"{prefix}min_ms"), rank(0.5).alias(f"{prefix}median_ms"), rank(0.95).alias(f"{prefix}p95_ms"),
         F.max(v).alias(f"{prefix}max_ms"),
@@ -170,26 +191,44 @@ def usage_totals(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("usage").alias("records_with_usage"), *sums)
 
 
-def mode_measurements(records: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Per mode invariants of accepted trees, agreement of extraction, latency of indexing, and questions completed by channel.
+def mode_measurements(records: DataFrame, questions: DataFrame, reached: DataFrame) -> DataFrame:
+    """Per mode invariants of accepted trees, agreement of extraction, reachability of evidence, latency and usage of indexing on both sides, and questions,
+    latency and usage by channel. Web latency is that of completed questions, mcp latency that of all.
 
-    records: mode, status, nodes, valid_ranges, complete, summaries, both_extracted, same_pages, same_order, elapsed_ms. outcomes: mode, channel, status.
+    records: mode, status, their_status, nodes, valid_ranges, complete, summaries, both_extracted, same_pages, same_order, elapsed_ms, their_elapsed_ms, usage.
+    questions: mode, channel, status, elapsed_ms, usage. reached: mode, ours, theirs. ``usage`` is a struct, null without one.
     """
-    accepted = F.col("status") == "ready"
+    accepted, done = F.col("status") == "ready", F.col("status") == "completed"
     every = lambda c: F.coalesce(F.bool_and(F.when(accepted, c)), F.lit(True))
     # percentiles of accepted ones only: others are null and don't count
-    timed = records.withColumn("accepted_ms", F.when(accepted, F.col("elapsed_ms")))
+    timed = records.withColumns({"accepted_ms": F.when(accepted, F.col("elapsed_ms")), "completed_ms": F.when(F.col("their_status") == "completed", F.col("their_elapsed_ms"))})
     a = timed.groupBy("mode").agg(
         F.count_if(accepted).alias("accepted"), every(F.col("nodes") == F.col("valid_ranges")).alias("ranges_valid"), every(F.col("complete")).alias("pages_complete"),
         every(F.col("nodes") == F.col("summaries")).alias("summaries_complete"), F.count_if("both_extracted").alias("both_extracted"),
         F.count_if(F.col("both_extracted") & F.col("same_pages")).alias("characters_kept"), F.count_if(F.col("both_extracted") & F.col("same_order")).alias("order_kept"),
-        *distribution("accepted_ms"),
-    )
-    done = F.col("status") == "completed"
-    b = outcomes.groupBy("mode").agg(
-        *[F.count_if((F.col("channel") == c) & k).alias(f"{c}_{n}") for c in ("web", "mcp") for n, k in (("questions", F.lit(True)), ("completed", done))]
+        *distribution("accepted_ms"), *distribution("completed_ms", "their_"), *_usage(records, "index_"),
     )
-    return a.join(b, "mode", "left")
+    channels = []
+    for channel, counted in (("web", done), ("mcp", F.lit(True))):
+        own = questions.where(F.col("channel") == channel).withColumn("counted_ms", F.when(counted, F.col("elapsed_ms")))
+        sums = [F.count("*").alias(f"{channel}_questions"), F.count_if(done).alias(f"{channel}_completed")]
+        channels.append(own.groupBy("mode").agg(*sums, *distribution("counted_ms", f"{channel}_"), *_usage(questions, f"{channel}_")))
+    c = reached.groupBy("mode").agg(F.count("*").alias("reach_total"), F.count_if("ours").alias("reach_ours"), F.count_if("theirs").alias("reach_theirs"))
+    found = a
+    for other in (*channels, c):
+        found = found.join(other, "mode", "left")
+    counts = [f.name for f in found.schema if f.name.endswith(("_questions", "_completed", "_with_usage")) or f.name.startswith("reach_")]
+    return found.na.fill(0, counts)
+
+
+def _usage(df: DataFrame, prefix: str) -> list[Column]:
+    sums = [F.coalesce(F.sum(F.col("usage")[c]), F.lit(0)).alias(f"{prefix}{c}") for c in df.schema["usage"].dataType.fieldNames()]
+    return [F.count("usage").alias(f"{prefix}with_usage"), *sums]
+
+
+def question_rows(questions: DataFrame) -> DataFrame:
+    """A row for each web question: id, status, outcome, the report it comes from, and whether its facts are in the text."""
+    return questions.where("channel = 'web'").select("mode", "id", "status", "outcome", "report", "lexical")
 
 
 def ledger_summary(calls: DataFrame) -> DataFrame:
@@ -204,6 +243,11 @@ def _totals() -> list[Column]:
     ]
 
 
+def request_errors(calls: DataFrame) -> DataFrame:
+    """Failed requests of each ledger with their lane (ledger, lane, seq)."""
+    return calls.where("error").select("ledger", "lane", "seq")
+
+
 def lane_summary(calls: DataFrame) -> DataFrame:
     """The same for each lane with latency and first output; ledger totals have a null lane. One rollup, one pass."""
     levels = calls.rollup("ledger", "lane").agg(*_totals(), *distribution("elapsed_ms"), *distribution("first_ms", "first_"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.functions.text import line_signature, normalized_title, upper_median
 
@@ -15,7 +15,6 @@ def cluster_rows(items: DataFrame) -> DataFrame:
 
     The rule looks at the row's first item, so it is a fold over a page's items; pages are bounded and folded apart.
     """
-    item = F.struct("y", "x", "seq", "text", "font", "width", "height", "page_width", "page_height")
     start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("height"), F.array().cast("array<int>").alias("rows"))
 
     def step(state, i):
@@ -26,9 +25,13 @@ def cluster_rows(items: DataFrame) -> DataFrame:
             F.concat(state["rows"], F.array(row)).alias("rows"),
         )
 
-    paged = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    rows = F.aggregate("items", start, step, lambda s: s["rows"])
-    return paged.select(*PAGE, F.explode(F.arrays_zip("items", rows.alias("rows"))).alias("z")).select(*PAGE, F.col("z.rows").alias("row"), "z.items.*")
+    # an item at the y and height of the one before it goes where that went: the fold is over the first of each run
+    ordered = Window.partitionBy(*PAGE).orderBy("y", "x", "seq")
+    again = F.lag("y").over(ordered).eqNullSafe(F.col("y")) & F.lag("height").over(ordered).eqNullSafe(F.col("height"))
+    runs = items.withColumn("again", again).withColumn("run", F.count_if(~F.col("again")).over(ordered).cast("int"))
+    heads = F.array_sort(F.collect_list(F.when(~F.col("again"), F.struct("run", "y", "height"))).over(Window.partitionBy(*PAGE)))
+    rows = runs.withColumn("rows", F.aggregate(heads, start, step, lambda s: s["rows"]))
+    return rows.select(*PAGE, F.element_at("rows", F.col("run")).alias("row"), "y", "x", "seq", "text", "font", "width", "height", "page_width", "page_height")
 
 
 def split_chunks(rows: DataFrame) -> DataFrame:
@@ -62,23 +65,31 @@ def join_text(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _gutter(over) -> list[Column]:
+    """Gutter, columns and lines on either side, from aggregates of a page's lines that ``over`` may put over a window."""
+    x, right_end, width = F.col("x"), F.col("x") + F.col("width"), F.col("page_width")
+    left = (right_end <= width * 0.53) & (x < width * 0.35)
+    right = (x >= width * 0.45) & (F.col("width") < width * 0.5)
+    n_left, n_right, page = over(F.count_if(left)), over(F.count_if(right)), over(F.first(width))
+    left_end, right_start = over(F.max(F.when(left, right_end))), over(F.min(F.when(right, x)))
+    ends = upper_median(over(F.collect_list(F.when(left, right_end))), 0.0)
+    two = (n_left >= 3) & (n_right >= 3) & (right_start - ends > page * 0.035)
+    gutter = (F.greatest(F.coalesce(left_end, F.lit(0.0)), F.lit(0.0)) + F.least(F.coalesce(right_start, page), page)) / 2
+    return [gutter.alias("gutter"), F.when(two, 2).otherwise(1).alias("columns"), n_left.alias("n_left"), n_right.alias("n_right")]
+
+
 def detect_columns(lines: DataFrame) -> DataFrame:
     """Gutter and one or two columns of each page."""
-    right_end = F.col("x") + F.col("width")
-    left = (right_end <= F.col("page_width") * 0.53) & (F.col("x") < F.col("page_width") * 0.35)
-    right = (F.col("x") >= F.col("page_width") * 0.45) & (F.col("width") < F.col("page_width") * 0.5)
-    sums = lines.groupBy(*PAGE).agg(
-        F.count_if(left).alias("n_left"), F.count_if(right).alias("n_right"), F.max(F.when(left, right_end)).alias("left_end"),
-        F.min(F.when(right, F.col("x"))).alias("right_start"), F.collect_list(F.when(left, right_end)).alias("ends"), F.first("page_width").alias("width"),
-    )
-    two = (F.col("n_left") >= 3) & (F.col("n_right") >= 3) & (F.col("right_start") - upper_median(F.col("ends"), 0.0) > F.col("width") * 0.035)
-    gutter = (F.greatest(F.coalesce("left_end", F.lit(0.0)), F.lit(0.0)) + F.least(F.coalesce("right_start", "width"), F.col("width"))) / 2
-    return sums.select(*PAGE, gutter.alias("gutter"), F.when(two, 2).otherwise(1).alias("columns"), "n_left", "n_right")
+    return lines.groupBy(*PAGE).agg(*_gutter(lambda c: c))
+
 
+def reading_order(lines: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """Lines with ``ord``: across-page lines cut a two-column page into bands; in a band left comes first, then right, then the line that cuts.
 
-def reading_order(lines: DataFrame, columns: DataFrame) -> DataFrame:
-    """Lines with ``ord``: across-page lines cut a two-column page into bands; in a band left comes first, then right, then the line that cuts."""
-    both = lines.join(columns.select(*PAGE, "gutter", "columns"), PAGE)
+    Without ``columns`` (of ``detect_columns``) they come from windows over the page, which share the one shuffle of the order.
+    """
+    own = Window.partitionBy(*PAGE)
+    both = lines.select("*", *_gutter(lambda c: c.over(own))[:2]) if columns is None else lines.join(columns.select(*PAGE, "gutter", "columns"), PAGE)
     across = ((F.col("x") < F.col("gutter")) & (F.col("x") + F.col("width") > F.col("gutter"))) | (F.col("y") < F.col("page_height") * TOP) | (
         F.col("y") > F.col("page_height") * BOTTOM
     )
@@ -96,14 +107,23 @@ def reading_order(lines: DataFrame, columns: DataFrame) -> DataFrame:
     return both.withColumn("ord", order.cast("int")).drop("seq", "across", "band", "side")
 
 
-def mark_margins(lines: DataFrame, page_height: float = 792.0) -> DataFrame:
-    """Lines with ``margin``: small, in the top or bottom zone, and with a signature on max(2, 60 % of the pages) pages there."""
-    zone = (F.col("y") < page_height * TOP) | (F.col("y") > page_height * BOTTOM)
+def mark_margins(lines: DataFrame, page_height: float = 792.0, page_counts: DataFrame | None = None) -> DataFrame:
+    """Lines with ``margin``: small, in the top or bottom zone, and with a signature on max(2, 60 % of the pages) pages there.
+
+    A page's height is its ``page_height`` where lines have that column, else the one given. A document's pages are those of ``page_counts``, else as
+    many as its last line's page says.
+    """
+    height = F.col("page_height") if "page_height" in lines.columns else F.lit(page_height)
+    zone = (F.col("y") < height * TOP) | (F.col("y") > height * BOTTOM)
     signed = lines.drop("margin").withColumns({"zone": zone, "signature": F.when(zone, line_signature(F.col("text")))})
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("n_pages"))
     seen = signed.where("zone").groupBy("doc_id", "signature").agg(F.count_distinct("page").alias("n_seen"))
-    body = lines.groupBy(*PAGE).agg(upper_median(F.collect_list(F.when(F.length("text") > 20, F.col("height"))), 0.0).alias("body"))
-    joined = signed.join(body, PAGE).join(pages, "doc_id").join(seen, ["doc_id", "signature"], "left")
+    body = upper_median(F.collect_list(F.when(F.length("text") > 20, F.col("height"))).over(Window.partitionBy(*PAGE)), 0.0)
+    signed = signed.withColumn("body", body)
+    if page_counts is None:
+        signed = signed.withColumn("n_pages", F.max("page").over(Window.partitionBy("doc_id")))
+    else:
+        signed = signed.join(page_counts.select("doc_id", "n_pages"), "doc_id")
+    joined = signed.join(seen, ["doc_id", "signature"], "left")
     often = F.coalesce("n_seen", F.lit(0)) >= F.greatest(F.lit(2), F.ceil(F.col("n_pages") * 0.6))
     margin = F.col("zone") & often & (F.col("height") <= F.col("body") * 1.1)
     return joined.withColumn("margin", margin).drop("zone", "signature", "n_seen", "n_pages", "body")

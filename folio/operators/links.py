@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,13 +22,29 @@ def resolved_path(base: Column, target: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
-def extract_links(docs: DataFrame, pattern: str = HTML_LINK, absolute: bool = False) -> DataFrame:
-    """G1: links and images of docs (path, body): href, target path and anchor. Schemes are skipped, and rooted targets unless ``absolute``."""
+def decoded(part: Column) -> Column:
+    """Percent codes of a link resolved; a plus is a plus. Null where a code is malformed."""
+    return F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
+
+
+def hrefs(docs: DataFrame, pattern: str, absolute: bool) -> DataFrame:
     each = docs.select("path", F.explode(F.regexp_extract_all("body", F.lit(pattern), 1)).alias("href"))
     kept = each.where((F.col("href") != "") & ~F.col("href").rlike(r"(?i)^[a-z][a-z\d+.-]*:"))
-    kept = kept if absolute else kept.where(~F.col("href").startswith("/"))
-    place = F.try_url_decode(F.substring_index("href", "#", 1))
-    anchor = F.when(F.col("href").contains("#"), F.try_url_decode(F.regexp_replace("href", "^[^#]*#", ""))).otherwise("")
+    return kept if absolute else kept.where(~F.col("href").startswith("/"))
+
+
+def malformed_links(docs: DataFrame, pattern: str = HTML_LINK, absolute: bool = False) -> DataFrame:
+    """G1: links (path, href) whose percent codes can't be resolved."""
+    return hrefs(docs, pattern, absolute).where(decoded(F.col("href")).isNull())
+
+
+def extract_links(docs: DataFrame, pattern: str = HTML_LINK, absolute: bool = False) -> DataFrame:
+    """G1: links and images of docs (path, body): href, target path and anchor. Schemes are skipped, and rooted targets unless ``absolute``; malformed ones
+    are those of ``malformed_links``."""
+    kept = hrefs(docs, pattern, absolute)
+    place = decoded(F.substring_index("href", "#", 1))
+    anchor = F.when(F.col("href").contains("#"), decoded(F.regexp_replace("href", "^[^#]*#", ""))).otherwise("")
+    kept = kept.where(place.isNotNull() & anchor.isNotNull())
     # a target that starts with / counts from the top
     target = F.when(place == "", F.col("path")).when(place.startswith("/"), resolved_path(F.lit(""), place)).otherwise(resolved_path(F.col("path"), place))
     return kept.select("path", "href", target.alias("target"), anchor.alias("anchor"))
@@ -41,12 +56,21 @@ def dangling_links(links: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def heading_anchors(docs: DataFrame, pattern: str = HTML_HEADING) -> DataFrame:
-    """The anchor of each heading: lower case, without punctuation, spaces as hyphens; repeats get -1, -2 and so on."""
+    """The anchor of each heading: lower case, without punctuation, spaces as hyphens; a name in use gets -1, -2 and so on until it is free.
+
+    Whether a name is in use depends on all before it, so it is a fold over the headings of one page.
+    """
     each = docs.select("path", F.posexplode(F.regexp_extract_all("body", F.lit(pattern), 1)).alias("pos", "heading"))
     slug = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace("heading", "<[^>]*>", "")), r"[^\p{L}\p{N}\p{M}_ -]", ""), " ", "-")
-    w = Window.partitionBy("path", "slug").orderBy("pos")
-    nth = F.row_number().over(w) - 1
-    return each.withColumn("slug", slug).select("path", "pos", F.when(nth == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", nth.cast("string"))).alias("anchor"))
+
+    def step(used, h):
+        name = lambda n: F.when(n == 0, h["slug"]).otherwise(F.concat_ws("-", h["slug"], n.cast("string")))
+        free = F.filter(F.sequence(F.lit(0), F.size(used)), lambda n: ~F.array_contains(used, name(n)))
+        return F.concat(used, F.array(name(F.get(free, F.lit(0)))))
+
+    paged = each.withColumn("slug", slug).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "slug"))).alias("rows"))
+    names = F.aggregate("rows", F.array().cast("array<string>"), step)
+    return paged.select("path", F.explode(F.arrays_zip(F.transform("rows", lambda r: r["pos"]).alias("pos"), names.alias("anchor"))).alias("z")).select("path", "z.pos", "z.anchor")
 
 
 def dangling_anchors(links: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -61,7 +85,7 @@ def unreachable(docs: DataFrame, links: DataFrame, root: Column) -> DataFrame:
     Each round joins the new frontier with the links; frontier and reached set go through tables in the shared folder, so lineage stays short.
     """
     spark = docs.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='folio-links-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     base = f"{folder.rstrip('/')}/folio-reached-{uuid.uuid4().hex}"
     edges = links.select("path", "target").distinct()
     frontier, n = docs.where(root).select("path").distinct(), 0

@@ -65,14 +65,14 @@ def page_slices(requests: DataFrame, pages: DataFrame, page_counts: DataFrame, b
     """Slices of the pages asked for (request_id, doc_id, pages, offset): start, end, complete, and where to go on.
 
     Pages come in the order asked while characters are left; the first page that isn't whole ends the answer. When a page ends just at the budget, the
-    next one starts at 0. A request with a page out of bounds, a missing page or an offset beyond its page has a failure instead.
+    next one starts at 0. A request for more than 8 pages, or with a page out of bounds, a missing page or an offset beyond its page has a failure instead.
     """
     each = requests.select("request_id", "doc_id", "offset", F.size("pages").alias("n_asked"), F.posexplode("pages").alias("pos", "page"))
     sized = each.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"], "left").join(page_counts, "doc_id", "left")
     first = F.when(F.col("pos") == 0, F.col("offset")).otherwise(F.lit(0))
     length = F.length("text")
     bad = (
-        F.when((F.col("page") < 1) | (F.col("page") > F.coalesce("n_pages", F.lit(0))), "page_out_of_bounds")
+        F.when(F.col("n_asked") > MOST_PAGES, "page_request_too_large").when((F.col("page") < 1) | (F.col("page") > F.coalesce("n_pages", F.lit(0))), "page_out_of_bounds")
         .when(F.col("text").isNull(), "page_unavailable").when(first > length, "page_offset_out_of_bounds")
     )
     w = Window.partitionBy("request_id").orderBy("pos")

@@ -127,12 +127,15 @@ def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.max("page").alias("n_pages"))
 
 
-def build_tree(lines: DataFrame, outlines: DataFrame | None = None) -> DataFrame:
-    """Chapter tree of each document, a row a node. Documents without a heading have none: see ``without_structure``."""
+def build_tree(lines: DataFrame, outlines: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Chapter tree of each document, a row a node. Documents without a heading have none: see ``without_structure``.
+
+    ``counts`` (doc_id, n_pages) has each document's pages, blank ones too; without it the last page with a line counts as the last.
+    """
     headings = headings_from_lines(lines)
     if outlines is not None:
         headings = fuse_outlines(headings, outlines, lines)
-    return assign_ranges(assign_hierarchy(add_front_matter(dedupe_headings(headings))), page_counts(lines))
+    return assign_ranges(assign_hierarchy(add_front_matter(dedupe_headings(headings))), page_counts(lines) if counts is None else counts)
 
 
 def without_structure(lines: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -202,12 +205,13 @@ def toc_pages(lines: DataFrame) -> DataFrame:
 def map_toc(entries: DataFrame, lines: DataFrame, excluded: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries (doc_id, entry, title, label, depth) with physical page, order and reason: found by a unique label match, else by a unique title match.
 
-    ``labels`` has a page's printed label. Entries meet the lines of their own document only.
+    ``labels`` has a page's printed label. Entries meet the lines of their own document only. A line outside margins names the page; the order is
+    that of the page's first matching line, margins included.
     """
-    body = lines.where("not margin").join(excluded, PAGE, "left_anti").select(*PAGE, "ord", normalized_title(F.col("text")).alias("line"))
+    body = lines.join(excluded, PAGE, "left_anti").select(*PAGE, "ord", "margin", normalized_title(F.col("text")).alias("line"))
     keyed = entries.withColumn("key", normalized_title(F.col("title")))
     met = keyed.join(body, "doc_id").where(F.col("line").contains(F.col("key")))
-    each = met.groupBy("doc_id", "entry", "label", "page").agg(F.min("ord").alias("ord")).join(labels.withColumnRenamed("label", "printed"), PAGE, "left")
+    each = met.groupBy("doc_id", "entry", "label", "page").agg(F.min("ord").alias("ord"), F.bool_or(~F.col("margin")).alias("named")).where("named").join(labels.withColumnRenamed("label", "printed"), PAGE, "left")
     same = F.lower("printed") == F.lower("label")
     sums = each.groupBy("doc_id", "entry").agg(
         F.count("*").alias("n"), F.count_if(same).alias("n_labelled"), F.min(F.struct("page", "ord")).alias("any"), F.min(F.when(same, F.struct("page", "ord"))).alias("labelled")
@@ -228,6 +232,19 @@ def toc_repairs(mapped: DataFrame, bound: int = 32) -> DataFrame:
     )
 
 
+def toc_failures(mapped: DataFrame, documents: DataFrame, bound: int = 32) -> DataFrame:
+    """What fails the printed contents of each document (doc_id): its first entry without a place or beyond the bound of repairs, no entry at all, or
+    entries out of page order; null if nothing does."""
+    number = F.when(F.col("label").rlike("^[0-9]+$"), F.col("label").cast("long")).otherwise(F.col("page"))
+    beyond = ~F.col("labelled") & (F.abs(F.col("page") - number) > bound)
+    own = F.coalesce("reason", F.when(beyond, "toc_repair_bound_exceeded"))
+    before = F.lag("page").over(Window.partitionBy("doc_id").orderBy("entry"))
+    judged = mapped.withColumns({"own": own, "back": F.coalesce(F.col("page") < before, F.lit(False))})
+    sums = judged.groupBy("doc_id").agg(F.min_by("own", F.when(F.col("own").isNotNull(), F.col("entry"))).alias("first"), F.bool_or("back").alias("back"))
+    failure = F.when(F.col("back").isNull(), "toc_structure_empty").otherwise(F.coalesce("first", F.when(F.col("back"), "toc_order_invalid")))
+    return documents.select("doc_id").distinct().join(sums, "doc_id", "left").select("doc_id", failure.alias("failure"))
+
+
 def verify_headings(proposed: DataFrame, pages: DataFrame) -> DataFrame:
     """Proposed headings with ``verified``: the anchor stands in that page's navigation text."""
     body = pages.select(*PAGE, normalized_title(F.col("navigation_text")).alias("body"))
@@ -315,7 +332,8 @@ def oversized_leaves(sized: DataFrame) -> DataFrame:
 def subdivide(leaves: DataFrame, proposed: DataFrame) -> DataFrame:
     """Children of oversized leaves (doc_id, node, start, end, depth) from verified headings (doc_id, node, page, ord, title, anchor): one a page.
 
-    The failure is the leaf's: too few, not from its start, as many as pages, or a child as long as the leaf.
+    The failure is the leaf's: too few, not from its start, as many as pages, or a child as long as the leaf. A leaf without a verified heading has one row
+    without a child.
     """
     inside = proposed.where("verified").join(leaves.where("failure is null").drop("failure"), ["doc_id", "node"]).where("page between start and end")
     one = inside.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "node", "page").orderBy("ord", "title"))).where("nth = 1")
@@ -324,11 +342,26 @@ def subdivide(leaves: DataFrame, proposed: DataFrame) -> DataFrame:
     sums = kids.groupBy("doc_id", "node").agg(F.count("*").alias("n"), F.min("page").alias("first"), F.max(F.col("child_end") - F.col("page")).alias("longest"))
     span = F.col("end") - F.col("start")
     poor = (F.col("n") < 2) | (F.col("first") != F.col("start")) | (F.col("n") >= span + 1)
-    judged = kids.join(sums, ["doc_id", "node"])
-    failure = F.when(poor, "subdivision_inadequate").when(F.col("longest") >= span, "subdivision_no_progress")
+    divided = leaves.where("failure is null").select("doc_id", "node", "start", "end", "depth")
+    judged = divided.join(kids.drop("start", "end", "depth"), ["doc_id", "node"], "left").join(sums, ["doc_id", "node"], "left")
+    failure = F.when(F.col("n").isNull() | poor, "subdivision_inadequate").when(F.col("longest") >= span, "subdivision_no_progress")
     return judged.select("doc_id", "node", F.col("child").cast("int").alias("child"), "title", "anchor", F.col("page").alias("child_start"), "child_end", (F.col("depth") + 1).alias("child_depth"), failure.alias("failure"))
 
 
+def splice(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """Trees (doc_id, node, title, start, end, depth, parent) with the children of ``subdivide`` after their leaves, numbered anew in order.
+
+    Children of a leaf that failed stay out. The result is what ``validate_tree`` judges.
+    """
+    kids = children.where("failure is null").select(
+        "doc_id", "node", "child", "title", F.col("child_start").alias("start"), F.col("child_end").alias("end"), F.col("child_depth").alias("depth"), F.col("node").alias("parent")
+    )
+    both = nodes.select("doc_id", "node", F.lit(0).alias("child"), "title", "start", "end", "depth", "parent").unionByName(kids)
+    ranked = both.withColumn("new", (F.row_number().over(Window.partitionBy("doc_id").orderBy("node", "child")) - 1).cast("int"))
+    above = ranked.where("child = 0").select("doc_id", F.col("node").alias("parent"), F.col("new").alias("new_parent"))
+    return ranked.join(above, ["doc_id", "parent"], "left").select("doc_id", F.col("new").alias("node"), "title", "start", "end", "depth", F.col("new_parent").alias("parent"))
+
+
 def own_pages(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages of each node that lie under none of its children: (doc_id, node, page).
 

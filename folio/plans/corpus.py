@@ -72,6 +72,31 @@ def s5(spark, sf_dir) -> DataFrame:
     return found[0].union(found[1]).select("report", "mode", "file", "sha256", "status", F.col("elapsedMs").alias("elapsed_ms"))
 
 
+@query(
+    "S5_report_questions",
+    f"""WITH {cte('runs')} SELECT run_id % 2 AS report, CASE WHEN turn % 2 = 0 THEN 'flash' ELSE 'standard' END AS mode, CAST(run_id AS VARCHAR) AS id, status, run_id % 977 * 1.0 AS elapsed_ms FROM runs""",
+)
+def s5b(spark, sf_dir) -> DataFrame:
+    return _questions(spark, sf_dir, "questions").select("report", "mode", "id", "status", F.col("elapsedMs").alias("elapsed_ms"))
+
+
+@query("S5_report_failures", f"WITH {cte('runs')} SELECT run_id % 2 AS report, concat(CAST(run_id AS VARCHAR), ' failed') AS failure FROM runs WHERE status = 'failed'")
+def s5c(spark, sf_dir) -> DataFrame:
+    return _questions(spark, sf_dir, "failures").select("report", F.col("x").alias("failure"))
+
+
+def _questions(spark, sf_dir, part) -> DataFrame:
+    """Reports with the runs as their questions, written and read back."""
+    path, run = scratch(spark, "questions"), F.col("run_id")
+    mode = F.when(F.col("turn") % 2 == 0, "flash").otherwise("standard").alias("mode")
+    asked = F.struct(mode, run.cast("string").alias("id"), "status", (run % 977 * 1.0).alias("elapsedMs")).alias("q")
+    rows = derive(spark, sf_dir, "runs").select((run % 2).alias("report"), asked, F.when(F.col("status") == "failed", F.concat(run.cast("string"), F.lit(" failed"))).alias("f"))
+    each = rows.groupBy("report", F.spark_partition_id()).agg(F.collect_list("q").alias("questions"), F.collect_list("f").alias("failures"))
+    each.select("report", "questions", "failures").write.option("maxRecordsPerFile", 1).partitionBy("report").json(path)
+    found = [tables.read_reports(spark, [f"{path}/report={n}"], part).withColumn("report", F.lit(n).cast("long")) for n in (0, 1)]
+    return found[0].union(found[1])
+
+
 @query("S6_write_report", f"WITH {cte('imports')} SELECT mode, count(*) AS n FROM imports GROUP BY mode")
 def s6(spark, sf_dir) -> DataFrame:
     path = scratch(spark, "metrics")
@@ -268,7 +293,7 @@ banded AS (
 
 def ordered(spark, sf_dir) -> DataFrame:
     own = boxes(spark, sf_dir)
-    return layout.reading_order(own, layout.detect_columns(own))
+    return layout.reading_order(own)
 
 
 @query("L6_reading_order", f"WITH {ORDERED} SELECT doc_id, page, row, chunk, ord FROM ordered")
@@ -302,14 +327,14 @@ def l9(spark, sf_dir) -> DataFrame:
 
 
 OUTLINES = PAGES + f""", marks AS (
-  SELECT doc_id, text AS title, page + CASE WHEN page % 4 = 0 THEN 1 ELSE 0 END AS page, 0 AS depth FROM lines WHERE ord = 1 AND length(text) < 400 AND doc_id % 3 = 0
+  SELECT doc_id, text AS title, page + CASE WHEN page % 4 = 0 THEN 1 ELSE 0 END AS page, 0 AS depth FROM lines WHERE ord = 1
 ), outlines AS (
   SELECT m.*, coalesce({squeeze('m.title')} <> '' AND contains({squeeze('p.text')}, {squeeze('m.title')}), false) AS verified FROM marks m LEFT JOIN page_text p ON p.doc_id = m.doc_id AND p.page = m.page
 )"""
 
 
 def outlines(spark, sf_dir) -> DataFrame:
-    marks = lines(spark, sf_dir).where("ord = 1 and length(text) < 400 and doc_id % 3 = 0")
+    marks = lines(spark, sf_dir).where("ord = 1")
     marks = marks.select("doc_id", F.col("text").alias("title"), (F.col("page") + (F.col("page") % 4 == 0).cast("int")).alias("page"), F.lit(0).alias("depth"))
     return layout.verify_outlines(marks, pages(spark, sf_dir))
 

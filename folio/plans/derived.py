@@ -60,9 +60,9 @@ TEMPLATES = {
     # a run for each turn of a user; the two documents it selects follow from its numbers
     "runs": """
         SELECT conv_id * 1000 + turn AS run_id, conv_id AS conversation_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'library' ELSE 'selected' END AS mode,
-          (conv_id * 7 + turn) % 200 AS d1, (conv_id * 13 + turn) % 200 AS d2, text AS question,
+          (conv_id * 7919 + turn * 31) % n_docs AS d1, (conv_id * 6101 + turn * 17) % n_docs AS d2, n_docs, text AS question,
           CASE (conv_id + turn) % 7 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'stopping' WHEN 3 THEN 'failed' WHEN 4 THEN 'stopped' ELSE 'completed' END AS status
-        FROM {conversations} WHERE role = 'user'""",
+        FROM {conversations}, (SELECT max(doc_id) + 1 AS n_docs FROM {documents}) WHERE role = 'user'""",
     "calls": """
         SELECT event_id AS seq, user_id AS run_id, event_type AS lane, value AS elapsed_ms, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
           concat('L', CAST(user_id % 4 AS STRING)) AS ledger, event_type = 'error' AS error, event_id % 50 = 0 AS cancelled, ts,
@@ -122,6 +122,17 @@ LINES = r"""lines AS (
     FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents)
   )
 )"""
+
+
+def one_a_page(sql: str) -> str:
+    """The same SQL over documents with one line a page, which makes long documents."""
+    return sql.replace("(n - 1) // 5 + 1", "n").replace("(n - 1) % 5", "0")
+
+
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.lines_from_text(tables.read_table(spark, sf_dir, "documents", "doc_id", "text"), per_page=1)
+
+
 PAGES = LINES + """, page_text AS (
   SELECT doc_id, page, string_agg(text, chr(10) ORDER BY ord) AS text FROM lines GROUP BY doc_id, page
 ), page_counts AS (SELECT doc_id, max(page) AS n_pages FROM lines GROUP BY doc_id)"""

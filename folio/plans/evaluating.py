@@ -97,13 +97,13 @@ def e5(spark, sf_dir):
 
 
 QUESTIONS = PAGES + """, questions AS (
-  SELECT doc_id * 10 + page AS question_id, doc_id, page + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS page, substr(text, 5, 40) AS passage FROM page_text WHERE page <= 3
+  SELECT doc_id * 100000 + page AS question_id, doc_id, page + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS page, substr(text, 5, 40) AS passage FROM page_text
 )"""
 
 
 def questions(spark, sf_dir) -> DataFrame:
-    return pages(spark, sf_dir).where("page <= 3").select(
-        (F.col("doc_id") * 10 + F.col("page")).alias("question_id"), "doc_id", (F.col("page") + (F.col("doc_id") % 4 == 0).cast("int")).alias("page"), F.substring("text", 5, 40).alias("passage")
+    return pages(spark, sf_dir).select(
+        (F.col("doc_id") * 100000 + F.col("page")).alias("question_id"), "doc_id", (F.col("page") + (F.col("doc_id") % 4 == 0).cast("int")).alias("page"), F.substring("text", 5, 40).alias("passage")
     )
 
 
@@ -141,17 +141,50 @@ def e8(spark, sf_dir):
     return evaluation.trial_history(derive(spark, sf_dir, "imports").where("not (report = 1 and mode = 'standard')"), MODES)
 
 
+TRIED = f"""{cte('imports')}, tried AS (SELECT *, CASE WHEN status <> 'ready' THEN concat('reason ', CAST(doc_id % 3 AS VARCHAR)) END AS reason, CASE WHEN retried THEN concat('failed ', CAST(doc_id % 2 AS VARCHAR)) END AS original_outcome FROM imports)"""
+
+
+def tried(spark, sf_dir) -> DataFrame:
+    reason = F.when(F.col("status") != "ready", F.concat(F.lit("reason "), (F.col("doc_id") % 3).cast("string")))
+    outcome = F.when(F.col("retried"), F.concat(F.lit("failed "), (F.col("doc_id") % 2).cast("string")))
+    return derive(spark, sf_dir, "imports").withColumns({"reason": reason, "original_outcome": outcome})
+
+
+@query("E8_rejected_files", f"WITH {TRIED} SELECT report, mode, file, status, reason FROM tried WHERE status <> 'ready'")
+def e8b(spark, sf_dir):
+    return evaluation.rejected_files(tried(spark, sf_dir))
+
+
+@query("E8_earlier_outcomes", f"WITH {TRIED} SELECT report, mode, file, original_outcome AS outcome FROM tried WHERE original_outcome IS NOT NULL")
+def e8c(spark, sf_dir):
+    return evaluation.earlier_outcomes(tried(spark, sf_dir))
+
+
+@query(
+    "E8_question_outcomes",
+    f"""WITH {cte('runs')} SELECT run_id % 2 AS report, CASE WHEN turn % 2 = 0 THEN 'flash' ELSE 'standard' END AS mode, CAST(run_id AS VARCHAR) AS id, status,
+      CASE WHEN run_id % 5 = 0 THEN 'own' WHEN run_id % 5 = 1 THEN 'result' WHEN run_id % 5 = 2 THEN 'why' END AS reason FROM runs""",
+)
+def e8d(spark, sf_dir):
+    at = lambda n, word: F.when(F.col("run_id") % 5 == n, word)
+    asked = derive(spark, sf_dir, "runs").select(
+        (F.col("run_id") % 2).alias("report"), F.when(F.col("turn") % 2 == 0, "flash").otherwise("standard").alias("mode"), F.col("run_id").cast("string").alias("id"),
+        F.when(F.col("run_id") % 3 == 0, F.col("status")).alias("status"), F.struct("status", at(1, "result").alias("reason")).alias("result"), at(0, "own").alias("reason"), at(2, "why").alias("why"),
+    )
+    return evaluation.question_outcomes(asked)
+
+
 @query(
     "E9_qa_checks",
     f"""WITH {QUESTIONS}, q AS (SELECT *, substr(passage, 1, 10) AS fact, CASE WHEN question_id % 5 = 0 THEN 'decline' ELSE 'answer' END AS wanted FROM questions),
-    r AS (SELECT question_id, 'answer' AS outcome, CASE WHEN question_id % 3 = 0 THEN 'nothing' ELSE passage END AS said, doc_id * 100 + page AS ref FROM q)
+    r AS (SELECT question_id, 'answer' AS outcome, CASE WHEN question_id % 3 = 0 THEN 'nothing' ELSE passage END AS said, doc_id * 100000 + page AS ref FROM q)
     SELECT q.question_id, r.outcome = q.wanted AS expected_outcome, contains(lower(r.said), lower(q.fact)) AS lexical_facts, coalesce(contains(substr(p.text, 1, 30), substr(q.passage, 1, 20)), false) AS cited_expected_originals
     FROM q JOIN r USING (question_id) LEFT JOIN page_text p ON p.doc_id = q.doc_id AND p.page = q.page""",
 )
 def e9(spark, sf_dir):
     q = questions(spark, sf_dir)
     said = F.when(F.col("question_id") % 3 == 0, "nothing").otherwise(F.col("passage"))
-    ref = (F.col("doc_id") * 100 + F.col("page")).cast("string")
+    ref = (F.col("doc_id") * 100000 + F.col("page")).cast("string")
     runs = q.select("question_id", F.lit("answer").alias("outcome"), said.alias("text"), F.array(ref).alias("citations"))
     wanted = F.when(F.col("question_id") % 5 == 0, "decline").otherwise("answer").alias("outcome")
     evidence = F.array(F.struct("doc_id", F.array("page").alias("pages"), F.substring("passage", 1, 20).alias("passage"))).alias("evidence")
@@ -175,25 +208,55 @@ def e11(spark, sf_dir):
     return evaluation.usage_totals(c.select("run_id", usage.alias("usage")), ["run_id"])
 
 
-MEASURED = f"""WITH {IMPORTS}, {SHAPES}, r AS (
-  SELECT i.mode, i.status, i.elapsed_ms, s.nodes, s.valid_ranges, s.summaries, coalesce(u.covered, 0) = s.n_pages AS complete, i.doc_id % 5 <> 0 AS both_extracted, i.doc_id % 3 <> 0 AS same_pages, i.doc_id % 2 = 0 AS same_order
+def _sums(prefix: str, calls: str, tokens: str) -> str:
+    return f"count({calls}) AS {prefix}with_usage, coalesce(sum({calls}), 0) AS \"{prefix}modelCalls\", coalesce(sum({tokens}), 0) AS \"{prefix}inputTokens\""
+
+
+def _channel(channel: str, counted: str) -> str:
+    return f"""(SELECT mode, count(*) AS {channel}_questions, count(*) FILTER (WHERE status = 'completed') AS {channel}_completed, {DISTRIBUTION.format(v='t', p=f'{channel}_')}, {_sums(f'{channel}_', 'calls', 'tokens')}
+  FROM (SELECT *, CASE WHEN {counted} THEN elapsed_ms END AS t FROM o WHERE channel = '{channel}') GROUP BY mode)"""
+
+
+ASKED = f"""{cte('runs')}, o AS (SELECT CASE WHEN run_id % 2 = 0 THEN 'flash' ELSE 'standard' END AS mode, CASE WHEN run_id % 10 = 1 THEN 'mcp' ELSE 'web' END AS channel, status, run_id % 977 * 1.0 AS elapsed_ms, run_id,
+  CASE WHEN run_id % 3 <> 0 THEN run_id % 5 END AS calls, CASE WHEN run_id % 3 <> 0 THEN run_id % 50 END AS tokens FROM runs)"""
+MEASURED = f"""WITH {IMPORTS}, {SHAPES}, {ASKED}, r AS (
+  SELECT i.mode, i.status, i.elapsed_ms, s.nodes, s.valid_ranges, s.summaries, coalesce(u.covered, 0) = s.n_pages AS complete, i.doc_id % 5 <> 0 AS both_extracted, i.doc_id % 3 <> 0 AS same_pages, i.doc_id % 2 = 0 AS same_order,
+    CASE WHEN i.status = 'ready' THEN i.elapsed_ms END AS t, CASE WHEN i.doc_id % 4 <> 0 THEN i.elapsed_ms + 5 END AS theirs, CASE WHEN i.doc_id % 6 <> 0 THEN i.doc_id % 7 END AS calls, CASE WHEN i.doc_id % 6 <> 0 THEN i.doc_id % 100 END AS tokens
   FROM latest i JOIN shaped s USING (doc_id) LEFT JOIN under u USING (doc_id)
-), o AS (SELECT CASE WHEN run_id % 2 = 0 THEN 'flash' ELSE 'standard' END AS mode, CASE WHEN run_id % 10 = 1 THEN 'mcp' ELSE 'web' END AS channel, status FROM ({cte('runs').removeprefix('runs AS (')[:-1]})),
+),
 a AS (SELECT mode, count(*) FILTER (WHERE status = 'ready') AS accepted, coalesce(bool_and(nodes = valid_ranges) FILTER (WHERE status = 'ready'), true) AS ranges_valid, coalesce(bool_and(complete) FILTER (WHERE status = 'ready'), true) AS pages_complete,
   coalesce(bool_and(nodes = summaries) FILTER (WHERE status = 'ready'), true) AS summaries_complete, count(*) FILTER (WHERE both_extracted) AS both_extracted, count(*) FILTER (WHERE both_extracted AND same_pages) AS characters_kept,
-  count(*) FILTER (WHERE both_extracted AND same_order) AS order_kept, {DISTRIBUTION.format(v='t', p='')} FROM (SELECT *, CASE WHEN status = 'ready' THEN elapsed_ms END AS t FROM r) GROUP BY mode),
-b AS (SELECT mode, count(*) FILTER (WHERE channel = 'web') AS web_questions, count(*) FILTER (WHERE channel = 'web' AND status = 'completed') AS web_completed, count(*) FILTER (WHERE channel = 'mcp') AS mcp_questions, count(*) FILTER (WHERE channel = 'mcp' AND status = 'completed') AS mcp_completed FROM o GROUP BY mode)
-SELECT * FROM a LEFT JOIN b USING (mode)"""
+  count(*) FILTER (WHERE both_extracted AND same_order) AS order_kept, {DISTRIBUTION.format(v='t', p='')}, {DISTRIBUTION.format(v='theirs', p='their_')}, {_sums('index_', 'calls', 'tokens')} FROM r GROUP BY mode),
+w AS {_channel('web', "status = 'completed'")}, m AS {_channel('mcp', 'true')},
+c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'flash' ELSE 'standard' END AS mode, count(*) AS reach_total, count(*) FILTER (WHERE page % 2 = 0) AS reach_ours, count(*) FILTER (WHERE page % 3 = 0) AS reach_theirs FROM page_text GROUP BY 1)
+SELECT * REPLACE ({', '.join(f"coalesce({x}, 0) AS {x}" for x in ('web_questions', 'web_completed', 'web_with_usage', 'mcp_questions', 'mcp_completed', 'mcp_with_usage', 'reach_total', 'reach_ours', 'reach_theirs'))})
+FROM a LEFT JOIN w USING (mode) LEFT JOIN m USING (mode) LEFT JOIN c USING (mode)"""
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    run = F.col("run_id")
+    usage = F.when(run % 3 != 0, F.struct((run % 5).alias("modelCalls"), (run % 50).alias("inputTokens")))
+    return derive(spark, sf_dir, "runs").select(
+        F.when(run % 2 == 0, "flash").otherwise("standard").alias("mode"), F.when(run % 10 == 1, "mcp").otherwise("web").alias("channel"), "status", (run % 977 * 1.0).alias("elapsed_ms"),
+        usage.alias("usage"), run.cast("string").alias("id"), F.when(F.col("status") == "completed", "answer").alias("outcome"), (run % 2).alias("report"), (run % 7 != 0).alias("lexical"),
+    )
 
 
 @query("E12_mode_measurements", MEASURED)
 def e12(spark, sf_dir):
+    doc = F.col("doc_id")
+    usage = F.when(doc % 6 != 0, F.struct((doc % 7).alias("modelCalls"), (doc % 100).alias("inputTokens")))
     records = latest(spark, sf_dir).join(shapes(spark, sf_dir), "doc_id").select(
-        "mode", "status", "nodes", "valid_ranges", "complete", "summaries", "elapsed_ms", (F.col("doc_id") % 5 != 0).alias("both_extracted"), (F.col("doc_id") % 3 != 0).alias("same_pages"), (F.col("doc_id") % 2 == 0).alias("same_order")
+        "mode", "status", "nodes", "valid_ranges", "complete", "summaries", "elapsed_ms", (doc % 5 != 0).alias("both_extracted"), (doc % 3 != 0).alias("same_pages"), (doc % 2 == 0).alias("same_order"),
+        F.when(doc % 4 != 0, "completed").otherwise("refused").alias("their_status"), (F.col("elapsed_ms") + 5).alias("their_elapsed_ms"), usage.alias("usage"),
     )
-    runs = derive(spark, sf_dir, "runs")
-    mode = F.when(F.col("run_id") % 2 == 0, "flash").otherwise("standard").alias("mode")
-    return evaluation.mode_measurements(records, runs.select(mode, F.when(F.col("run_id") % 10 == 1, "mcp").otherwise("web").alias("channel"), "status"))
+    reached = pages(spark, sf_dir).select(F.when(doc % 2 == 0, "flash").otherwise("standard").alias("mode"), (F.col("page") % 2 == 0).alias("ours"), (F.col("page") % 3 == 0).alias("theirs"))
+    return evaluation.mode_measurements(records, asked(spark, sf_dir), reached)
+
+
+@query("E12_question_rows", f"WITH {ASKED} SELECT mode, CAST(run_id AS VARCHAR) AS id, status, CASE WHEN status = 'completed' THEN 'answer' END AS outcome, run_id % 2 AS report, run_id % 7 <> 0 AS lexical FROM o WHERE channel = 'web'")
+def e12b(spark, sf_dir):
+    return evaluation.question_rows(asked(spark, sf_dir))
 
 
 TOTALS = "count(*) AS calls, count(*) FILTER (WHERE input_tokens IS NULL) AS without_usage, count(*) FILTER (WHERE cancelled) AS cancellations, count(*) FILTER (WHERE error) AS errors, coalesce(sum(input_tokens), 0) AS input_tokens, coalesce(sum(output_tokens), 0) AS output_tokens"
@@ -204,6 +267,11 @@ def e13(spark, sf_dir):
     return evaluation.ledger_summary(derive(spark, sf_dir, "calls"))
 
 
+@query("E13_request_errors", f"WITH {cte('calls')} SELECT ledger, lane, seq FROM calls WHERE error")
+def e13b(spark, sf_dir):
+    return evaluation.request_errors(derive(spark, sf_dir, "calls"))
+
+
 @query("E14_lane_summary", f"WITH {cte('calls')} SELECT ledger, lane, {TOTALS}, {DISTRIBUTION.format(v='elapsed_ms', p='')}, {DISTRIBUTION.format(v='first_ms', p='first_')} FROM calls GROUP BY GROUPING SETS ((ledger, lane), (ledger))")
 def e14(spark, sf_dir):
     return evaluation.lane_summary(derive(spark, sf_dir, "calls"))
@@ -228,24 +296,25 @@ def e16(spark, sf_dir):
 
 @query(
     "E17_call_costs",
-    f"""WITH {cte('calls')}, s AS (SELECT ledger, seq, ts, sum(k) OVER (PARTITION BY ledger ORDER BY ts, seq) AS cost FROM calls)
+    f"""WITH {cte('calls')}, s AS (SELECT run_id AS ledger, seq, ts, sum(k) OVER (PARTITION BY run_id ORDER BY ts, seq) AS cost FROM calls)
     SELECT ledger, seq, cost - lag(cost) OVER w AS cost_change, lag(100000 - cost) OVER w - (100000 - cost) AS balance_change FROM s WINDOW w AS (PARTITION BY ledger ORDER BY ts, seq)""",
 )
 def e17(spark, sf_dir):
     from pyspark.sql import Window
 
-    cost = F.sum("k").over(Window.partitionBy("ledger").orderBy("ts", "seq"))
-    snapshots = derive(spark, sf_dir, "calls").select("ledger", "ts", "seq", cost.alias("cost"), (100000 - cost).alias("balance"))
+    # a ledger a run, so ledgers grow in number with the calls
+    cost = F.sum("k").over(Window.partitionBy("run_id").orderBy("ts", "seq"))
+    snapshots = derive(spark, sf_dir, "calls").select(F.col("run_id").alias("ledger"), "ts", "seq", cost.alias("cost"), (100000 - cost).alias("balance"))
     return evaluation.call_costs(snapshots)
 
 
 # generic checks over the star schema: the library's quantiles and paging on other tables
-@query("X1_upper_median", "SELECT o_custkey % 50 AS g, list_sort(list(o_totalprice))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM orders GROUP BY 1")
+@query("X1_upper_median", "SELECT o_custkey AS g, list_sort(list(o_totalprice))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM orders GROUP BY 1")
 def x1(spark, sf_dir):
     from folio.functions.text import upper_median
 
     own = tables.read_table(spark, sf_dir, "orders", "o_custkey", "o_totalprice")
-    return own.groupBy((F.col("o_custkey") % 50).alias("g")).agg(upper_median(F.collect_list("o_totalprice"), 0.0).alias("median"))
+    return own.groupBy(F.col("o_custkey").alias("g")).agg(upper_median(F.collect_list("o_totalprice"), 0.0).alias("median"))
 
 
 @query("X2_nearest_rank", f"SELECT o_orderpriority, {DISTRIBUTION.format(v='o_totalprice', p='')} FROM orders GROUP BY o_orderpriority")

@@ -36,6 +36,11 @@ def g2(spark, sf_dir):
     return links.dangling_links(found(spark, sf_dir), docs(spark, sf_dir)).select("path", "href", "target", "anchor")
 
 
+@query("G1_malformed_links", f"WITH {SQL} SELECT path, href FROM kept WHERE regexp_matches(href, '%($|[^0-9A-Fa-f]|[0-9A-Fa-f]($|[^0-9A-Fa-f]))')")
+def g1b(spark, sf_dir):
+    return links.malformed_links(docs(spark, sf_dir), absolute=True)
+
+
 SLUGS = SQL + r""", heads AS (
   SELECT CAST(page_id AS VARCHAR) AS path, unnest(h) AS heading, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(body, '(?is)<(?:h[1-6]|li)[^>]*>(.*?)</(?:h[1-6]|li)>', 1) AS h FROM docs)
 ), slugs AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from folio.operators import reading, trees
-from folio.plans.derived import PAGES, TREE, cte, derive, lines, pages
+from folio.plans.derived import PAGES, TREE, cte, derive, lines, long_lines, one_a_page, pages
 from folio.plans.registry import query
 from folio.sources import tables
 
@@ -31,8 +31,8 @@ def r1(spark, sf_dir):
 
 # each run reads two of its documents and one beyond; some name a version
 READS = """reads AS (
-  SELECT run_id * 4 + {k} AS read_id, run_id, CASE {k} WHEN 0 THEN d1 WHEN 1 THEN d2 ELSE (d1 + 3) % 200 END AS document_id, turn * 10 + {k} AS ts,
-    CASE WHEN (run_id + {k}) % 4 = 0 THEN concat('v', CAST((CASE {k} WHEN 0 THEN d1 WHEN 1 THEN d2 ELSE (d1 + 3) % 200 END) * 10 + 1 + run_id % 2 AS STRING)) END AS version_id
+  SELECT run_id * 4 + {k} AS read_id, run_id, CASE {k} WHEN 0 THEN d1 WHEN 1 THEN d2 ELSE (d1 + 3) % n_docs END AS document_id, turn * 10 + {k} AS ts,
+    CASE WHEN (run_id + {k}) % 4 = 0 THEN concat('v', CAST((CASE {k} WHEN 0 THEN d1 WHEN 1 THEN d2 ELSE (d1 + 3) % n_docs END) * 10 + 1 + run_id % 2 AS STRING)) END AS version_id
   FROM {runs}
 )"""
 
@@ -111,13 +111,13 @@ def r5(spark, sf_dir):
 
 @query(
     "R6_structure_required",
-    f"""WITH {PAGES}, {READ_CTE}, s AS (SELECT run_id, document_id, min(ts) AS ts FROM reads WHERE read_id % 3 = 1 GROUP BY run_id, document_id)
+    f"""WITH {one_a_page(PAGES)}, {READ_CTE}, s AS (SELECT run_id, document_id, min(ts) AS ts FROM reads WHERE read_id % 3 = 1 GROUP BY run_id, document_id)
     SELECT r.read_id, r.run_id, r.document_id AS doc_id FROM reads r JOIN page_counts c ON c.doc_id = r.document_id AND c.n_pages > 20 LEFT JOIN s ON s.run_id = r.run_id AND s.document_id = r.document_id
     WHERE r.read_id % 3 <> 1 AND (s.ts IS NULL OR s.ts > r.ts)""",
 )
 def r6(spark, sf_dir):
     own = reads(spark, sf_dir).withColumnRenamed("document_id", "doc_id")
-    return reading.structure_required(own.where("read_id % 3 <> 1"), own.where("read_id % 3 = 1"), trees.page_counts(lines(spark, sf_dir)))
+    return reading.structure_required(own.where("read_id % 3 <> 1"), own.where("read_id % 3 = 1"), trees.page_counts(long_lines(spark, sf_dir)))
 
 
 SLICES = f"""{PAGES}, {cte('runs')}, slices AS (

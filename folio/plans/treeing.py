@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from folio.operators import trees
 from folio.plans.corpus import OUTLINES, outlines
-from folio.plans.derived import CANDIDATES, LEVELS, PAGES, TREE, lines, pages, squeeze
+from folio.plans.derived import CANDIDATES, LEVELS, PAGES, TREE, lines, long_lines, one_a_page, pages, squeeze
 from folio.plans.registry import query
+from folio.sources import tables
 
 
 def tree(spark, sf_dir) -> DataFrame:
@@ -132,7 +133,7 @@ ENTRIES = TOC + f""", entries AS (
 ), met AS (
   SELECT e.doc_id, e.entry, e.label, l.page, min(l.ord) AS ord, lower(CAST(l.page AS VARCHAR)) = lower(e.label) AS same
   FROM entries e JOIN led l ON l.doc_id = e.doc_id AND contains({squeeze('l.text')}, {squeeze('e.title')}) AND NOT EXISTS (SELECT 1 FROM toc t WHERE t.doc_id = l.doc_id AND t.page = l.page)
-  GROUP BY e.doc_id, e.entry, e.label, l.page
+  GROUP BY e.doc_id, e.entry, e.label, l.page HAVING bool_or(NOT (l.ord = 0 AND l.page % 2 = 0))
 ), picked AS (
   SELECT doc_id, entry, count(*) AS n, count(*) FILTER (WHERE same) AS k, CASE WHEN count(*) FILTER (WHERE same) = 1 THEN min(page) FILTER (WHERE same) WHEN count(*) = 1 THEN min(page) END AS page,
     CASE WHEN count(*) FILTER (WHERE same) = 1 THEN min(ord) FILTER (WHERE same) WHEN count(*) = 1 THEN min(ord) END AS ord
@@ -152,7 +153,9 @@ def mapped(spark, sf_dir) -> DataFrame:
         "doc_id", (F.col("page") * 10 + F.col("ord")).alias("entry"), F.substring("text", 1, 30).alias("title"), label.alias("label"), F.lit(0).alias("depth")
     )
     labels = own.select("doc_id", "page", page.alias("label")).distinct()
-    return trees.map_toc(entries, own, trees.toc_pages(own), labels)
+    # the first line of every second page counts as its margin
+    bordered = own.withColumn("margin", (F.col("ord") == 0) & (F.col("page") % 2 == 0))
+    return trees.map_toc(entries, bordered, trees.toc_pages(own), labels)
 
 
 @query("T14_map_toc", f"WITH {ENTRIES} SELECT doc_id, entry, title, label, depth, page, ord, labelled, reason FROM mapped")
@@ -173,6 +176,19 @@ PROPOSED = PAGES + f""", proposed AS (SELECT doc_id, page + CASE WHEN ord = 3 TH
 checked AS (SELECT p.*, coalesce(contains({squeeze('x.text')}, {squeeze('p.anchor')}), false) AS verified FROM proposed p LEFT JOIN page_text x ON x.doc_id = p.doc_id AND x.page = p.page)"""
 
 
+@query(
+    "T15_toc_failures",
+    f"""WITH {ENTRIES}, judged AS (
+      SELECT *, coalesce(reason, CASE WHEN NOT labelled AND abs(page - CASE WHEN regexp_full_match(label, '[0-9]+') THEN CAST(label AS BIGINT) ELSE page END) > 32 THEN 'toc_repair_bound_exceeded' END) AS own,
+        coalesce(page < lag(page) OVER (PARTITION BY doc_id ORDER BY entry), false) AS back FROM mapped
+    ), s AS (SELECT doc_id, arg_min(own, entry) FILTER (WHERE own IS NOT NULL) AS first, bool_or(back) AS back FROM judged GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN s.back IS NULL THEN 'toc_structure_empty' WHEN first IS NOT NULL THEN first WHEN s.back THEN 'toc_order_invalid' END AS failure
+    FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN s USING (doc_id)""",
+)
+def t15b(spark, sf_dir):
+    return trees.toc_failures(mapped(spark, sf_dir), tables.read_table(spark, sf_dir, "documents", "doc_id"))
+
+
 @query("T16_verify_headings", f"WITH {PROPOSED} SELECT doc_id, page, ord, anchor, verified FROM checked")
 def t16(spark, sf_dir):
     own = lines(spark, sf_dir).where("ord in (1, 3)")
@@ -234,30 +250,56 @@ def t19(spark, sf_dir):
     return trees.pack_windows(labelled.select("doc_id", "page", "label", "text"), 12000)
 
 
-@query("T20_oversized_leaves", f"""WITH {SIZED} SELECT doc_id, node, start, "end", depth, CASE WHEN depth >= 4 THEN 'subdivision_depth_exceeded' END AS failure FROM sized WHERE leaf AND (n_pages > 12 OR chars > 18000)""")
+# documents with a line a page are long enough to be divided
+LONG = one_a_page(SIZED)
+
+
+def long_sized(spark, sf_dir) -> DataFrame:
+    own = long_lines(spark, sf_dir)
+    return trees.node_sizes(trees.build_tree(own), tables.page_texts(own))
+
+
+@query("T20_oversized_leaves", f"""WITH {LONG} SELECT doc_id, node, start, "end", depth, CASE WHEN depth >= 4 THEN 'subdivision_depth_exceeded' END AS failure FROM sized WHERE leaf AND (n_pages > 12 OR chars > 18000)""")
 def t20(spark, sf_dir):
-    return trees.oversized_leaves(sized(spark, sf_dir))
+    return trees.oversized_leaves(long_sized(spark, sf_dir))
+
+
+DIVIDED = LONG + """, big AS (SELECT doc_id, node, start, "end", depth FROM sized WHERE leaf AND (n_pages > 12 OR chars > 18000) AND depth < 4),
+inside AS (SELECT b.*, l.page, l.ord, substr(l.text, 1, 40) AS title FROM big b JOIN lines l ON l.doc_id = b.doc_id AND l.page BETWEEN b.start AND b."end" AND ((l.page % 3 = 0 AND l.doc_id % 4 <> 1) OR (l.page = b.start AND l.doc_id % 4 <> 2)) AND l.doc_id % 4 <> 3),
+one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, node, page ORDER BY ord, title) AS nth FROM inside),
+kids AS (SELECT *, row_number() OVER w AS child, coalesce(lead(page) OVER w, "end") AS child_end FROM one WHERE nth = 1 WINDOW w AS (PARTITION BY doc_id, node ORDER BY page)),
+sums AS (SELECT doc_id, node, count(*) AS n, min(page) AS first, max(child_end - page) AS longest FROM kids GROUP BY doc_id, node),
+divided AS (
+  SELECT b.doc_id, b.node, CAST(k.child AS INT) AS child, k.title, k.page AS child_start, k.child_end, b.depth + 1 AS child_depth,
+    CASE WHEN n IS NULL OR n < 2 OR first <> b.start OR n >= b."end" - b.start + 1 THEN 'subdivision_inadequate' WHEN longest >= b."end" - b.start THEN 'subdivision_no_progress' END AS failure
+  FROM big b LEFT JOIN kids k ON k.doc_id = b.doc_id AND k.node = b.node LEFT JOIN sums s ON s.doc_id = b.doc_id AND s.node = b.node
+)"""
 
 
-@query(
-    "T21_subdivide",
-    f"""WITH {SIZED}, big AS (SELECT doc_id, node, start, "end", depth FROM sized WHERE leaf AND (n_pages > 12 OR chars > 18000) AND depth < 4),
-    inside AS (SELECT b.*, l.page, l.ord, substr(l.text, 1, 40) AS title FROM big b JOIN lines l ON l.doc_id = b.doc_id AND l.page BETWEEN b.start AND b."end" AND l.ord IN (0, 2) AND (l.page % 3 = 0 OR l.page = b.start)),
-    one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, node, page ORDER BY ord, title) AS nth FROM inside),
-    kids AS (SELECT *, row_number() OVER w AS child, coalesce(lead(page) OVER w, "end") AS child_end FROM one WHERE nth = 1 WINDOW w AS (PARTITION BY doc_id, node ORDER BY page)),
-    sums AS (SELECT doc_id, node, count(*) AS n, min(page) AS first, max(child_end - page) AS longest FROM kids GROUP BY doc_id, node)
-    SELECT doc_id, node, CAST(child AS INT) AS child, title, page AS child_start, child_end, depth + 1 AS child_depth,
-      CASE WHEN n < 2 OR first <> start OR n >= "end" - start + 1 THEN 'subdivision_inadequate' WHEN longest >= "end" - start THEN 'subdivision_no_progress' END AS failure
-    FROM kids JOIN sums USING (doc_id, node)""",
-)
-def t21(spark, sf_dir):
-    leaves = trees.oversized_leaves(sized(spark, sf_dir))
-    found = lines(spark, sf_dir).where("ord in (0, 2)").join(leaves.select("doc_id", "node", "start", "end"), "doc_id")
-    found = found.where("page between start and end and (page % 3 = 0 or page = start)")
+def divided(spark, sf_dir) -> DataFrame:
+    leaves = trees.oversized_leaves(long_sized(spark, sf_dir))
+    found = long_lines(spark, sf_dir).join(leaves.select("doc_id", "node", "start", "end"), "doc_id").where("page between start and end and doc_id % 4 <> 3")
+    found = found.where("(page % 3 = 0 and doc_id % 4 <> 1) or (page = start and doc_id % 4 <> 2)")
     title = F.substring("text", 1, 40)
     proposed = found.select("doc_id", "node", "page", "ord", title.alias("title"), title.alias("anchor"))
-    verified = trees.verify_headings(proposed, pages(spark, sf_dir))
-    return trees.subdivide(leaves, verified).drop("anchor")
+    return trees.subdivide(leaves, trees.verify_headings(proposed, tables.page_texts(long_lines(spark, sf_dir))))
+
+
+@query("T21_subdivide", f"WITH {DIVIDED} SELECT * FROM divided")
+def t21(spark, sf_dir):
+    return divided(spark, sf_dir).drop("anchor")
+
+
+@query(
+    "T21_splice",
+    f"""WITH {DIVIDED}, together AS (
+      SELECT doc_id, node, 0 AS child, title, start, "end", depth, parent FROM tree
+      UNION ALL SELECT doc_id, node, child, title, child_start, child_end, child_depth, node FROM divided WHERE failure IS NULL
+    ), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY node, child) - 1 AS INT) AS new FROM together)
+    SELECT r.doc_id, r.new AS node, r.title, r.start, r."end", r.depth, p.new AS parent FROM ranked r LEFT JOIN ranked p ON p.doc_id = r.doc_id AND p.node = r.parent AND p.child = 0""",
+)
+def t21b(spark, sf_dir):
+    return trees.splice(trees.build_tree(long_lines(spark, sf_dir)), divided(spark, sf_dir))
 
 
 OWN = TREE + """, own_pages AS (

@@ -95,22 +95,23 @@ def load_pages(stored: DataFrame, versions: DataFrame) -> DataFrame:
     """Pages of versions (doc_id, page_count) whose stored count is the version's, in order."""
     count = stored.groupBy("doc_id").agg(F.count("*").alias("n"))
     whole = versions.join(count, "doc_id").where("n = page_count").select("doc_id")
-    return stored.join(whole, "doc_id", "left_semi")
+    return stored.join(whole, "doc_id", "left_semi").orderBy("doc_id", "page")
 
 
 REPORT = (
     "imports array<struct<mode string, file string, sha256 string, status string, reason string, elapsedMs double,"
     " usage struct<modelCalls long, inputTokens long, outputTokens long>>>,"
-    " questions array<struct<mode string, id string, status string, elapsedMs double>>, failures array<string>"
+    " questions array<struct<mode string, id string, status string, elapsedMs double, reason string, why string, result struct<status string, reason string>>>,"
+    " failures array<string>"
 )
 
 
-def read_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Imports of evaluation reports, a row each, with the report's place in the list of paths."""
+def read_reports(spark: SparkSession, paths: list[str], part: str = "imports") -> DataFrame:
+    """Imports, questions or failures (``part``) of evaluation reports, a row each, with the report's place in the list of paths."""
     names = F.create_map(*[F.lit(v) for i, p in enumerate(paths) for v in (p.rsplit("/", 1)[-1], i)])
     raw = spark.read.schema(REPORT).option("multiLine", True).json(paths)
     file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return raw.select(names[file].alias("report"), F.explode("imports").alias("x")).select("report", "x.*")
+    return raw.select(names[file].alias("report"), F.explode(part).alias("x")).select("report", "x" if part == "failures" else "x.*")
 
 
 def write_report(df: DataFrame, path: str) -> None:
