@@ -299,6 +299,25 @@ class LibraryWords:
             low = high
 
 
+def frugal(run):
+    """A task's function that gives back to the system what it freed when it ends: workers outlive tasks, and what they hold adds up over stages."""
+
+    def task(batches):
+        import ctypes
+        import gc
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return task
+
+
 def slices(batch: pa.RecordBatch, text: str, at_most: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of a batch of about ``at_most`` bytes of text (a longer one is a part of its own), and their texts (null: empty)."""
     texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")

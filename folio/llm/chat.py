@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folio.llm.bpe import LibraryWords, byte_alphabet, slices
+from folio.llm.bpe import LibraryWords, byte_alphabet, frugal, slices
 from folio.llm.common import parts_for, session_of
 from folio.llm.token_counts import tokenizer_spec
 
@@ -80,7 +80,7 @@ def format_chats(turns: DataFrame, vocabulary: str) -> DataFrame:
                 )
 
     own = [F.col(c).cast("long").alias(c) for c in ("conv_id", "turn")]
-    return turns.select(*own, F.xxhash64("role", "text").alias("tie"), "role", "text").mapInArrow(run, SEGMENTS)
+    return turns.select(*own, F.xxhash64("role", "text").alias("tie"), "role", "text").mapInArrow(frugal(run), SEGMENTS)
 
 
 class Decoder:

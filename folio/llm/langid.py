@@ -10,6 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from folio.llm.bpe import frugal
 from folio.llm.common import free_name, session_of
 
 WIDTHS = (2, 3, 4)
@@ -174,15 +175,18 @@ def predict(docs: DataFrame, net: ByteNet | None, keep: list[str]) -> DataFrame:
                     scores.append(0.0)
                     continue
                 data = windows_of(text)
-                total = sum(own.log_probabilities(data[k : k + 64]).sum(axis=0) for k in range(0, len(data), 64)) / len(data)
+                total = sum(own.log_probabilities(data[k : k + 32]).sum(axis=0) for k in range(0, len(data), 32)) / len(data)
                 p = np.exp(total - total.max())
                 best = int(total.argmax())
                 preds.append(own.langs[best])
                 scores.append(float(p[best] / p.sum()))
             yield pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
+    def task(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return frugal(run)(batches)
+
     # the text alone goes to Python; once, as it is not to be done again for a filter
-    udf = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
+    udf = F.arrow_udf(task, "lang_pred string, score double").asNondeterministic()
     both = free_name("found", keep)
     known = docs.select(*[f"`{c}`" for c in keep], udf("text").alias(both))
     return known.select(*[f"`{c}`" for c in keep], *[F.col(both)[c].alias(free_name(c, keep)) for c in ("lang_pred", "score")])

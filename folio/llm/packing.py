@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from folio.llm.bpe import LibraryWords, slices
+from folio.llm.bpe import LibraryWords, frugal, slices
 from folio.llm.common import session_of, stored
 from folio.llm.token_counts import tokenizer_spec
 
@@ -159,7 +159,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), PIECES)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

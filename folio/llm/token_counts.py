@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from folio.llm.bpe import CountingWords, slices
+from folio.llm.bpe import CountingWords, frugal, slices
 from folio.llm.common import session_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -48,4 +48,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), SCHEMA)

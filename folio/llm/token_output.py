@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from folio.llm.bpe import LibraryWords, slices
+from folio.llm.bpe import LibraryWords, frugal, slices
 from folio.llm.common import parts_for, session_of
 from folio.llm.token_counts import tokenizer_spec
 
@@ -84,7 +84,7 @@ def write_tokens(
             yield chunk()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id", F.xxhash64("text"))
-    ordered.sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(run, CHUNK_SCHEMA).write.parquet(path)
+    ordered.sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(frugal(run), CHUNK_SCHEMA).write.parquet(path)
 
 
 ARROW_CHUNK = pa.schema(
@@ -132,4 +132,4 @@ def read_tokens(spark: SparkSession, path: str, block: int = BLOCK, with_ids: bo
                     names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids],
                 )
 
-    return table.join(F.broadcast(bases), "part").mapInArrow(run, schema)
+    return table.join(F.broadcast(bases), "part").mapInArrow(frugal(run), schema)
