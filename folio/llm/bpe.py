@@ -318,7 +318,7 @@ def frugal(run):
     return task
 
 
-def slices(batch: pa.RecordBatch, text: str, at_most: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def slices(batch: pa.RecordBatch, text: str, at_most: int = 32 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of a batch of about ``at_most`` bytes of text (a longer one is a part of its own), and their texts (null: empty)."""
     texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
     total = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)

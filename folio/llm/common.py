@@ -81,11 +81,17 @@ def drop_stored(*tables: DataFrame) -> None:
         _delete(session_of(df), df.stored_at)
 
 
-def parts_for(df: DataFrame, mb: int = 256) -> int:
-    """Partitions for a shuffle of a table's rows: the session's number, or more, so that one holds about ``mb`` MB of its files (where Spark knows their size)."""
+def parts_for(df: DataFrame, mb: int = 256, least_mb: int = 0) -> int:
+    """Partitions for a shuffle of a table's rows: the session's number, or more, so that one holds about ``mb`` MB of its files (where Spark knows their size).
+
+    With ``least_mb``, fewer than the session's number where one would hold less than that.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size if size < 1 << 57 else 0
-    return max(int(session_of(df).conf.get("spark.sql.shuffle.partitions")), (known >> 20) // mb)
+    usual = int(session_of(df).conf.get("spark.sql.shuffle.partitions"))
+    if least_mb and known:
+        usual = min(usual, max(1, (known >> 20) // least_mb))
+    return max(usual, (known >> 20) // mb)
 
 
 def free_name(name: str, taken: list[str]) -> str:

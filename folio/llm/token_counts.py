@@ -28,7 +28,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     Null or empty text: 0 bytes, 0 tokens. A null id stays null; repeated rows give repeated rows; an empty
     table gives an empty result; columns other than ``doc_id`` and ``text`` are not read. A text of any
-    length is counted whole; one without a space is one piece. A task holds a batch of about 16 MB of text (or one longer text), and keeps
+    length is counted whole; one without a space is one piece. A task holds a batch of about 32 MB of text (or one longer text), and keeps
     nothing from one batch to the next.
     """
     spec = session_of(docs).sparkContext.broadcast(tokenizer_spec(path))

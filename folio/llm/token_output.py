@@ -51,7 +51,7 @@ def write_tokens(
     the hash of their texts, then by the texts. A document longer than a chunk has a chunk of its own.
     """
     spec = session_of(docs).sparkContext.broadcast(tokenizer_spec(vocabulary))
-    parts = parts_for(docs)
+    parts = parts_for(docs, least_mb=20)  # a task's words repeat the more, the more text it has
 
     def run(batches):
         import zstandard
