@@ -66,9 +66,14 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(compatible(text), r"(?U)\s", "")
 
 
+def sorted_chars(text: Column) -> Column:
+    """The characters of a text, sorted."""
+    return F.array_join(F.array_sort(F.split(text, "")), "")
+
+
 def normalized_chars(text: Column) -> Column:
     """the characters of a text without white space, sorted."""
-    return F.array_join(F.array_sort(F.split(squeezed(text), "")), "")
+    return sorted_chars(squeezed(text))
 
 
 def _ordered(column: Column, kind: T.DataType) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folio.functions.text import normalized_chars, squeezed
+from folio.functions.text import sorted_chars, squeezed
 from folio.sources.tables import latest
 
 USAGE = ("modelCalls", "toolCalls", "readPages", "inputTokens", "outputTokens")
+#: Nearest ranks of a distribution.
+RANKS = {"median_ms": 0.5, "p95_ms": 0.95}
 
 
 def latest_results(records: DataFrame, keys: list[str], position: str = "report") -> DataFrame:
@@ -63,24 +67,44 @@ def pair_records(ours: DataFrame, theirs: DataFrame, expected: DataFrame, modes:
     return joined.select("mode", "file", "our_status", "their_status", F.when(~ok, "missing_or_mismatched_pair").alias("failure"))
 
 
-def compare_extraction(a: DataFrame, b: DataFrame) -> DataFrame:
-    """E5: texts of two extractions (doc_id, page, text): page counts, characters, order, and the pages that differ."""
-    left = a.select("doc_id", "page", F.col("text").alias("a_text"), F.lit(1).alias("in_a"))
-    right = b.select("doc_id", "page", F.col("text").alias("b_text"), F.lit(1).alias("in_b"))
-    both = left.join(right, ["doc_id", "page"], "full")
-    ca, cb = (normalized_chars(F.coalesce(c, F.lit(""))) for c in ("a_text", "b_text"))
-    sa, sb = (squeezed(F.coalesce(c, F.lit(""))) for c in ("a_text", "b_text"))
-    both = both.withColumns({"differs": ca != cb, "sa": sa, "sb": sb})
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", c))), lambda r: r[c]), "")
+def compare_extraction(a: DataFrame, b: DataFrame, block: int = 4096) -> DataFrame:
+    """E5: texts of two extractions (doc_id, page, text): page counts, characters, order, and the pages that differ.
+
+    No text of a document is put together. Pages meet by number; characters are counted over the pages that aren't equal, once for one side and
+    once against the other. Order is compared in blocks of ``block`` characters of the document, wherever its pages end on either side.
+    """
+    left = a.select("doc_id", "page", squeezed(F.coalesce("text", F.lit(""))).alias("sa"), F.lit(1).alias("in_a"))
+    right = b.select("doc_id", "page", squeezed(F.coalesce("text", F.lit(""))).alias("sb"), F.lit(1).alias("in_b"))
+    both = left.join(right, ["doc_id", "page"], "full").na.fill("", ["sa", "sb"])
+    moved = F.col("sa") != F.col("sb")
+    differs = F.when(moved, sorted_chars(F.col("sa")) != sorted_chars(F.col("sb")))
     sums = both.groupBy("doc_id").agg(
-        F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"), joined("sa").alias("all_a"), joined("sb").alias("all_b"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("differs"), F.col("page")))), ",").alias("differing"),
+        F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"), F.sum(F.length("sa")).alias("size_a"), F.sum(F.length("sb")).alias("size_b"),
+        F.array_join(F.array_sort(F.collect_list(F.when(differs, F.col("page")))), ",").alias("differing"),
     )
-    extracted = (F.col("all_a") != "") & (F.col("all_b") != "")
-    return sums.select(
+    sides = lambda *fields: F.explode(F.array(*[F.struct(*[F.expr(f.format(s=s)).alias(f.split(" AS ")[1]) for f in fields]) for s in "ab"])).alias("s")
+    chars = both.where(moved).select("doc_id", sides("s{s} AS text", "'{s}' = 'a' AS first")).select("doc_id", "s.first", F.explode(F.split("s.text", "")).alias("char"))
+    net = chars.where("char <> ''").groupBy("doc_id", "char").agg(F.sum(F.when(F.col("first"), 1).otherwise(-1)).alias("net"))
+    other_chars = net.where("net <> 0").select("doc_id", F.lit("chars").alias("what"))
+
+    changed = both.where(moved).select(F.col("doc_id").alias("changed_id")).distinct()
+    kept = both.join(changed, F.col("doc_id").eqNullSafe(F.col("changed_id")), "left_semi")
+    before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    starts = {f"start_{s}": F.coalesce(F.sum(F.length(f"s{s}")).over(before), F.lit(0)) for s in "ab"}
+    placed = kept.withColumns(starts).select("doc_id", sides("s{s} AS text", "start_{s} AS start", "'{s}' = 'a' AS first")).select("doc_id", "s.*").where("text <> ''")
+    end = F.col("start") + F.length("text")
+    cut = placed.withColumn("k", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
+    low, high = F.greatest("start", F.col("k") * block), F.least(end, (F.col("k") + 1) * block)
+    cut = cut.select("doc_id", "k", "first", F.struct("start", F.substring("text", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("text")).alias("piece"))
+    joined = lambda on: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(on, F.col("piece")))), lambda p: p["text"]), "")
+    texts = cut.groupBy("doc_id", "k").agg(joined(F.col("first")).alias("ta"), joined(~F.col("first")).alias("tb"))
+    other_order = texts.where("ta <> tb").select("doc_id", F.lit("order").alias("what"))
+
+    found = other_chars.union(other_order).groupBy(F.col("doc_id").alias("found_id")).agg(*[F.bool_or(F.col("what") == w).alias(w) for w in ("chars", "order")])
+    extracted = (F.col("size_a") > 0) & (F.col("size_b") > 0)
+    return sums.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
         "doc_id", extracted.alias("both_extracted"), (F.col("n_a") == F.col("n_b")).alias("same_page_count"),
-        (extracted & (normalized_chars(F.col("all_a")) == normalized_chars(F.col("all_b")))).alias("same_characters"),
-        (extracted & (F.col("all_a") == F.col("all_b"))).alias("same_order"), "differing",
+        (extracted & ~F.coalesce("chars", F.lit(False))).alias("same_characters"), (extracted & ~F.coalesce("order", F.lit(False))).alias("same_order"), "differing",
     )
 
 
@@ -164,20 +188,35 @@ def qa_checks(runs: DataFrame, questions: DataFrame, reads: DataFrame) -> DataFr
     return base.join(every, "question_id", "left").withColumn("cited_expected_originals", F.coalesce("cited", F.lit(True))).drop("cited")
 
 
-def distribution(value: str, prefix: str = "") -> list[Column]:
-    """Count, least, nearest-rank median and 95th percentile, and largest of a column's finite numbers; null when there is none."""
-    finite = f"CASE WHEN abs(`{value}`) < double('Infinity') THEN `{value}` END"  # not a number is above all
-    v = F.expr(finite)
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {finite})")
-    return [
-        F.count(v).alias(f"{prefix}count"), F.min(v).alias(f"{prefix}min_ms"), rank(0.5).alias(f"{prefix}median_ms"), rank(0.95).alias(f"{prefix}p95_ms"),
-        F.max(v).alias(f"{prefix}max_ms"),
-    ]
+def _beside(groups: DataFrame, found: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """groups with the columns of ``found`` of the same key; nulls are equal."""
+    own = found.select(*[F.col(c).alias(f"own_{c}") for c in by], *[c for c in found.columns if c not in by])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in by])
+    return groups.join(own, same, how).drop(*[f"own_{c}" for c in by])
+
 
+def latency_distribution(df: DataFrame, by: list[str], value: str = "elapsed_ms", prefix: str = "", buckets: int = 1024) -> DataFrame:
+    """Count, least, nearest-rank median and 95th percentile, and largest of each group's finite numbers; null when there is none.
 
-def latency_distribution(df: DataFrame, by: list[str], value: str = "elapsed_ms") -> DataFrame:
-    """The distribution of each group."""
-    return df.groupBy(*by).agg(*distribution(value))
+    Equal values are counted first. ``buckets`` even ranges of a group's values say in which one a rank lies, and only values in it are put in
+    order, so no task holds or sorts a large group.
+    """
+    finite = F.expr(f"CASE WHEN abs(`{value}`) < double('Infinity') THEN `{value}` END")  # not a number is above all
+    counts = df.select(*by, finite.alias("v")).groupBy(*by, "v").agg(F.count("v").alias("k"))
+    totals = counts.groupBy(*by).agg(F.sum("k").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    quarter = lambda c: F.col(c).cast("double") / 4  # noqa: E731  so that no difference overflows
+    share = (quarter("v") - quarter("least")) / (quarter("most") - quarter("least"))
+    dealt = _beside(counts.where("v is not null"), totals, by, "inner").withColumn("bucket", F.when(F.col("most") > F.col("least"), F.floor(share * buckets)).otherwise(0))
+    order = Window.partitionBy(*by).orderBy("bucket")
+    ends = dealt.groupBy(*by, "bucket").agg(F.sum("k").alias("k"), F.first("n").alias("n")).withColumn("upto", F.sum("k").over(order))
+    shares = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in RANKS.items()])).alias("rank")
+    asked = ends.select(*by, "bucket", "k", "upto", "n", shares).withColumn("left", F.greatest(F.lit(1), F.ceil(F.col("rank.p") * F.col("n"))) - (F.col("upto") - F.col("k")))
+    asked = asked.where("left between 1 and k").select(*by, "bucket", F.col("rank.name").alias("name"), "left")
+    inside = _beside(dealt.select(*by, "bucket", "v", "k"), asked, [*by, "bucket"], "inner")
+    upto = F.sum("k").over(Window.partitionBy(*by, "bucket", "name").orderBy("v"))
+    at = inside.withColumn("upto", upto).where("upto >= left").groupBy(*by).agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in RANKS])
+    names = {"n": "count", "least": "min_ms", "median_ms": "median_ms", "p95_ms": "p95_ms", "most": "max_ms"}
+    return _beside(totals, at, by).select(*by, *[F.col(c).alias(prefix + name) for c, name in names.items()])
 
 
 def usage_from_record(record: Column) -> Column:
@@ -206,13 +245,16 @@ def mode_measurements(records: DataFrame, questions: DataFrame, reached: DataFra
         F.count_if(accepted).alias("accepted"), every(F.col("nodes") == F.col("valid_ranges")).alias("ranges_valid"), every(F.col("complete")).alias("pages_complete"),
         every(F.col("nodes") == F.col("summaries")).alias("summaries_complete"), F.count_if("both_extracted").alias("both_extracted"),
         F.count_if(F.col("both_extracted") & F.col("same_pages")).alias("characters_kept"), F.count_if(F.col("both_extracted") & F.col("same_order")).alias("order_kept"),
-        *distribution("accepted_ms"), *distribution("completed_ms", "their_"), *_usage(records, "index_"),
+        *_usage(records, "index_"),
     )
+    for value, prefix in (("accepted_ms", ""), ("completed_ms", "their_")):
+        a = _beside(a, latency_distribution(timed, ["mode"], value, prefix), ["mode"])
     channels = []
     for channel, counted in (("web", done), ("mcp", F.lit(True))):
         own = questions.where(F.col("channel") == channel).withColumn("counted_ms", F.when(counted, F.col("elapsed_ms")))
         sums = [F.count("*").alias(f"{channel}_questions"), F.count_if(done).alias(f"{channel}_completed")]
-        channels.append(own.groupBy("mode").agg(*sums, *distribution("counted_ms", f"{channel}_"), *_usage(questions, f"{channel}_")))
+        asked = own.groupBy("mode").agg(*sums, *_usage(questions, f"{channel}_"))
+        channels.append(_beside(asked, latency_distribution(own, ["mode"], "counted_ms", f"{channel}_"), ["mode"]))
     c = reached.groupBy("mode").agg(F.count("*").alias("reach_total"), F.count_if("ours").alias("reach_ours"), F.count_if("theirs").alias("reach_theirs"))
     found = a
     for other in (*channels, c):
@@ -249,9 +291,13 @@ def request_errors(calls: DataFrame) -> DataFrame:
 
 
 def lane_summary(calls: DataFrame) -> DataFrame:
-    """The same for each lane with latency and first output; ledger totals have a null lane. One rollup, one pass."""
-    levels = calls.rollup("ledger", "lane").agg(*_totals(), *distribution("elapsed_ms"), *distribution("first_ms", "first_"))
-    return levels.where("ledger is not null")
+    """The same for each lane with latency and first output; ledger totals have a null lane."""
+    by = ["ledger", "total", "lane"]
+    each = calls.where("ledger is not null").withColumn("total", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("lane", F.when(~F.col("total"), F.col("lane")))
+    found = each.groupBy(*by).agg(*_totals())
+    for value, prefix in (("elapsed_ms", ""), ("first_ms", "first_")):
+        found = _beside(found, latency_distribution(each, by, value, prefix), by)
+    return found.drop("total")
 
 
 def accounting_intervals(ledgers: DataFrame) -> DataFrame:
