@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.sources.tables import latest
@@ -67,9 +68,40 @@ def attempt_history(operations: DataFrame, attempts: DataFrame) -> DataFrame:
     return joined.select("operation_id", F.coalesce(F.size("attempts"), F.lit(0)).alias("n_attempts"), F.coalesce(said, F.lit("")).alias("attempts"))
 
 
-LIBRARY_STATE = (
-    "revision int, retired boolean, version string, operation string, expected int, attempt string"
-)
+def string_of(value) -> str | None:
+    """A string of a pandas column, or None."""
+    return None if pd.isna(value) else value
+
+
+class LibraryState:
+    """A document's revision, latest operation and attempt, and the outcome of each event by the rules of ``activate``."""
+
+    def __init__(self, revision=0, retired=False, operation=None, expected=-1, attempt=None):
+        self.revision, self.retired, self.operation, self.expected, self.attempt = revision, retired, operation, expected, attempt
+
+    def kept(self) -> tuple:
+        return int(self.revision), bool(self.retired), self.operation, int(self.expected), self.attempt
+
+    def after(self, e) -> str:
+        operation, attempt = string_of(e.operation), string_of(e.attempt)
+        if e.kind == "accept":
+            if self.retired or e.expected != self.revision:
+                return "document_unavailable" if self.retired else "document_changed"
+            self.operation, self.expected, self.attempt = operation, int(e.expected), attempt
+            return "accepted"
+        if e.kind == "attempt":
+            if operation != self.operation:
+                return "retry_obsolete"
+            self.attempt = attempt
+            return "retried"
+        if e.kind == "activate":
+            wins = not self.retired and operation == self.operation and self.expected == self.revision and attempt == self.attempt
+            self.revision += wins
+            return "activated" if wins else "publication_conflict"
+        if e.kind == "retire" and not self.retired:
+            self.retired, self.revision = True, self.revision + 1
+            return "retired"
+        return "unchanged"
 
 
 def activate(events: DataFrame) -> DataFrame:
@@ -77,35 +109,26 @@ def activate(events: DataFrame) -> DataFrame:
 
     kind accept: an operation becomes the document's latest if it is live and at the revision expected. attempt: an operation gets a
     newer attempt. activate: wins if the operation is the document's latest, its expected revision still holds and the attempt is its latest; then the
-    revision goes up. retire: ends the document. A fold over one document's events in order.
+    revision goes up. retire: ends the document. One shuffle puts a document's events in order; a task holds one state and a batch of rows, however
+    many events a document has.
     """
-    e = F.struct("seq", "kind", "operation", "expected", "attempt")
-    listed = events.groupBy("document_id").agg(F.array_sort(F.collect_list(e)).alias("events"))
-    text, number = F.lit(None).cast("string"), F.lit(0)
-    start = F.struct(
-        number.alias("revision"), F.lit(False).alias("retired"), text.alias("version"), text.alias("operation"), F.lit(-1).alias("expected"), text.alias("attempt"),
-        F.array().cast("array<struct<seq:bigint,outcome:string,revision:int>>").alias("out"),
-    )
 
-    def step(s, x):
-        accept = (x["kind"] == "accept") & ~s["retired"] & (x["expected"] == s["revision"])
-        attempt = (x["kind"] == "attempt") & x["operation"].eqNullSafe(s["operation"])
-        wins = (x["kind"] == "activate") & ~s["retired"] & x["operation"].eqNullSafe(s["operation"]) & (s["expected"] == s["revision"]) & x["attempt"].eqNullSafe(s["attempt"])
-        retire = (x["kind"] == "retire") & ~s["retired"]
-        revision = s["revision"] + (wins | retire).cast("int")
-        outcome = (
-            F.when(accept, "accepted").when(x["kind"] == "accept", F.when(s["retired"], "document_unavailable").otherwise("document_changed"))
-            .when(attempt, "retried").when(x["kind"] == "attempt", "retry_obsolete").when(wins, "activated").when(x["kind"] == "activate", "publication_conflict")
-            .when(retire, "retired").otherwise("unchanged")
-        )
-        return F.struct(
-            revision.alias("revision"), (s["retired"] | retire).alias("retired"), F.when(wins, x["operation"]).otherwise(s["version"]).alias("version"),
-            F.when(accept, x["operation"]).otherwise(s["operation"]).alias("operation"), F.when(accept, x["expected"]).otherwise(s["expected"]).alias("expected"),
-            F.when(accept | attempt, x["attempt"]).otherwise(s["attempt"]).alias("attempt"),
-            F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), outcome.alias("outcome"), revision.alias("revision")))).alias("out"),
-        )
-
-    return listed.select("document_id", F.explode(F.aggregate("events", start, step)["out"]).alias("o")).select("document_id", "o.seq", "o.outcome", "o.revision")
+    def run(batches):
+        state = LibraryState()
+        for batch in batches:
+            outcomes, revisions = [], []
+            for e in batch.itertuples():
+                if e.first:
+                    state = LibraryState()
+                outcomes.append(state.after(e))
+                revisions.append(state.revision)
+            yield pd.DataFrame({"document_id": batch["document_id"], "seq": batch["seq"], "outcome": outcomes, "revision": revisions})
+
+    order = Window.partitionBy("document_id").orderBy("seq", "kind", "operation", "expected", "attempt")
+    columns = ["document_id", "seq", "kind", "operation", "expected", "attempt"]
+    placed = events.select(*columns, (F.row_number().over(order) == 1).alias("first"))
+    kind = events.schema["document_id"].dataType.simpleString()
+    return placed.mapInPandas(run, f"document_id {kind}, seq long, outcome string, revision int")
 
 
 def activation_gate(attempts: DataFrame) -> DataFrame:

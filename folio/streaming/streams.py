@@ -12,12 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-TERMINAL = ("ready", "failed", "unsupported", "interrupted")
-
+from folio.operators.library import LibraryState, string_of
 
-def text(value) -> str | None:
-    """A string of a pandas column, or None."""
-    return None if pd.isna(value) else value
+TERMINAL = ("ready", "failed", "unsupported", "interrupted")
 
 
 def in_order(batches: Iterator[pd.DataFrame], by: str = "seq", run_rows: int = 200_000) -> Iterator:
@@ -85,11 +82,11 @@ def progress_stream(events: DataFrame) -> DataFrame:
             if opens.any():
                 newest = batch[opens].iloc[-1]
                 if since is None or newest["seq"] > since:
-                    attempt, since = text(newest["attempt"]), int(newest["seq"])
+                    attempt, since = string_of(newest["attempt"]), int(newest["seq"])
             for e in batch[~opens].drop_duplicates("attempt", keep="last").itertuples():
-                own, seq = text(e.attempt), int(e.seq)
+                own, seq = string_of(e.attempt), int(e.seq)
                 if own is not None and (own not in said or seq > said[own][0]):
-                    said[own] = seq, text(e.status), text(e.stage), text(e.reason)
+                    said[own] = seq, string_of(e.status), string_of(e.stage), string_of(e.reason)
             said = {own: s for own, s in said.items() if since is None or s[0] > since}
         state.update((attempt, since, json.dumps([[own, *s] for own, s in said.items()])))
         if attempt is not None:
@@ -102,37 +99,6 @@ def progress_stream(events: DataFrame) -> DataFrame:
 OUTCOME = "document_id string, seq long, outcome string, revision int"
 
 
-class LibraryState:
-    """A document's revision, latest operation and attempt, and the outcome of each event by the rules of ``activate``."""
-
-    def __init__(self, revision=0, retired=False, operation=None, expected=-1, attempt=None):
-        self.revision, self.retired, self.operation, self.expected, self.attempt = revision, retired, operation, expected, attempt
-
-    def kept(self) -> tuple:
-        return int(self.revision), bool(self.retired), self.operation, int(self.expected), self.attempt
-
-    def after(self, e) -> str:
-        operation, attempt = text(e.operation), text(e.attempt)
-        if e.kind == "accept":
-            if self.retired or e.expected != self.revision:
-                return "document_unavailable" if self.retired else "document_changed"
-            self.operation, self.expected, self.attempt = operation, int(e.expected), attempt
-            return "accepted"
-        if e.kind == "attempt":
-            if operation != self.operation:
-                return "retry_obsolete"
-            self.attempt = attempt
-            return "retried"
-        if e.kind == "activate":
-            wins = not self.retired and operation == self.operation and self.expected == self.revision and attempt == self.attempt
-            self.revision += wins
-            return "activated" if wins else "publication_conflict"
-        if e.kind == "retire" and not self.retired:
-            self.retired, self.revision = True, self.revision + 1
-            return "retired"
-        return "unchanged"
-
-
 def library_stream(events: DataFrame) -> DataFrame:
     """ST2: outcomes of library events on a stream, by the rules of ``activate``; state is a document's revision, latest operation and attempt.
 

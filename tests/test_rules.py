@@ -93,6 +93,26 @@ def test_only_finite_numbers_count(spark):
     assert tuple(found) == (1, 3, 1.0, 2.0, 3.0, 3.0)
 
 
+def test_ranks_equal_sorted_values(spark):
+    rng = random.Random(7)
+    rows = [(g, rng.choice([rng.random(), rng.expovariate(1) * 1e6, float(rng.randrange(9))])) for g in ("a", "b", None) for _ in range(700)] + [("c", 5.0), ("d", None), ("e", -1e308), ("e", 1e308)]
+    found = {r.g: r for r in evaluation.latency_distribution(spark.createDataFrame(rows, "g string, elapsed_ms double"), ["g"], buckets=16).collect()}
+    assert len(found) == 6
+    for g, r in found.items():
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        rank = lambda p: own[max(1, math.ceil(p * len(own))) - 1] if own else None  # noqa: B023, E731
+        assert tuple(r)[1:] == (len(own), min(own, default=None), rank(0.5), rank(0.95), max(own, default=None))
+
+
+def test_extractions_meet_wherever_their_pages_end(spark):
+    page = "doc_id long, page int, text string"
+    a = [(1, 1, "abcd efgh"), (1, 2, "ij"), (2, 1, "abc"), (2, 2, "def"), (3, 1, "abc"), (4, 1, " "), (5, 1, "same"), (None, 1, "ab")]
+    b = [(1, 1, "abc"), (1, 2, "defghi"), (1, 3, "j"), (2, 1, "cab"), (2, 2, "def"), (3, 1, "abd"), (4, 1, None), (5, 1, "sa me"), (None, 1, "ba")]
+    found = evaluation.compare_extraction(spark.createDataFrame(a, page), spark.createDataFrame(b, page), block=4).collect()
+    wanted = {1: (True, False, True, True, "1,2,3"), 2: (True, True, True, False, ""), 3: (True, True, False, False, "1"), 4: (False, True, False, False, ""), 5: (True, True, True, True, "")}
+    assert {r.doc_id: tuple(r)[1:] for r in found if r.doc_id} == wanted
+
+
 def test_trees_of_any_depth_are_flattened(spark):
     kind, node = "struct<title string, start_index int, end_index int, summary string>", None
     for d in reversed(range(12)):
