@@ -199,7 +199,7 @@ def latency_distribution(df: DataFrame, by: list[str], value: str = "elapsed_ms"
     """Count, least, nearest-rank median and 95th percentile, and largest of each group's finite numbers; null when there is none.
 
     Equal values are counted first. ``buckets`` even ranges of a group's values say in which one a rank lies, and only values in it are put in
-    order, so no task holds or sorts a large group.
+    order. Very uneven values (a few far from all others) may share one range: then one task sorts most of the group's distinct values.
     """
     finite = F.expr(f"CASE WHEN abs(`{value}`) < double('Infinity') THEN `{value}` END")  # not a number is above all
     counts = df.select(*by, finite.alias("v")).groupBy(*by, "v").agg(F.count("v").alias("k"))
