@@ -205,12 +205,15 @@ def toc_pages(lines: DataFrame) -> DataFrame:
 def map_toc(entries: DataFrame, lines: DataFrame, excluded: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries (doc_id, entry, title, label, depth) with physical page, order and reason: found by a unique label match, else by a unique title match.
 
-    ``labels`` has a page's printed label. Entries meet the lines of their own document only. A line outside margins names the page; the order is
-    that of the page's first matching line, margins included.
+    ``labels`` has a page's printed label. Entries meet a row a page of their own document, then the lines of pages that have their title. A line
+    outside margins names the page; the order is that of the page's first matching line, margins included.
     """
     body = lines.join(excluded, PAGE, "left_anti").select(*PAGE, "ord", "margin", normalized_title(F.col("text")).alias("line"))
     keyed = entries.withColumn("key", normalized_title(F.col("title")))
-    met = keyed.join(body, "doc_id").where(F.col("line").contains(F.col("key")))
+    # normalized lines have no white space, so a title is in a page's joined lines where it is in one of them
+    texts = body.groupBy(*PAGE).agg(F.array_join(F.collect_list(F.when(~F.col("margin"), F.col("line"))), "\n").alias("named_lines"))
+    places = keyed.join(texts, "doc_id").where(F.col("named_lines").contains(F.col("key"))).select("doc_id", "page", "entry", "label", "key")
+    met = places.join(body, PAGE).where(F.col("line").contains(F.col("key")))
     each = met.groupBy("doc_id", "entry", "label", "page").agg(F.min("ord").alias("ord"), F.bool_or(~F.col("margin")).alias("named")).where("named").join(labels.withColumnRenamed("label", "printed"), PAGE, "left")
     same = F.lower("printed") == F.lower("label")
     sums = each.groupBy("doc_id", "entry").agg(
