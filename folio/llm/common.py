@@ -94,6 +94,11 @@ def parts_for(df: DataFrame, mb: int = 256, least_mb: int = 0) -> int:
     return max(usual, (known >> 20) // mb)
 
 
+def bounded(df: DataFrame, broadcast_rows: int) -> DataFrame:
+    """A side of a join, marked for broadcast if it has ``broadcast_rows`` rows at most; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, with underscores added until no column in ``taken`` has it in any case."""
     used = {c.lower() for c in taken}
