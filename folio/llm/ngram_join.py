@@ -10,63 +10,18 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from folio.llm.bpe import frugal, slices
-from folio.llm.common import ASCII_SPACE, drop_stored, parts_for, row_key, same_key, session_of, stored
+from folio.llm import clusters
+from folio.llm.clusters import MIX_B, components, mixed  # noqa: F401
 
-MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = 0x9E3779B97F4A7C15
 FULL = (1 << 64) - 1
 #: Hash buckets in which the features of a set are counted; sums of ``COARSE`` of them make a cheaper, weaker bound.
 BUCKETS, COARSE = 256, 4
-#: Bytes of text that a task turns into sets at a time.
-SLICE = 4 << 20
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A well-mixed 64-bit value for each of x."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * MIX_A
-        x = (x ^ (x >> np.uint64(27))) * MIX_B
-        return x ^ (x >> np.uint64(31))
-
-
-def shingles(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's word n-grams.
-
-    A-Z fall to lower case; words end at ASCII white space; fewer words than n make one n-gram. Each distinct word of the texts is hashed
-    once; n-grams are arrays over all words of all texts.
-    """
-    import xxhash
-
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    coded = parts.flatten().dictionary_encode()
-    spelled = coded.dictionary.to_pylist()
-    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, spelled), np.uint64, len(spelled))
-    codes = np.asarray(coded.indices)
-    filled = np.fromiter(map(bool, spelled), bool, len(spelled))[codes]
-    ends = np.r_[0, np.cumsum(filled)][np.cumsum(np.r_[0, np.asarray(pc.list_value_length(parts))])]
-    ids = of_word[codes[filled]]
-    found = [np.empty(0, np.uint64)] * len(texts)
-    with np.errstate(over="ignore"):
-        for size in range(1, n + 1):
-            # windows of all texts at once where the size is n; shorter texts have one window each
-            at = np.flatnonzero(np.diff(ends) >= n if size == n else np.diff(ends) == size)
-            if not len(at):
-                continue
-            h = mixed(ids + np.uint64(size))
-            for i in range(1, size):
-                h = mixed(h[: len(ids) - i] * np.uint64(3) + ids[i:])
-            for k in at:
-                found[k] = np.unique(h[ends[k] : ends[k + 1] - size + 1])
-    return found
 
 
 @dataclass(frozen=True)
@@ -180,273 +135,79 @@ def folded(counts: np.ndarray, n: int) -> np.ndarray:
     return np.where((parts == 255).any(axis=2), 255, np.minimum(parts.sum(axis=2), 255)).astype(np.int16)
 
 
-def finely_apart(a: list[bytes], b: list[bytes], apart: np.ndarray) -> np.ndarray:
-    """``apart``, or the distance by the most buckets that both have, where both have more than ``BUCKETS``."""
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        n = min(len(x), len(y))
-        if n > BUCKETS:
-            x, y = (folded(np.frombuffer(z, np.uint8)[None, :], n) for z in (x, y))
-            apart[i] = bucket_distance(x, y)[0]
-    return apart
-
-
-SETS = "row long, doc_id long, k_a long, k_b long, n_shingles long, hash_a long, hash_b long, buckets binary, signatures array<long>"
-ARROW_SETS = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("k_a", pa.int64()), ("k_b", pa.int64()), ("n_shingles", pa.int64()), ("hash_a", pa.int64()), ("hash_b", pa.int64()),
-     ("buckets", pa.binary()), ("signatures", pa.list_(pa.int64()))]
-)
-
-
-def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A row a document: its number, id and 128 bits of its text (``row_key``), its set's size, 128-bit digest, bucket counts and signatures."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        row, signer = TaskContext.get().partitionId() << 33, Signer(percent)
-        for batch in batches:
-            for part, texts in slices(batch, "text", SLICE):
-                cols: list[list] = [[] for _ in ARROW_SETS.names]
-                for *row_id, s in zip(*[c.to_pylist() for c in part.columns[:-1]], shingles(texts, words), strict=True):
-                    for col, value in zip(cols, (row, *row_id, len(s), *set_digest(s), bucket_counts(s), signer.of(s) if len(s) else []), strict=True):
-                        col.append(value)
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW_SETS, strict=True)], schema=ARROW_SETS)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key()[1:], "text").mapInArrow(frugal(run), SETS)
-
-
-def shared_rows(signed: DataFrame, parts: int) -> DataFrame:
-    """Rows (signature, row) of signatures that two rows or more have. Streams sorted rows; holds one at a time."""
-
-    def run(batches):
-        held: tuple[np.ndarray, np.ndarray] | None = None  # the last row, as its group may go on
-        known = False  # that the last row's group has another row
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, r = (np.asarray(batch.column(i)) for i in (0, 1))
-            if held:
-                s, r = np.r_[held[0], s], np.r_[held[1], r]
-            same = s[1:] == s[:-1]
-            keep = np.r_[known, same[:-1]] | same if len(same) else np.empty(0, bool)
-            known = bool(same[-1]) if len(same) else known
-            held = s[-1:], r[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(s[:-1][keep]), pa.array(r[:-1][keep])], names=["signature", "row"])
-        if known:
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["signature", "row"])
-
-    ordered = signed.repartition(parts, "signature").sortWithinPartitions("signature", "row")
-    return ordered.mapInArrow(run, "signature long, row long")
-
-
-VERIFIED = "a long, b long, common long, n_a long, n_b long"
-
-
-def set_digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
-    with np.errstate(over="ignore"):
-        a = mixed(s).sum(dtype=np.uint64)
-        b = mixed(s * np.uint64(5) + np.uint64(7)).sum(dtype=np.uint64)
-    return int(np.array(a).view(np.int64)), int(np.array(b).view(np.int64))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, block: int = 64, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Common features of pairs (a, b, n_pairs of a), from the texts of the rows in them.
-
-    Ids of the rows filter the documents before anything moves: they are broadcast up to ``broadcast_rows`` (16 MB), else joined
-    by a shuffle. Pairs of one ``a`` go in blocks: a task gets the features of a once a block and those of its partners once a pair, and
-    holds two sets at a time, however many partners there are.
-    """
-
-    def run_sets(batches):
-        for batch in batches:
-            for _, texts in slices(batch, "text", SLICE):
-                own = shingles(texts, words)
-                a, b = zip(*map(set_digest, own), strict=True)
-                columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["hash_a", "hash_b", "features"])
-
-    def compare(batches):
-        a, held = None, None
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                x, y, features = (batch.column(c)[i].as_py() for c in (0, 2, 3))
-                if x == y:
-                    a, held = x, np.frombuffer(features, np.uint64)
-                    continue
-                if x != a:
-                    raise ValueError("a block without its first set")
-                own = np.frombuffer(features, np.uint64)
-                at = np.searchsorted(held, own)
-                at[at == len(held)] = 0
-                out.append((x, y, int((held[at] == own).sum()), len(held), len(own)))
-            if out:
-                names = ["a", "b", "common", "n_a", "n_b"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n_pairs") / block))))
-    heads = pairs.select("a", "block").distinct().withColumn("b", F.col("a"))
-    wanted = pairs.select("a", "block", "b").unionByName(heads)
-    rows = wanted.select(F.col("b").alias("row")).distinct()
-    needed = stored(sets.select("row", F.col("doc_id").alias("needed_id"), "hash_a", "hash_b").join(rows, "row", "left_semi"), "needed")
-    ids = needed.select("needed_id").distinct()
-    ids = F.broadcast(ids) if needed.count() <= broadcast_rows else ids
-    texts = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("needed_id")), "left_semi").select("text")
-    features = texts.mapInArrow(frugal(run_sets), "hash_a long, hash_b long, features binary").join(needed, ["hash_a", "hash_b"])
-    rows = wanted.join(features, F.col("b") == F.col("row")).select("a", "block", "b", "features")
-    ordered = rows.repartition(parts_for(docs, 64), "a", "block").sortWithinPartitions("a", "block", F.when(F.col("a") == F.col("b"), 0).otherwise(1), "b")
-    return ordered.select("a", "block", "b", "features").mapInArrow(frugal(compare), VERIFIED).dropDuplicates(["a", "b"])
-
-
-def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Smallest node reachable from each node of links (a, b), or of links and the ``known`` result over earlier links: (node, label).
-
-    Links are read as links between known labels, so what earlier links settled isn't done again. Each round hooks every root that has a
-    smaller neighbour to its smallest one, follows the hooks to their ends by doubling, and goes on
-    with the links between the roots that are left, until there are none. Two rounds leave at most half of a component's roots, so there are
-    at most about 2 log2(nodes) of them, whatever the order of the rows. Tables of a round are stored, and removed after it.
-    """
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
-    between = links
-    if known is not None:
-        nodes = nodes.join(known.select("node"), "node", "left_anti").unionByName(known.select("node", "label"))
-        for end in ("a", "b"):
-            label = known.select(F.col("node").alias(end), F.col("label").alias("known_label"))
-            between = between.join(label, end, "left").withColumn(end, F.coalesce("known_label", end)).drop("known_label")
-    edges = stored(between.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = stored(nodes, "labels")
-    while not edges.isEmpty():
-        hooks = stored(edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("target"), F.lit(True).alias("moved")), "hooks")
-        while not hooks.where("moved").isEmpty():
-            ahead = hooks.select(F.col("root").alias("target"), F.col("target").alias("ahead"))
-            new = stored(hooks.join(ahead, "target", "left").select("root", F.coalesce("ahead", "target").alias("target"), F.col("ahead").isNotNull().alias("moved")), "hooks")
-            drop_stored(hooks)
-            hooks = new
-        at = lambda column: hooks.select(F.col("root").alias(column), F.col("target").alias(f"{column}_target"))  # noqa: B023, E731
-        ends = edges.join(at("a"), "a", "left").join(at("b"), "b").select(F.coalesce("a_target", "a").alias("a"), F.col("b_target").alias("b"))
-        left = stored(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        named = stored(labels.join(at("label"), "label", "left").select("node", F.coalesce("label_target", "label").alias("label")), "labels")
-        drop_stored(hooks, edges, labels)
-        edges, labels = left, named
-    drop_stored(edges)
-    return labels
-
-
 def bucket_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least number of features in which sets with these bucket counts differ; counts that were cut don't count."""
     return np.where((a < 255) & (b < 255), np.abs(a - b), 0).sum(axis=-1, dtype=np.int64)
 
 
-def may_link(buckets_a: np.ndarray, size_a: np.ndarray, buckets_b: np.ndarray, size_b: np.ndarray, percent: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Pairs (i of a, j of b) that sizes and bucket counts allow to link, of those ``asked`` for, and their bucket distances."""
-    total = size_a[:, None] + size_b[None, :]
-    most = total - 2 * -(-percent * total // (100 + percent))
-    ok = np.maximum(size_a[:, None], size_b[None, :]) * percent <= np.minimum(size_a[:, None], size_b[None, :]) * 100
-    ok = ok if asked is None else ok & asked
-    low_a, low_b = folded(buckets_a, BUCKETS // COARSE), folded(buckets_b, BUCKETS // COARSE)
-    for i in range(0, len(size_a), 64):
-        ok[i : i + 64] &= bucket_distance(low_a[i : i + 64, None, :], low_b[None, :, :]) <= most[i : i + 64]
-    x, y = np.nonzero(ok)
-    apart = np.concatenate([np.empty(0, np.int64), *[bucket_distance(buckets_a[x[k : k + 4096]], buckets_b[y[k : k + 4096]]) for k in range(0, len(x), 4096)]])
-    left = apart <= most[x, y]
-    return x[left], y[left], apart[left]
-
-
 def unpacked(rows: list[bytes]) -> np.ndarray:
     """Bucket counts of every row, folded to ``BUCKETS``."""
     short = [x if len(x) == BUCKETS else folded(np.frombuffer(x, np.uint8)[None, :], BUCKETS).astype(np.uint8).tobytes() for x in rows]
     return np.frombuffer(b"".join(short), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
 
 
-NEAR = "a long, b long, apart long"
+def odd_counts(counts: np.ndarray) -> np.ndarray:
+    """A bit a bucket of whether its count is odd; sets differ in a feature at least for each bucket in which these bits do."""
+    return np.packbits((counts & 1).astype(bool), axis=1).view(np.uint64)
+
+
+def finely_apart(a: list[bytes], b: list[bytes], apart: np.ndarray) -> np.ndarray:
+    """``apart``, or the distance by the most buckets that both have, where both have more than ``BUCKETS``."""
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        n = min(len(x), len(y))
+        if n > BUCKETS:
+            x, y = (folded(np.frombuffer(z, np.uint8)[None, :], n) for z in (x, y))
+            apart[i] = bucket_distance(x, y)[0]
+    return apart
+
+
+class Buckets:
+    """Bound by sizes and bucket counts: sets that link differ in few features, so in few bucket counts."""
 
+    def __init__(self, percent: int):
+        self.percent = percent
 
-def differ_little(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and bucket counts don't rule a link out, with their bucket distance."""
+    def most(self, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        """Most features in which sets of these sizes differ that link; -1 where sizes rule a link out."""
+        total = size_a + size_b
+        near = np.maximum(size_a, size_b) * self.percent <= np.minimum(size_a, size_b) * 100
+        return np.where(near, total - 2 * -(-self.percent * total // (100 + self.percent)), -1)
+
+    def aligned(self, a: list[bytes], size_a: np.ndarray, b: list[bytes], size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = finely_apart(a, b, bucket_distance(unpacked(a), unpacked(b)))
+        return apart, apart <= self.most(size_a, size_b)
+
+    def crossed(self, a: list[bytes], size_a: np.ndarray, b: list[bytes], size_b: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Odd counts are compared first, 64 buckets at a time, then sums of buckets where those leave many, then buckets of the pairs left."""
+        most, counts_a, counts_b = self.most(size_a[:, None], size_b[None, :]), unpacked(a), unpacked(b)
+        ok = asked & (most >= 0)
+        if not (counts_a == 255).any() and not (counts_b == 255).any():  # a count that was cut may be odd or even
+            apart = np.zeros(ok.shape, np.int64)
+            for x, y in zip(odd_counts(counts_a).T, odd_counts(counts_b).T, strict=True):
+                apart += np.bitwise_count(x[:, None] ^ y[None, :])
+            ok &= apart <= most
+        low_a, low_b = folded(counts_a, BUCKETS // COARSE), folded(counts_b, BUCKETS // COARSE)
+        for i in range(0, len(a), 64):
+            if ok[i : i + 64].mean() > 1 / 16:
+                ok[i : i + 64] &= bucket_distance(low_a[i : i + 64, None, :], low_b[None, :, :]) <= most[i : i + 64]
+        x, y = np.nonzero(ok)
+        apart = np.concatenate([np.empty(0, np.int64), *[bucket_distance(counts_a[x[k : k + 4096]], counts_b[y[k : k + 4096]]) for k in range(0, len(x), 4096)]])
+        left = apart <= most[x, y]
+        x, y = x[left], y[left]
+        apart = finely_apart([a[k] for k in x], [b[k] for k in y], apart[left])
+        near = apart <= most[x, y]
+        return x[near], y[near], apart[near]
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                size_a, size_b = (np.asarray(part.column(c)) for c in (4, 5))
-                total = size_a + size_b
-                most = total - 2 * -(-percent * total // (100 + percent))
-                a, b = part.column(2).to_pylist(), part.column(3).to_pylist()
-                apart = finely_apart(a, b, bucket_distance(unpacked(a), unpacked(b)))
-                keep = (apart <= most) & (np.maximum(size_a, size_b) * percent <= np.minimum(size_a, size_b) * 100)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(apart)], names=["a", "b", "apart"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b", "buckets_a", "buckets_b", "size_a", "size_b").mapInArrow(frugal(run), NEAR)
+def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Sets of ``docs`` with bucket counts and PartEnum signatures, as ``clusters.signed_sets`` gives them."""
+    signer = Signer(percent)
+    return clusters.signed_sets(docs, words, lambda sets: ([bucket_counts(s) for s in sets], [signer.of(s) for s in sets]))
 
 
 def open_pairs(rest: DataFrame, percent: int, block: int = 512, nearest: bool = False) -> DataFrame:
-    """Pairs of members of a group with different labels that may link, one of them outside the group's largest component.
-
-    rest: signature, row, label, most, like, buckets, size. Members outside the largest component meet all members in blocks of ``block``: a task
-    compares two blocks at a time by array operations and gives only the pairs that the bounds leave, so neither memory nor rows follow the
-    group's size squared. ``nearest``: of the pairs of an asking member and a block, only the one with the least bucket distance.
-    """
-    limit = (100 - percent) / 100 + 1e-9
-
-    def compare(key, asked, members):
-        for i in range(0, len(asked[0]), 256):
-            u = [x[i : i + 256] for x in asked]
-            ok = u[1][:, None] != members[1][None, :]
-            # of two members outside the largest component, the smaller one asks
-            ok &= (members[1] == members[5])[None, :] | (u[0][:, None] < members[0][None, :])
-            ok &= ~(np.abs(u[2][:, None] - members[2][None, :]) > limit)  # unknown distances are nan, and stay
-            x, y, apart = may_link(u[3], u[4], members[3], members[4], percent, ok)
-            apart = finely_apart([u[6][k] for k in x], [members[6][k] for k in y], apart)
-            total = u[4][x] + members[4][y]
-            near = apart <= total - 2 * -(-percent * total // (100 + percent))
-            x, y, apart = x[near], y[near], apart[near]
-            if nearest:
-                order = np.lexsort((members[0][y], apart, x))
-                first = order[np.r_[True, x[order][1:] != x[order][:-1]]] if len(order) else order
-                x, y, apart = x[first], y[first], apart[first]
-            low, high = np.minimum(u[0][x], members[0][y]), np.maximum(u[0][x], members[0][y])
-            if len(low):
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(apart)], names=["a", "b", "apart"])
-
-    def run(batches):
-        now, held = None, []
-
-        def closed():
-            table = pa.Table.from_batches(held).combine_chunks()
-            role, col = np.asarray(table["asks"]), lambda c: np.asarray(table[c].combine_chunks())
-            counts = table["buckets"].to_pylist()
-            whole = np.empty(len(counts), object)
-            whole[:] = counts
-            arrays = [col("row"), col("label"), col("like").astype(np.float64), unpacked(counts), col("size"), col("most"), whole]
-            yield from compare(now, [a[role] for a in arrays], [a[~role] for a in arrays])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([np.asarray(batch.column(c)) for c in range(3)])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
-            for low, high in zip(cuts, cuts[1:]):
-                key = tuple(keys[:, low])
-                if key != now:
-                    if held:
-                        yield from closed()
-                    now, held = key, []
-                held.append(batch.slice(low, high - low))
-        if held:
-            yield from closed()
-
-    asks = F.col("label") != F.col("most")
-    sums = rest.groupBy("signature").agg(F.ceil(F.count("*") / block).alias("n_all"), F.ceil(F.count_if(asks) / block).alias("n_asks"))
-    joined = rest.join(sums, "signature")
-    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
-    columns = ["row", "label", "most", "like", "buckets", "size"]
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    askers = joined.where(asks).select("signature", own("n_asks").alias("x"), every("n_all").alias("y"), F.lit(True).alias("asks"), *columns)
-    members = joined.select("signature", every("n_asks").alias("x"), own("n_all").alias("y"), F.lit(False).alias("asks"), *columns)
-    dealt = askers.unionByName(members).repartition(parts_for(rest, 16), "signature", "x", "y").sortWithinPartitions("signature", "x", "y")
-    return dealt.mapInArrow(frugal(run), NEAR).groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    """``clusters.open_pairs`` of groups whose sketches are bucket counts."""
+    return clusters.open_pairs(rest.withColumnRenamed("buckets", "sketch"), Buckets(percent), percent, block, nearest)
 
 
 def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -455,128 +216,22 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, broadcas
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (links of the
     document's set that were compared; others may exist within a component) and class_id (the smallest doc_id with the same set).
 
-    1. Equal sets meet by digest; one of each class goes on.
-    2. Rows that share a signature meet by it; of each group, the smallest row meets the others. A pair is compared exactly unless bucket
-       counts rule a link out or its rows are in one component already; each row's nearest pair comes first.
-    3. Groups that then still span several components are finished: each member outside the group's largest component
-       meets its nearest member with another label, then all such members, unless bucket counts or the distances to the group's first row
-       (Jaccard distance is a metric) rule the link out. No pair that can link is left out, whatever the group's size.
+    Of the rows that share a signature, which may be any number, the smallest meets the others first; groups that then span several
+    components are finished in blocks (``clusters.joined_rows``). No pair that can link is left out.
 
     Row numbers (8 bytes each) are broadcast up to ``broadcast_rows``; beyond it the same joins shuffle.
 
     Null, empty or white-space texts have no set: n_shingles 0, linked with nothing. Null ids: allowed, smallest last.
     Repeated rows link like copies. Empty table: empty result. Other columns are not read.
     """
-    found = joined_rows(docs, words=words, percent=percent, broadcast_rows=broadcast_rows)
+    found = clusters.joined_rows(docs, shingle_sets(docs, words, percent), Buckets(percent), words=words, percent=percent, broadcast_rows=broadcast_rows)
     return found.select("doc_id", "n_shingles", "component_id", "n_links", "class_id")
 
 
-def joined_rows(docs: DataFrame, *, words: int, percent: int, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """The rows of ``jaccard_join`` with their keys (doc_id, k_a, k_b) and ``kept``, the least key of the component (no_id, k_id, k_a, k_b; null: nothing is like the row)."""
-    spark = session_of(docs)
-    wide = stored(shingle_sets(docs, words, percent), "wide")
-    sets = stored(wide.drop("signatures"), "sets")
-    filled = sets.where("n_shingles > 0")
-    key = ["hash_a", "hash_b", "n_shingles"]
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("k_id"), "k_a", "k_b")).alias("least")
-    classes = stored(filled.groupBy(*key).agg(F.min("row").alias("first_row"), F.min("doc_id").alias("class_id"), least, F.count("*").alias("n")), "classes")
-    copies = stored(filled.join(classes.where("n > 1"), key).where("row <> first_row").select("row"), "copies")
-    # signatures are wide: while the rows to leave out are few, they go to the signatures and not the other way round
-    single = wide.where(F.size("signatures") > 0).join(F.broadcast(copies) if copies.count() <= broadcast_rows else copies, "row", "left_anti")
-    signed = stored(shared_rows(single.select(F.explode("signatures").alias("signature"), "row"), parts_for(docs, 64)), "signed")
-    drop_stored(wide, copies)
-    # versions of one text share many signatures: of groups with the same members, one goes on
-    members = [F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"), F.count("*").alias("n"), F.min("row").alias("first")]
-    groups = signed.groupBy("signature").agg(*members).groupBy("x", "y", "n", "first").agg(F.min("signature").alias("signature"))
-    shared = stored(signed.join(groups.select("signature", "first"), "signature"), "shared")
-    drop_stored(signed)
-
-    sizes = sets.select("row", "n_shingles", "buckets")
-    starred = shared.where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()
-    left = sizes.select(F.col("row").alias("a"), F.col("buckets").alias("buckets_a"), F.col("n_shingles").alias("size_a"))
-    right = sizes.select(F.col("row").alias("b"), F.col("buckets").alias("buckets_b"), F.col("n_shingles").alias("size_b"))
-
-    def checked(near: DataFrame) -> DataFrame:
-        counted = near.select("a", "b").join(near.groupBy("a").agg(F.count("*").alias("n_pairs")), "a")
-        return stored(verified(counted, docs, sets, words, broadcast_rows=broadcast_rows), "verified")
-
-    def settled(near: DataFrame, found: list[DataFrame], labels: DataFrame | None) -> DataFrame | None:
-        """Labels after the pairs of ``near``, which join ``found``: first each row's nearest pair, then pairs that are still in different components."""
-        near = stored(near, "near")
-        if near.isEmpty():
-            return labels
-        ends = near.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
-        nearest = stored(ends.groupBy("end").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "nearest")
-        found.append(checked(nearest))
-        labels = components(found[-1].where(is_link).select("a", "b"), labels)
-        other = near.join(nearest, ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            label = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
-            other = other.join(label, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-        other = stored(other.where("label_a <> label_b").select("a", "b"), "apart")
-        if not other.isEmpty():
-            found.append(checked(other))
-            labels = components(found[-1].where(is_link).select("a", "b"), labels)
-        drop_stored(near, nearest, other)
-        return labels
-
-    is_link = F.col("common") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    found: list[DataFrame] = []
-    labels = settled(differ_little(starred.join(right, "b").join(left, "a"), percent), found, None)
-    no_labels = spark.createDataFrame([], "node long, label long")
-    no_pairs = spark.createDataFrame([], VERIFIED)
-
-    def left_open(labels: DataFrame, known: DataFrame) -> DataFrame:
-        """Members, but the first, of groups that span several components."""
-        named = shared.join(labels, F.col("row") == F.col("node"), "left").select("signature", "first", "row", F.coalesce("label", "row").alias("label"))
-        per_label = named.groupBy("signature", "label").agg(F.count("*").alias("n"))
-        per_group = per_label.groupBy("signature").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).getField("label").alias("most"))
-        like = (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("like")
-        rest = named.join(per_group.where("labels > 1"), "signature").where("row <> first")
-        rest = rest.join(known.select(F.col("a").alias("first"), F.col("b").alias("row"), like), ["first", "row"], "left").join(sizes, "row")
-        return stored(rest.select("signature", "row", "label", "most", "like", "buckets", F.col("n_shingles").alias("size")), "open")
-
-    # first each member's nearest one, which joins most of what can be joined; then every pair that is left
-    for nearest in (True, False):
-        rest = left_open(no_labels if labels is None else labels, reduce(DataFrame.union, found, no_pairs))
-        if rest.isEmpty():
-            break
-        labels = settled(open_pairs(rest, percent, nearest=nearest), found, labels)
-        drop_stored(rest)
-    labels = no_labels if labels is None else labels
-    links = reduce(DataFrame.union, found, no_pairs).where(is_link).select("a", "b").distinct()
-
-    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
-    linked = classes.join(labels, F.col("first_row") == F.col("node")).select(*key, "label", "class_id", "first_row", "least")
-    lowest = linked.groupBy("label").agg(F.min("class_id").alias("component_id"), F.min("least").alias("kept"))
-    of_class = linked.join(lowest, "label").join(degree, F.col("first_row") == F.col("a"), "left").select(*key, "component_id", "kept", "n_links")
-    many = classes.where("n > 1").select(*key, "class_id", "least")
-    known = many.join(of_class, key, "full")
-    out = sets.select("doc_id", "k_a", "k_b", *key).join(known, key, "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    own = [F.col("doc_id"), F.col("k_a"), F.col("k_b"), F.col("n_shingles"), F.coalesce("component_id", class_id).alias("component_id")]
-    return out.select(*own, F.coalesce("n_links", F.lit(0)).alias("n_links"), class_id.alias("class_id"), F.coalesce("kept", "least").alias("kept"))
-
-
 def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs, all columns, one of each component: that with the smallest id (null last), of these with the smallest hash of its text.
-
-    Rows are told apart by id and text, so ids may be null or repeated. Rows that agree in both are copies: the least by its columns stays.
-    Rows without a set are like nothing; only those that agree in all columns become one.
-    """
-    found = joined_rows(docs.select("doc_id", "text"), words=words, percent=percent)
-    of_row = [F.col("doc_id").alias("k_id"), F.col("k_a"), F.col("k_b")]
-    least = F.col("kept.k_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.k_a") == F.col("k_a")) & (F.col("kept.k_b") == F.col("k_b"))
-    gone = found.where(F.col("kept").isNotNull() & ~least).select(*of_row).distinct()
-    row = docs.select(F.struct("*").alias("whole"), *row_key())
-    row = row.withColumn("once", F.struct("k_id", "k_a", "k_b"))
-    repeated = row.groupBy("once").agg(F.count("*").alias("rows")).where("rows > 1").select("once")
-    left = row.alias("l").join(gone.alias("g"), same_key("l", "g"), "left_anti")
-    same = lambda other: left.alias("l").join(other.alias("r"), same_key("l", "r.once"), "left_semi")
-    single = left.alias("l").join(repeated.alias("r"), same_key("l", "r.once"), "left_anti")
-    wordless = F.translate(F.coalesce("whole.text", F.lit("")), ASCII_SPACE, "") == ""
-    again = same(repeated).groupBy("once", F.when(wordless, F.col("whole")).alias("itself")).agg(F.min("whole").alias("whole"))
-    return single.select("whole.*").union(again.select("whole.*"))
+    """Rows of docs, all columns, one of each component, as ``clusters.one_of_each`` chooses it. Rows without a set are like nothing."""
+    own = docs.select("doc_id", "text")
+    return clusters.one_of_each(docs, clusters.joined_rows(own, shingle_sets(own, words, percent), Buckets(percent), words=words, percent=percent))
 
 
 JOIN_SQL = """

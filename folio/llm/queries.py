@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from folio.llm import chat, common, decontam, divergence, langid, line_dedup, ngram_join, packing, prefix_trie, secrets, simhash, token_counts, token_output
+from folio.llm import chat, common, decontam, divergence, langid, line_dedup, minhash, ngram_join, packing, prefix_trie, secrets, simhash, token_counts, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_token_counts, op2_token_output, op3_ngram_join, op4_secrets, op5_line_dedup, op6_packing, op7_chat,
-        op8_decontamination, op9_fingerprints, op10_language, op11_prefix_trie, op13_divergence,
+        op8_decontamination, op9_fingerprints, op10_language, op11_prefix_trie, op12_minhash, op13_divergence,
     )
     return {f.__name__: f for f in own}
 
@@ -84,5 +88,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": line_dedup.LINE_SQL,
         "op8_decontamination": decontam.DECONTAM_SQL,
         "op11_prefix_trie": prefix_trie.TRIE_SQL,
+        "op12_minhash": minhash.near_sql(),
         "op13_divergence": divergence.DIVERGENCE_SQL,
     }
