@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folio.functions.text import line_signature, normalized_title, upper_median
 
@@ -10,32 +12,69 @@ TOP, BOTTOM = 0.065, 0.92
 PAGE = ["doc_id", "page"]
 
 
-def cluster_rows(items: DataFrame) -> DataFrame:
-    """L1: items with ``row``: an item joins the row when its y is within max(2, a quarter of the lower height) of the row's first item.
+def row_starts(y: np.ndarray, height: np.ndarray, first: tuple[float, float] | None) -> list[int]:
+    """Items at which a row starts, of items sorted by y; ``first``: y and height of the first item of the row that is open before them.
 
-    The rule looks at the row's first item, so it is a fold over a page's items; pages are bounded and folded apart.
+    From each row's first item the next one is looked for among those within the widest tolerance that its height allows; the exact one, of both heights, says
+    where the row ends.
     """
-    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("height"), F.array().cast("array<int>").alias("rows"))
+    starts, at = [], 0
+    while at < len(y):
+        if first is not None:
+            y0, h0 = first
+            widest = max(2.0, 0.25 * (np.nanmax(height[at:], initial=0.0) if np.isnan(h0) else h0))
+            high = at + int(np.searchsorted(y[at:], y0 + widest + 1.0, side="right"))
+            near = y[at:high] - y0 <= np.fmax(2.0, 0.25 * np.fmin(h0, height[at:high]))
+            at = high if near.all() else at + int(np.argmin(near))
+            if at == len(y):
+                break
+        starts.append(at)
+        first = y[at], height[at]
+        at += 1
+    return starts
 
-    def step(state, i):
-        same = (state["row"] >= 0) & (F.abs(state["y"] - i["y"]) <= F.greatest(F.lit(2.0), F.least(state["height"], i["height"]) * 0.25))
-        row = F.when(same, state["row"]).otherwise(state["row"] + 1)
-        return F.struct(
-            row.alias("row"), F.when(same, state["y"]).otherwise(i["y"]).alias("y"), F.when(same, state["height"]).otherwise(i["height"]).alias("height"),
-            F.concat(state["rows"], F.array(row)).alias("rows"),
-        )
 
-    # an item at the y and height of the one before it goes where that went: the fold is over the first of each run
-    ordered = Window.partitionBy(*PAGE).orderBy("y", "x", "seq")
-    again = F.lag("y").over(ordered).eqNullSafe(F.col("y")) & F.lag("height").over(ordered).eqNullSafe(F.col("height"))
-    runs = items.withColumn("again", again).withColumn("run", F.count_if(~F.col("again")).over(ordered).cast("int"))
-    heads = F.array_sort(F.collect_list(F.when(~F.col("again"), F.struct("run", "y", "height"))).over(Window.partitionBy(*PAGE)))
-    rows = runs.withColumn("rows", F.aggregate(heads, start, step, lambda s: s["rows"]))
-    return rows.select(*PAGE, F.element_at("rows", F.col("run")).alias("row"), "y", "x", "seq", "text", "font", "width", "height", "page_width", "page_height")
+def cluster_rows(items: DataFrame) -> DataFrame:
+    """L1: items with ``row``: an item joins the row when its y is within max(2, a quarter of the lower height) of the row's first item.
+
+    A page's items stream by in order of y; numpy looks for a row's end. A task keeps a row's number and first item, so pages may have any size. Items without y are
+    rows of their own; a missing height does not narrow the tolerance.
+    """
+    columns = [*PAGE, "row", "y", "x", "seq", "text", "font", "width", "height", "page_width", "page_height"]
+    schema = T.StructType([T.StructField("row", T.IntegerType()) if c == "row" else T.StructField(c, items.schema[c].dataType) for c in columns])
+    own = [c for c in columns if c != "row"]
+
+    def run(batches):
+        page, row, first = None, -1, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [np.asarray(batch.column(i).dictionary_encode().indices.fill_null(-1)) for i in (0, 1)]
+            y, height = (batch.column(own.index(c)).cast("double").to_numpy(zero_copy_only=False) for c in ("y", "height"))
+            rows = np.empty(batch.num_rows, np.int32)
+            cuts = [0, *(np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                here = batch.column(0)[low].as_py(), batch.column(1)[low].as_py()
+                if here != page:
+                    page, row, first = here, -1, None
+                missing = int(np.isnan(y[low:high]).argmin()) if np.isnan(y[low]) and not np.isnan(y[high - 1]) else 0  # items without y come first
+                rows[low : low + missing] = row + 1 + np.arange(missing)
+                row, first, low = row + missing, None if missing else first, low + missing
+                starts = np.array(row_starts(y[low:high], height[low:high], first), np.int64)
+                rows[low:high] = row + np.searchsorted(starts, np.arange(high - low), side="right")
+                if len(starts):
+                    row, first = row + len(starts), (y[low + starts[-1]], height[low + starts[-1]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows), *batch.columns[2:]], names=columns)
+
+    return items.select(*own).repartition(*PAGE).sortWithinPartitions(*PAGE, "y", "x", "seq").mapInArrow(run, schema)
 
 
 def split_chunks(rows: DataFrame) -> DataFrame:
-    """L2: rows with ``chunk``: a new one where the gap is max(2.3 heights, 6 % of the page's width) or more."""
+    """L2: rows with ``chunk``: a new one where the gap is max(2.3 heights, 6 % of the page's width) or more.
+
+    Rows are dealt out by page once, which serves the windows of L2 to L7.
+    """
+    rows = rows.repartition(*PAGE)
     w = Window.partitionBy(*PAGE, "row").orderBy("x", "y", "seq")
     gap = F.col("x") - F.lag("x").over(w) - F.lag("width").over(w)
     new = F.coalesce((gap >= F.greatest(F.col("height") * 2.3, F.col("page_width") * 0.06)).cast("int"), F.lit(0))
@@ -65,22 +104,35 @@ def join_text(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _gutter(over) -> list[Column]:
-    """Gutter, columns and lines on either side, from aggregates of a page's lines that ``over`` may put over a window."""
-    x, right_end, width = F.col("x"), F.col("x") + F.col("width"), F.col("page_width")
-    left = (right_end <= width * 0.53) & (x < width * 0.35)
+def _left() -> Column:
+    return (F.col("x") + F.col("width") <= F.col("page_width") * 0.53) & (F.col("x") < F.col("page_width") * 0.35)
+
+
+def _gutter(over, ends: Column) -> list[Column]:
+    """Gutter, columns and lines on either side, from aggregates of a page's lines that ``over`` may put over a window; ``ends``: upper median of the left ones' right ends."""
+    x, right_end, width, left = F.col("x"), F.col("x") + F.col("width"), F.col("page_width"), _left()
     right = (x >= width * 0.45) & (F.col("width") < width * 0.5)
     n_left, n_right, page = over(F.count_if(left)), over(F.count_if(right)), over(F.first(width))
     left_end, right_start = over(F.max(F.when(left, right_end))), over(F.min(F.when(right, x)))
-    ends = upper_median(over(F.collect_list(F.when(left, right_end))), 0.0)
     two = (n_left >= 3) & (n_right >= 3) & (right_start - ends > page * 0.035)
     gutter = (F.greatest(F.coalesce(left_end, F.lit(0.0)), F.lit(0.0)) + F.least(F.coalesce(right_start, page), page)) / 2
     return [gutter.alias("gutter"), F.when(two, 2).otherwise(1).alias("columns"), n_left.alias("n_left"), n_right.alias("n_right")]
 
 
+def with_upper_median(df: DataFrame, keys: list[str], value: Column, keep: Column, name: str) -> DataFrame:
+    """df with the upper median of the values to ``keep`` of each group of ``keys``, 0 without any: by rank over windows, so nothing is listed."""
+    kept = F.coalesce(keep, F.lit(False)) & value.isNotNull()
+    own = Window.partitionBy(*keys)
+    ranked = df.withColumns({"_kept": kept, "_value": value}).withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_kept").orderBy("_value")))
+    at = F.col("_kept") & (F.col("_nth") == F.floor(F.col("_n") / 2) + 1)
+    ranked = ranked.withColumn("_n", F.count_if("_kept").over(own))
+    return ranked.withColumn(name, F.coalesce(F.max(F.when(at, F.col("_value"))).over(own), F.lit(0.0))).drop("_kept", "_value", "_nth", "_n")
+
+
 def detect_columns(lines: DataFrame) -> DataFrame:
     """Gutter and one or two columns of each page."""
-    return lines.groupBy(*PAGE).agg(*_gutter(lambda c: c))
+    ends = upper_median(F.collect_list(F.when(_left(), F.col("x") + F.col("width"))), 0.0)
+    return lines.groupBy(*PAGE).agg(*_gutter(lambda c: c, ends))
 
 
 def reading_order(lines: DataFrame, columns: DataFrame | None = None) -> DataFrame:
@@ -89,7 +141,11 @@ def reading_order(lines: DataFrame, columns: DataFrame | None = None) -> DataFra
     Without ``columns`` (of ``detect_columns``) they come from windows over the page, which share the one shuffle of the order.
     """
     own = Window.partitionBy(*PAGE)
-    both = lines.select("*", *_gutter(lambda c: c.over(own))[:2]) if columns is None else lines.join(columns.select(*PAGE, "gutter", "columns"), PAGE)
+    if columns is None:
+        with_ends = with_upper_median(lines, PAGE, F.col("x") + F.col("width"), _left(), "_ends")
+        both = with_ends.select(*lines.columns, *_gutter(lambda c: c.over(own), F.col("_ends"))[:2])
+    else:
+        both = lines.join(columns.select(*PAGE, "gutter", "columns"), PAGE)
     across = ((F.col("x") < F.col("gutter")) & (F.col("x") + F.col("width") > F.col("gutter"))) | (F.col("y") < F.col("page_height") * TOP) | (
         F.col("y") > F.col("page_height") * BOTTOM
     )
@@ -117,8 +173,7 @@ def mark_margins(lines: DataFrame, page_height: float = 792.0, page_counts: Data
     zone = (F.col("y") < height * TOP) | (F.col("y") > height * BOTTOM)
     signed = lines.drop("margin").withColumns({"zone": zone, "signature": F.when(zone, line_signature(F.col("text")))})
     seen = signed.where("zone").groupBy("doc_id", "signature").agg(F.count_distinct("page").alias("n_seen"))
-    body = upper_median(F.collect_list(F.when(F.length("text") > 20, F.col("height"))).over(Window.partitionBy(*PAGE)), 0.0)
-    signed = signed.withColumn("body", body)
+    signed = with_upper_median(signed, PAGE, F.col("height"), F.length("text") > 20, "body")
     if page_counts is None:
         signed = signed.withColumn("n_pages", F.max("page").over(Window.partitionBy("doc_id")))
     else:

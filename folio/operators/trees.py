@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from folio.functions.text import (
     CONTENTS_WORD, heading_number_depth, is_dot_leader, is_named_heading, normalized_title, upper_median,
 )
+from folio.operators.folds import Fold, fields, fold
 
 DEEPEST = 8
 PAGE = ["doc_id", "page"]
@@ -268,32 +269,37 @@ def node_sizes(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+class Merging(Fold):
+    """The last node kept, which the node before it may take in."""
+
+    def __init__(self):
+        self.last = None
+
+    def row(self, doc_id, node, title, start, end, depth, parent, origin, low, high, leaf):
+        last, kept = self.last, []
+        if last is not None:
+            _, _, l_title, l_start, l_end, l_depth, l_parent, _, l_low, l_high, l_leaf, l_merged = last
+            alike = leaf and l_leaf and parent == l_parent and depth == l_depth and None not in (low, high, l_low, l_high)
+            if alike and l_high - l_low < SMALL and l_high - l_low + high - low <= SMALL_MERGED and l_start <= end + 1:
+                self.last = doc_id, node, title, start, max(end, l_end), depth, parent, origin, low, max(high, l_high), leaf, [l_title, *l_merged]
+                return kept
+            kept = self.close()
+        self.last = doc_id, node, title, start, end, depth, parent, origin, low, high, leaf, []
+        return kept
+
+    def close(self):
+        return [(*self.last[:8], " | ".join(t for t in self.last[-1] if t is not None))]
+
+
 def merge_small(sized: DataFrame) -> DataFrame:
     """From the end, a leaf under 500 characters joins the sibling leaf before it while both have 5000 at most.
 
-    A fold over one document's nodes: the state is the list of nodes kept, the last of which may still join the one before. Nodes carry
+    A document's nodes stream by from the last; only the last one kept may still join the one before it. Nodes carry
     the running characters before their start and up to their end, so a joined node's size needs no pages.
     """
-    node = F.struct("node", "title", "start", "end", "depth", "parent", "origin", "low", "high", "leaf", F.array().cast("array<string>").alias("merged"))
-    listed = sized.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_list(node))).alias("nodes"))
-    chars = lambda n: n["high"] - n["low"]
-
-    def step(kept, n):
-        last = F.try_element_at(kept, F.lit(-1))
-        joins = (
-            n["leaf"] & last["leaf"] & n["parent"].eqNullSafe(last["parent"]) & (n["depth"] == last["depth"]) & (chars(last) < SMALL)
-            & (chars(last) + chars(n) <= SMALL_MERGED) & (last["start"] <= n["end"] + 1)
-        )
-        both = F.struct(
-            n["node"].alias("node"), n["title"].alias("title"), n["start"].alias("start"), F.greatest(n["end"], last["end"]).alias("end"), n["depth"].alias("depth"),
-            n["parent"].alias("parent"), n["origin"].alias("origin"), n["low"].alias("low"), F.greatest(n["high"], last["high"]).alias("high"), n["leaf"].alias("leaf"),
-            F.concat(n["merged"], F.array(last["title"]), last["merged"]).alias("merged"),
-        )
-        rest = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(rest, F.array(both))).otherwise(F.concat(kept, F.array(n)))
-
-    merged = listed.select("doc_id", F.explode(F.aggregate("nodes", F.slice("nodes", 1, 0), step)).alias("n"))
-    return merged.select("doc_id", "n.node", "n.title", "n.start", "n.end", "n.depth", "n.parent", "n.origin", F.array_join("n.merged", " | ").alias("merged_titles"))
+    own = sized.select("doc_id", "node", "title", "start", "end", "depth", "parent", "origin", "low", "high", "leaf")
+    schema = T.StructType([*fields(own, *own.columns[:8]), T.StructField("merged_titles", T.StringType())])
+    return fold(own, ["doc_id"], [F.desc("node")], schema, Merging)
 
 
 def page_evidence() -> Column:
@@ -301,28 +307,34 @@ def page_evidence() -> Column:
     return F.to_json(F.struct("page", "label", "text"), {"ignoreNullFields": "false"})
 
 
-def pack_windows(pages: DataFrame, context_chars: int) -> DataFrame:
-    """Pages (doc_id, page, label, text) with ``window``: greedy runs of at most 8 pages within a budget of JSON characters; null with
-    ``page_context_too_large`` where some page of the document cannot fit."""
-    sized = pages.select("doc_id", "page", F.length(page_evidence()).alias("size"))
-    listed = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "size"))).alias("pages"), F.max("size").alias("largest"))
-    start = F.struct(F.lit(0).alias("window"), F.lit(0).alias("n"), F.lit(2).alias("chars"), F.array().cast("array<struct<page:int,window:int>>").alias("out"))
+class Windows(Fold):
+    """Number, pages and JSON characters of the open window."""
 
-    def step(s, p):
+    def __init__(self, context_chars: int):
+        self.most, self.window, self.n, self.chars = context_chars - 4000, 0, 0, 2
+
+    def row(self, doc_id, page, size):
         # [a,b] is two brackets, the pages and the commas between them
-        with_page = s["chars"] + p["size"] + F.when(s["n"] > 0, 1).otherwise(0)
-        new = (s["n"] >= WINDOW_PAGES) | ((s["n"] > 0) & (with_page > context_chars - 4000))
-        window = s["window"] + new.cast("int")
-        return F.struct(
-            window.alias("window"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, p["size"] + 2).otherwise(with_page).alias("chars"),
-            F.concat(s["out"], F.array(F.struct(p["page"].alias("page"), window.alias("window")))).alias("out"),
-        )
+        with_page = self.chars + size + (self.n > 0)
+        if self.n >= WINDOW_PAGES or (self.n and with_page > self.most):
+            self.window, self.n, with_page = self.window + 1, 0, size + 2
+        self.n, self.chars = self.n + 1, with_page
+        return [(doc_id, page, self.window, size)]
+
+    def close(self):
+        return []
 
+
+def pack_windows(pages: DataFrame, context_chars: int) -> DataFrame:
+    """Pages (doc_id, page, label, text) with ``window``: greedy runs of at most 8 pages within a budget of JSON characters; null with
+    ``page_context_too_large`` where some page of the document cannot fit. Sizes stream by; the texts stay where they are."""
+    sized = pages.select("doc_id", "page", F.length(page_evidence()).alias("size"))
+    schema = T.StructType([*fields(sized, "doc_id", "page"), T.StructField("window", T.IntegerType()), *fields(sized, "size")])
+    packed = fold(sized, ["doc_id"], ["page"], schema, lambda: Windows(context_chars))
     # {"pages":[...]} is 12 characters more than the page
-    too_large = F.col("largest") + 12 > context_chars - 2000
-    packed = listed.select("doc_id", too_large.alias("refused"), F.explode(F.aggregate("pages", start, step)["out"]).alias("p"))
-    return packed.select(
-        "doc_id", "p.page", F.when(~F.col("refused"), F.col("p.window")).alias("window"), F.when(F.col("refused"), "page_context_too_large").alias("failure")
+    refused = F.max("size").over(Window.partitionBy("doc_id")) + 12 > context_chars - 2000
+    return packed.withColumn("refused", refused).select(
+        "doc_id", "page", F.when(~F.col("refused"), F.col("window")).alias("window"), F.when(F.col("refused"), "page_context_too_large").alias("failure")
     )
 
 
@@ -387,20 +399,28 @@ def own_text(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return found.select("doc_id", "node", own.alias("own_text"), F.when(short, F.regexp_replace(own, r"(?U)^\s+|\s+$", "")).alias("summary"))
 
 
+class Batches(Fold):
+    """Number, parts and characters of the open batch of a node."""
+
+    def __init__(self, context_chars: int):
+        self.most, self.batch, self.n, self.chars = context_chars - 4000, -1, 0, 0
+
+    def row(self, *values):
+        *key, size = values
+        if self.batch < 0 or self.n >= BATCH or self.chars + size >= self.most:
+            self.batch, self.n, self.chars = self.batch + 1, 0, 0
+        self.n, self.chars = self.n + 1, self.chars + size
+        return [(*key, self.batch)]
+
+    def close(self):
+        return []
+
+
 def rollup_batches(parts: DataFrame, context_chars: int) -> DataFrame:
     """Parts (doc_id, parent, pos, size) with ``batch``: greedy runs of at most 12 parts within a budget of characters; the first part always fits."""
-    listed = parts.groupBy("doc_id", "parent").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("parts"))
-    start = F.struct(F.lit(-1).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<struct<pos:int,batch:int>>").alias("out"))
-
-    def step(s, p):
-        new = (s["batch"] < 0) | (s["n"] >= BATCH) | (s["chars"] + p["size"] >= context_chars - 4000)
-        batch = s["batch"] + new.cast("int")
-        return F.struct(
-            batch.alias("batch"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, p["size"].cast("long")).otherwise(s["chars"] + p["size"]).alias("chars"),
-            F.concat(s["out"], F.array(F.struct(p["pos"].cast("int").alias("pos"), batch.alias("batch")))).alias("out"),
-        )
-
-    return listed.select("doc_id", "parent", F.explode(F.aggregate("parts", start, step)["out"]).alias("p")).select("doc_id", "parent", "p.pos", "p.batch")
+    own = parts.select("doc_id", "parent", F.col("pos").cast("int").alias("pos"), F.col("size").cast("long").alias("size"))
+    schema = T.StructType([*fields(own, "doc_id", "parent", "pos"), T.StructField("batch", T.IntegerType())])
+    return fold(own, ["doc_id", "parent"], ["pos"], schema, lambda: Batches(context_chars))
 
 
 def document_description(summaries: DataFrame) -> DataFrame:
