@@ -55,16 +55,17 @@ def tree_shape(nodes: DataFrame, page_counts: DataFrame) -> DataFrame:
 
 
 def pair_records(ours: DataFrame, theirs: DataFrame, expected: DataFrame, modes: list[str]) -> DataFrame:
-    """Every expected file in every mode with both sides' records, or missing_or_mismatched_pair.
+    """Every expected file in every mode with both sides' records, or missing_or_mismatched_pair. ``reason`` (ours) and ``error`` (theirs) may be left out.
 
     The modes are a short list: they become an array of each file, not a join.
     """
     each = expected.select("file", "sha256", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
-    a = ours.select("mode", "file", F.col("sha256").alias("our_hash"), F.col("status").alias("our_status"))
-    b = theirs.select("mode", "file", F.col("sha256").alias("their_hash"), F.col("status").alias("their_status"))
+    told = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    a = ours.select("mode", "file", F.col("sha256").alias("our_hash"), F.col("status").alias("our_status"), told(ours, "reason").alias("our_reason"))
+    b = theirs.select("mode", "file", F.col("sha256").alias("their_hash"), F.col("status").alias("their_status"), told(theirs, "error").alias("their_reason"))
     joined = each.join(a, ["mode", "file"], "left").join(b, ["mode", "file"], "left")
     ok = F.col("our_hash").eqNullSafe(F.col("sha256")) & F.col("their_hash").eqNullSafe(F.col("sha256"))
-    return joined.select("mode", "file", "our_status", "their_status", F.when(~ok, "missing_or_mismatched_pair").alias("failure"))
+    return joined.select("mode", "file", "our_status", "our_reason", "their_status", "their_reason", F.when(~ok, "missing_or_mismatched_pair").alias("failure"))
 
 
 def compare_extraction(a: DataFrame, b: DataFrame, block: int = 4096) -> DataFrame:
@@ -108,11 +109,12 @@ def compare_extraction(a: DataFrame, b: DataFrame, block: int = 4096) -> DataFra
     )
 
 
-def evidence_reachability(questions: DataFrame, nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Whether some expected page (question_id, doc_id, page, passage) lies under a node and holds the passage.
+def evidence_reachability(questions: DataFrame, nodes: DataFrame, pages: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Whether some expected page (question_id, doc_id, page, passage) of an ``accepted`` index (doc_id) lies under a node and holds the passage.
 
-    Ranges of nodes are merged to runs a document, so a page meets one at most.
+    A rejected tree reaches nothing, whatever it holds. Ranges of nodes are merged to runs a document, so a page meets one at most.
     """
+    nodes = nodes.join(accepted.select("doc_id").distinct(), "doc_id", "left_semi")
     w = Window.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = nodes.withColumn("new", F.coalesce((F.col("start") > before + 1).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(w))
@@ -122,6 +124,12 @@ def evidence_reachability(questions: DataFrame, nodes: DataFrame, pages: DataFra
     return joined.groupBy("question_id").agg(F.bool_or(F.coalesce(here, F.lit(False))).alias("reachable"))
 
 
+def paired_reachability(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Results of ``evidence_reachability`` on either side by question: (question_id, ours, theirs)."""
+    sides = [df.select("question_id", F.col("reachable").alias(name)) for df, name in ((ours, "ours"), (theirs, "theirs"))]
+    return sides[0].join(sides[1], "question_id", "full").na.fill(False, ["ours", "theirs"])
+
+
 def coverage_by_mode(pairs: DataFrame) -> DataFrame:
     """Denominator, ready and rejected of both sides, a mode. Which ones were rejected: see ``rejected_records``."""
     ours, theirs = F.col("our_status"), F.col("their_status")
@@ -132,13 +140,13 @@ def coverage_by_mode(pairs: DataFrame) -> DataFrame:
 
 
 def rejected_records(pairs: DataFrame) -> DataFrame:
-    """The rejected files of each mode and side, a row each, so no list grows with the corpus."""
+    """The rejected files of each mode and side with status and reason, a row each, so no list grows with the corpus."""
     sides = F.array(
-        F.struct(F.lit("ours").alias("side"), F.col("our_status").alias("status"), F.lit("ready").alias("good")),
-        F.struct(F.lit("theirs").alias("side"), F.col("their_status").alias("status"), F.lit("completed").alias("good")),
+        F.struct(F.lit("ours").alias("side"), F.col("our_status").alias("status"), F.col("our_reason").alias("reason"), F.lit("ready").alias("good")),
+        F.struct(F.lit("theirs").alias("side"), F.col("their_status").alias("status"), F.col("their_reason").alias("reason"), F.lit("completed").alias("good")),
     )
     each = pairs.select("mode", "file", F.explode(sides).alias("s"))
-    return each.where("s.status <> s.good").select("mode", "file", "s.side", "s.status")
+    return each.where("s.status <> s.good").select("mode", "file", "s.side", "s.status", "s.reason")
 
 
 def trial_history(records: DataFrame, modes: list[str]) -> DataFrame:
@@ -195,28 +203,38 @@ def _beside(groups: DataFrame, found: DataFrame, by: list[str], how: str = "left
     return groups.join(own, same, how).drop(*[f"own_{c}" for c in by])
 
 
-def latency_distribution(df: DataFrame, by: list[str], value: str = "elapsed_ms", prefix: str = "", buckets: int = 1024) -> DataFrame:
-    """Count, least, nearest-rank median and 95th percentile, and largest of each group's finite numbers; null when there is none.
+def latency_distribution(df: DataFrame, by: list[str], value: str = "elapsed_ms", prefix: str = "", accuracy: int = 10_000) -> DataFrame:
+    """Count, least, nearest-rank median and 95th percentile, and largest of each group's finite numbers; null when there is none."""
+    return latency_distributions(df, by, {prefix: value}, accuracy)
+
+
+def latency_distributions(df: DataFrame, by: list[str], values: dict[str, str], accuracy: int = 10_000) -> DataFrame:
+    """E10 for several columns at once, ``values`` by prefix of the result's columns.
 
-    Equal values are counted first. ``buckets`` even ranges of a group's values say in which one a rank lies, and only values in it are put in
-    order. Very uneven values (a few far from all others) may share one range: then one task sorts most of the group's distinct values.
+    A first pass takes two pivots around each rank, by approximate percentiles whose error is 1 / ``accuracy`` of a group; they are ten times that away on either side. A second one
+    counts what lies below the lower pivot where rows lie, and only values between the pivots, a share of 20 / ``accuracy`` of the group however
+    uneven they are, are put in order. Ranks are exact.
     """
-    finite = F.expr(f"CASE WHEN abs(`{value}`) < double('Infinity') THEN `{value}` END")  # not a number is above all
-    counts = df.select(*by, finite.alias("v")).groupBy(*by, "v").agg(F.count("v").alias("k"))
-    totals = counts.groupBy(*by).agg(F.sum("k").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-    quarter = lambda c: F.col(c).cast("double") / 4  # noqa: E731  so that no difference overflows
-    share = (quarter("v") - quarter("least")) / (quarter("most") - quarter("least"))
-    dealt = _beside(counts.where("v is not null"), totals, by, "inner").withColumn("bucket", F.when(F.col("most") > F.col("least"), F.floor(share * buckets)).otherwise(0))
-    order = Window.partitionBy(*by).orderBy("bucket")
-    ends = dealt.groupBy(*by, "bucket").agg(F.sum("k").alias("k"), F.first("n").alias("n")).withColumn("upto", F.sum("k").over(order))
-    shares = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in RANKS.items()])).alias("rank")
-    asked = ends.select(*by, "bucket", "k", "upto", "n", shares).withColumn("left", F.greatest(F.lit(1), F.ceil(F.col("rank.p") * F.col("n"))) - (F.col("upto") - F.col("k")))
-    asked = asked.where("left between 1 and k").select(*by, "bucket", F.col("rank.name").alias("name"), "left")
-    inside = _beside(dealt.select(*by, "bucket", "v", "k"), asked, [*by, "bucket"], "inner")
-    upto = F.sum("k").over(Window.partitionBy(*by, "bucket", "name").orderBy("v"))
-    at = inside.withColumn("upto", upto).where("upto >= left").groupBy(*by).agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in RANKS])
+    finite = lambda c: F.expr(f"CASE WHEN abs(`{c}`) < double('Infinity') THEN CAST(`{c}` AS double) END")  # noqa: E731  not a number is above all
+    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), finite(c).alias("v")) for i, c in enumerate(values.values())])).alias("x")
+    each, key = df.select(*by, stacked).select(*by, "x.of", "x.v"), [*by, "of"]
+    margin = 10 / accuracy
+    shares = [min(1.0, max(0.0, p + side)) for p in RANKS.values() for side in (-margin, margin)]
+    stats = each.groupBy(*key).agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", shares, accuracy).alias("pivots"))
+
+    asked = _beside(each.where("v is not null"), stats.select(*key, "n", "pivots"), key, "inner")
+    parts = []
+    for i, (name, p) in enumerate(RANKS.items()):
+        low, high, target = F.col("pivots")[2 * i], F.col("pivots")[2 * i + 1], F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n")))
+        parts.append(F.when(F.col("v") <= high, F.struct(F.lit(name).alias("name"), target.alias("target"), F.when(F.col("v") >= low, F.col("v")).alias("v"))))
+    ranked = [*key, "name", "target"]
+    inside = asked.select(*key, F.explode(F.array_compact(F.array(*parts))).alias("r")).select(*key, "r.*").groupBy(*ranked, "v").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*ranked).orderBy(F.asc_nulls_first("v")))  # those below the lower pivot come first
+    at = inside.withColumn("upto", upto).where("upto >= target").groupBy(*key).agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in RANKS])
+    found = _beside(stats.drop("pivots"), at, key)
     names = {"n": "count", "least": "min_ms", "median_ms": "median_ms", "p95_ms": "p95_ms", "most": "max_ms"}
-    return _beside(totals, at, by).select(*by, *[F.col(c).alias(prefix + name) for c, name in names.items()])
+    one = lambda i, c: F.max(F.when(F.col("of") == i, F.col(c)))
+    return found.groupBy(*by).agg(*[one(i, c).alias(prefix + name) for i, prefix in enumerate(values) for c, name in names.items()])
 
 
 def usage_from_record(record: Column) -> Column:
@@ -247,8 +265,7 @@ def mode_measurements(records: DataFrame, questions: DataFrame, reached: DataFra
         F.count_if(F.col("both_extracted") & F.col("same_pages")).alias("characters_kept"), F.count_if(F.col("both_extracted") & F.col("same_order")).alias("order_kept"),
         *_usage(records, "index_"),
     )
-    for value, prefix in (("accepted_ms", ""), ("completed_ms", "their_")):
-        a = _beside(a, latency_distribution(timed, ["mode"], value, prefix), ["mode"])
+    a = _beside(a, latency_distributions(timed, ["mode"], {"": "accepted_ms", "their_": "completed_ms"}), ["mode"])
     channels = []
     for channel, counted in (("web", done), ("mcp", F.lit(True))):
         own = questions.where(F.col("channel") == channel).withColumn("counted_ms", F.when(counted, F.col("elapsed_ms")))
@@ -286,18 +303,16 @@ def _totals() -> list[Column]:
 
 
 def request_errors(calls: DataFrame) -> DataFrame:
-    """Failed requests of each ledger with their lane (ledger, lane, seq)."""
-    return calls.where("error").select("ledger", "lane", "seq")
+    """Failed requests of each ledger with their lane and what they said (ledger, lane, seq, message)."""
+    return calls.where("error").select("ledger", "lane", "seq", "message")
 
 
 def lane_summary(calls: DataFrame) -> DataFrame:
     """The same for each lane with latency and first output; ledger totals have a null lane."""
     by = ["ledger", "total", "lane"]
     each = calls.where("ledger is not null").withColumn("total", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("lane", F.when(~F.col("total"), F.col("lane")))
-    found = each.groupBy(*by).agg(*_totals())
-    for value, prefix in (("elapsed_ms", ""), ("first_ms", "first_")):
-        found = _beside(found, latency_distribution(each, by, value, prefix), by)
-    return found.drop("total")
+    timed = latency_distributions(each, by, {"": "elapsed_ms", "first_": "first_ms"})
+    return _beside(each.groupBy(*by).agg(*_totals()), timed, by).drop("total")
 
 
 def accounting_intervals(ledgers: DataFrame) -> DataFrame:

@@ -50,22 +50,27 @@ def first_read_pins(reads: DataFrame) -> DataFrame:
 
 
 def structure_page(nodes: DataFrame, offset: int = 0, limit: int = 50, most: int = TREE_CHARS) -> DataFrame:
-    """Nodes of each tree from ``offset``: at most ``limit`` and ``most`` characters of JSON; with the next cursor of the document."""
+    """Nodes of each tree from ``offset``: at most ``limit`` and ``most`` characters of JSON; with the next cursor of the document.
+
+    A tree whose next node alone is beyond the budget has a row without a node and its cursor stays.
+    """
     w = Window.partitionBy("doc_id").orderBy("node")
     size = F.length(F.to_json(F.struct(*[c for c in nodes.columns if c != "doc_id"]), {"ignoreNullFields": "false"}))
     total = F.count("*").over(Window.partitionBy("doc_id"))
     numbered = nodes.withColumns({"pos": F.row_number().over(w) - 1, "total": total, "size": size})
-    part = numbered.where((F.col("pos") >= offset) & (F.col("pos") < offset + limit))
-    part = part.withColumn("upto", F.sum("size").over(w)).where(F.col("upto") <= most)
-    taken = F.count("*").over(Window.partitionBy("doc_id"))
-    return part.withColumn("next_cursor", F.when(offset + taken < F.col("total"), (offset + taken).cast("int"))).select("doc_id", "node", "pos", "next_cursor", "total")
+    part = numbered.where((F.col("pos") >= offset) & (F.col("pos") < offset + limit)).withColumn("upto", F.sum("size").over(w))
+    fits = F.col("upto") <= most
+    taken = F.count_if(fits).over(Window.partitionBy("doc_id"))
+    shown = part.withColumn("next_cursor", F.when(offset + taken < F.col("total"), (offset + taken).cast("int"))).where(fits | (F.col("pos") == offset))
+    return shown.select("doc_id", F.when(fits, F.col("node")).alias("node"), F.when(fits, F.col("pos")).alias("pos"), "next_cursor", "total")
 
 
 def page_slices(requests: DataFrame, pages: DataFrame, page_counts: DataFrame, budget: int = SLICE_CHARS) -> DataFrame:
     """Slices of the pages asked for (request_id, doc_id, pages, offset): start, end, complete, and where to go on.
 
     Pages come in the order asked while characters are left; the first page that isn't whole ends the answer. When a page ends just at the budget, the
-    next one starts at 0. A request for more than 8 pages, or with a page out of bounds, a missing page or an offset beyond its page has a failure instead.
+    next one starts at 0. A request for more than 8 pages, or with a page out of bounds, a missing page or an offset beyond its page has a failure instead: that of
+    the first page in the order asked that has one.
     """
     each = requests.select("request_id", "doc_id", "offset", F.size("pages").alias("n_asked"), F.posexplode("pages").alias("pos", "page"))
     sized = each.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"], "left").join(page_counts, "doc_id", "left")
@@ -80,7 +85,7 @@ def page_slices(requests: DataFrame, pages: DataFrame, page_counts: DataFrame, b
     ready = ready.withColumn("before", F.coalesce(F.sum("own").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # a page comes while characters are left; the first always does
     shown = ready.where((F.col("pos") == 0) | (F.col("before") < budget))
-    failed = F.max("bad").over(Window.partitionBy("request_id"))
+    failed = F.min(F.when(F.col("bad").isNotNull(), F.struct("pos", "bad"))).over(Window.partitionBy("request_id"))["bad"]
     end = F.least(F.col("length"), F.col("start") + budget - F.col("before")).cast("int")
     out = shown.withColumns({"failure": failed, "end": end})
     cut = F.col("end") < F.col("length")
@@ -140,6 +145,7 @@ def resolve_references(references: DataFrame, runs: DataFrame, pins: DataFrame,
     return joined.select("reference_id", "run_id", "document_id", "version_id", "page", reason.alias("reason"))
 
 
+#: What a reader may be told of a citation.
 TOLERATED = ("reference_original_unavailable", "reference_content_unavailable", "page_unavailable")
 
 
@@ -175,13 +181,15 @@ def message_runs(messages: DataFrame) -> DataFrame:
     return messages.select("thread_id", "pos", "role", F.last(F.when(F.col("role") == "user", F.col("run_id")), ignorenulls=True).over(w).alias("run_id"))
 
 
-BUDGETS = ("elapsed_budget_exceeded", "model_call_budget_exceeded", "tool_call_budget_exceeded", "page_read_budget_exceeded", "output_budget_exceeded")
+#: Failures of a run, in the order in which they are looked at.
+BUDGETS = ("elapsed_budget_exceeded", "model_call_budget_exceeded", "context_budget_exceeded", "tool_call_budget_exceeded", "page_read_budget_exceeded", "output_budget_exceeded")
 
 
-def budget_violations(calls: DataFrame, *, model_calls: int, tool_calls: int, pages: int, output_chars: int, elapsed_ms: float) -> DataFrame:
-    """The first call of each run (run_id, seq, kind, output_chars, elapsed_ms) that breaks a budget, and which.
+def budget_violations(calls: DataFrame, *, model_calls: int, tool_calls: int, pages: int, output_chars: int, elapsed_ms: float, context_chars: int) -> DataFrame:
+    """The first call of each run (run_id, seq, kind, output_chars, elapsed_ms, context_chars) that breaks a budget, and which.
 
-    kind is model, tool or page. A call counts when it starts, so the one after the last allowed is the first that breaks.
+    kind is model, tool or page. A call counts when it starts, so the one after the last allowed is the first that breaks. A model call is also judged by the
+    characters of the messages that go with it (null: none).
     """
     w = Window.partitionBy("run_id").orderBy("seq")
     count = lambda kind: F.sum((F.col("kind") == kind).cast("int")).over(w)
@@ -189,8 +197,9 @@ def budget_violations(calls: DataFrame, *, model_calls: int, tool_calls: int, pa
         {"n_model": count("model"), "n_tool": count("tool"), "n_page": count("page"), "n_chars": F.sum("output_chars").over(w), "ms": F.sum("elapsed_ms").over(w)}
     )
     broken = (
-        F.when(F.col("ms") > elapsed_ms, BUDGETS[0]).when(F.col("n_model") > model_calls, BUDGETS[1]).when(F.col("n_tool") > tool_calls, BUDGETS[2])
-        .when(F.col("n_page") > pages, BUDGETS[3]).when(F.col("n_chars") > output_chars, BUDGETS[4])
+        F.when(F.col("ms") > elapsed_ms, BUDGETS[0]).when(F.col("n_model") > model_calls, BUDGETS[1])
+        .when((F.col("kind") == "model") & (F.col("context_chars") > context_chars), BUDGETS[2]).when(F.col("n_tool") > tool_calls, BUDGETS[3])
+        .when(F.col("n_page") > pages, BUDGETS[4]).when(F.col("n_chars") > output_chars, BUDGETS[5])
     )
     return sums.withColumn("violation", broken).where("violation is not null").groupBy("run_id").agg(F.min(F.struct("seq", "violation")).alias("f")).select("run_id", "f.seq", "f.violation")
 

@@ -52,8 +52,12 @@ def headings_from_lines(lines: DataFrame) -> DataFrame:
 
 
 def fuse_outlines(headings: DataFrame, outlines: DataFrame, lines: DataFrame) -> DataFrame:
-    """T5: a verified bookmark names the equal heading of its page as its origin, or comes in at its first matching line."""
-    marks = outlines.where("verified").select("doc_id", "page", F.col("title").alias("mark"), F.col("depth").alias("mark_depth"), normalized_title(F.col("title")).alias("key"))
+    """T5: a verified bookmark (doc_id, seq, title, page, depth, verified) names the equal heading of its page as its origin, or comes in at its first matching line.
+
+    Of bookmarks of a page with equal titles the first in the list comes in; the later ones find it there.
+    """
+    marks = outlines.where("verified").select("doc_id", "page", "seq", F.col("title").alias("mark"), F.col("depth").alias("mark_depth"), normalized_title(F.col("title")).alias("key"))
+    marks = marks.withColumn("nth", F.row_number().over(Window.partitionBy(*PAGE, "key").orderBy("seq"))).where("nth = 1").drop("nth", "seq")
     keyed = headings.withColumn("key", normalized_title(F.col("title")))
     first = Window.partitionBy(*PAGE, "key").orderBy("ord")
     relabelled = keyed.withColumn("nth", F.row_number().over(first)).join(marks.select(*PAGE, "key", F.lit(True).alias("marked")).distinct(), [*PAGE, "key"], "left")
@@ -203,19 +207,49 @@ def toc_pages(lines: DataFrame) -> DataFrame:
     return sums.where("word or leaders >= 2").select(*PAGE)
 
 
-def map_toc(entries: DataFrame, lines: DataFrame, excluded: DataFrame, labels: DataFrame) -> DataFrame:
+class TitleLookup(Fold):
+    """Titles of a block, which come first, and the automaton that finds them in its lines."""
+
+    def __init__(self):
+        self.titles: dict[str, list] = {}
+        self.found = None
+
+    def row(self, doc_id, block, page, ord, margin, text, entry):
+        if page is None:
+            self.titles.setdefault(text, []).append(entry)
+            return []
+        if self.found is None:
+            import ahocorasick
+
+            self.found = ahocorasick.Automaton()
+            for title in filter(None, self.titles):
+                self.found.add_word(title, title)
+            self.found.make_automaton()
+        there = {title for _, title in self.found.iter(text)} if text and len(self.found) else set()
+        there |= self.titles.keys() & {""}  # a title without letters is in every line
+        return [(doc_id, e, page, ord, margin) for title in there for e in self.titles[title]]
+
+    def close(self):
+        return []
+
+
+def map_toc(entries: DataFrame, lines: DataFrame, excluded: DataFrame, labels: DataFrame, block: int = 256) -> DataFrame:
     """Entries (doc_id, entry, title, label, depth) with physical page, order and reason: found by a unique label match, else by a unique title match.
 
-    ``labels`` has a page's printed label. Entries meet a row a page of their own document, then the lines of pages that have their title. A line
+    ``labels`` has a page's printed label. A document's titles become one automaton, by which its lines stream: work follows the text and the matches,
+    not titles times lines. Documents are cut into blocks of ``block`` pages, each of which gets the titles. A line
     outside margins names the page; the order is that of the page's first matching line, margins included.
     """
-    body = lines.join(excluded, PAGE, "left_anti").select(*PAGE, "ord", "margin", normalized_title(F.col("text")).alias("line"))
-    keyed = entries.withColumn("key", normalized_title(F.col("title")))
-    # normalized lines have no white space, so a title is in a page's joined lines where it is in one of them
-    texts = body.groupBy(*PAGE).agg(F.array_join(F.collect_list(F.when(~F.col("margin"), F.col("line"))), "\n").alias("named_lines"))
-    places = keyed.join(texts, "doc_id").where(F.col("named_lines").contains(F.col("key"))).select("doc_id", "page", "entry", "label", "key")
-    met = places.join(body, PAGE).where(F.col("line").contains(F.col("key")))
-    each = met.groupBy("doc_id", "entry", "label", "page").agg(F.min("ord").alias("ord"), F.bool_or(~F.col("margin")).alias("named")).where("named").join(labels.withColumnRenamed("label", "printed"), PAGE, "left")
+    body = lines.join(excluded, PAGE, "left_anti").select("doc_id", F.floor((F.col("page") - 1) / block).alias("block"), *["page", "ord", "margin"], normalized_title(F.col("text")).alias("text"))
+    keyed = entries.select("doc_id", "entry", "label", normalized_title(F.col("title")).alias("text")).where("text is not null")
+    blocks = body.select("doc_id", "block").distinct()
+    nothing = [F.lit(None).cast(body.schema[c].dataType).alias(c) for c in ("page", "ord", "margin")]
+    titles = keyed.join(blocks, "doc_id").select("doc_id", "block", *nothing, "text", "entry")
+    rows = titles.unionByName(body.withColumn("entry", F.lit(None).cast(titles.schema["entry"].dataType)))
+    schema = T.StructType(fields(rows, "doc_id", "entry", "page", "ord", "margin"))
+    met = fold(rows, ["doc_id", "block"], [F.asc_nulls_first("page"), "ord"], schema, TitleLookup)
+    named = met.groupBy("doc_id", "entry", "page").agg(F.min("ord").alias("ord"), F.bool_or(~F.col("margin")).alias("named")).where("named")
+    each = named.join(keyed.drop("text"), ["doc_id", "entry"]).join(labels.withColumnRenamed("label", "printed"), PAGE, "left")
     same = F.lower("printed") == F.lower("label")
     sums = each.groupBy("doc_id", "entry").agg(
         F.count("*").alias("n"), F.count_if(same).alias("n_labelled"), F.min(F.struct("page", "ord")).alias("any"), F.min(F.when(same, F.struct("page", "ord"))).alias("labelled")

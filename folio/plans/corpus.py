@@ -68,8 +68,7 @@ def s5(spark, sf_dir) -> DataFrame:
     rows = derive(spark, sf_dir, "imports").select("report", F.struct("mode", "file", "sha256", "status", F.col("elapsed_ms").alias("elapsedMs")).alias("i"))
     # a report is one document a file: each writer's part of it is a shard
     rows.groupBy("report", F.spark_partition_id()).agg(F.collect_list("i").alias("imports")).select("report", "imports").write.option("maxRecordsPerFile", 1).partitionBy("report").json(path)
-    found = [tables.read_reports(spark, [f"{path}/report={n}"]).withColumn("report", F.lit(n)) for n in (0, 1)]
-    return found[0].union(found[1]).select("report", "mode", "file", "sha256", "status", F.col("elapsedMs").alias("elapsed_ms"))
+    return tables.read_reports(spark, [f"{path}/report=0", f"{path}/report=1"]).select("report", "mode", "file", "sha256", "status", F.col("elapsedMs").alias("elapsed_ms"))
 
 
 @query(
@@ -93,8 +92,7 @@ def _questions(spark, sf_dir, part) -> DataFrame:
     rows = derive(spark, sf_dir, "runs").select((run % 2).alias("report"), asked, F.when(F.col("status") == "failed", F.concat(run.cast("string"), F.lit(" failed"))).alias("f"))
     each = rows.groupBy("report", F.spark_partition_id()).agg(F.collect_list("q").alias("questions"), F.collect_list("f").alias("failures"))
     each.select("report", "questions", "failures").write.option("maxRecordsPerFile", 1).partitionBy("report").json(path)
-    found = [tables.read_reports(spark, [f"{path}/report={n}"], part).withColumn("report", F.lit(n).cast("long")) for n in (0, 1)]
-    return found[0].union(found[1])
+    return tables.read_reports(spark, [f"{path}/report=0", f"{path}/report=1"], part).withColumn("report", F.col("report").cast("long"))
 
 
 @query("S6_write_report", f"WITH {cte('imports')} SELECT mode, count(*) AS n FROM imports GROUP BY mode")
@@ -327,15 +325,19 @@ def l9(spark, sf_dir) -> DataFrame:
 
 
 OUTLINES = PAGES + f""", marks AS (
-  SELECT doc_id, text AS title, page + CASE WHEN page % 4 = 0 THEN 1 ELSE 0 END AS page, 0 AS depth FROM lines WHERE ord = 1
+  SELECT doc_id, page * 2 AS seq, text AS title, page + CASE WHEN page % 4 = 0 THEN 1 ELSE 0 END AS page, 0 AS depth FROM lines WHERE ord = 1
+  UNION ALL SELECT doc_id, page * 2 - 1, concat('* ', text), page + CASE WHEN page % 4 = 0 THEN 1 ELSE 0 END, 2 FROM lines WHERE ord = 1 AND page % 3 = 0
 ), outlines AS (
   SELECT m.*, coalesce({squeeze('m.title')} <> '' AND contains({squeeze('p.text')}, {squeeze('m.title')}), false) AS verified FROM marks m LEFT JOIN page_text p ON p.doc_id = m.doc_id AND p.page = m.page
 )"""
 
 
 def outlines(spark, sf_dir) -> DataFrame:
-    marks = lines(spark, sf_dir).where("ord = 1")
-    marks = marks.select("doc_id", F.col("text").alias("title"), (F.col("page") + (F.col("page") % 4 == 0).cast("int")).alias("page"), F.lit(0).alias("depth"))
+    own = lines(spark, sf_dir).where("ord = 1").withColumn("at", F.col("page") + (F.col("page") % 4 == 0).cast("int"))
+    marks = own.select("doc_id", (F.col("page") * 2).alias("seq"), F.col("text").alias("title"), F.col("at").alias("page"), F.lit(0).alias("depth"))
+    # every third bookmark stands twice, first with a mark before it and deeper
+    again = own.where("page % 3 = 0").select("doc_id", (F.col("page") * 2 - 1).alias("seq"), F.concat(F.lit("* "), "text").alias("title"), F.col("at").alias("page"), F.lit(2).alias("depth"))
+    marks = marks.union(again)
     return layout.verify_outlines(marks, pages(spark, sf_dir))
 
 

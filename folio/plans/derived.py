@@ -68,7 +68,7 @@ TEMPLATES = {
           concat('L', CAST(user_id % 4 AS STRING)) AS ledger, event_type = 'error' AS error, event_id % 50 = 0 AS cancelled, ts,
           CASE WHEN event_id % 9 <> 0 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS input_tokens,
           CASE WHEN event_id % 9 <> 0 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 2 END AS output_tokens,
-          CASE WHEN event_id % 5 <> 0 THEN value / 2 END AS first_ms
+          CASE WHEN event_id % 5 <> 0 THEN value / 2 END AS first_ms, CASE WHEN event_type = 'error' THEN concat('status ', CAST(500 + event_id % 4 AS STRING)) END AS message
         FROM {events}""",
     # imports of two reports: labels of a document, by two modes
     "imports": _each(

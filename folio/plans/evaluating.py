@@ -57,20 +57,21 @@ def e3(spark, sf_dir):
 
 
 MODES = ["flash", "standard"]
-PAIRS = IMPORTS + """, ours AS (SELECT mode, file, sha256, status FROM latest), theirs AS (
-  SELECT mode, file, sha256, CASE WHEN status = 'ready' THEN 'completed' ELSE 'refused' END AS status FROM imports WHERE report = 0 AND doc_id % 10 <> 0
+PAIRS = IMPORTS + """, ours AS (SELECT mode, file, sha256, status, CASE WHEN status <> 'ready' THEN concat('reason ', CAST(doc_id % 3 AS VARCHAR)) END AS reason FROM latest), theirs AS (
+  SELECT mode, file, sha256, CASE WHEN status = 'ready' THEN 'completed' ELSE 'refused' END AS status, CASE WHEN status <> 'ready' THEN concat('error ', CAST(doc_id % 2 AS VARCHAR)) END AS error FROM imports WHERE report = 0 AND doc_id % 10 <> 0
 ), expected AS (SELECT DISTINCT concat('doc', CAST(doc_id AS VARCHAR)) AS file, 'h' AS sha256 FROM labels)"""
 
 
 def pairs(spark, sf_dir) -> DataFrame:
     done = F.when(F.col("status") == "ready", "completed").otherwise("refused").alias("status")
-    theirs = derive(spark, sf_dir, "imports").where("report = 0 and doc_id % 10 <> 0").select("mode", "file", "sha256", done)
+    said = lambda word, n: F.when(F.col("status") != "ready", F.concat(F.lit(word), (F.col("doc_id") % n).cast("string")))
+    theirs = derive(spark, sf_dir, "imports").where("report = 0 and doc_id % 10 <> 0").select("mode", "file", "sha256", done, said("error ", 2).alias("error"))
     expected = tables.read_table(spark, sf_dir, "labels", "doc_id").distinct().select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file"), F.lit("h").alias("sha256"))
-    return evaluation.pair_records(latest(spark, sf_dir), theirs, expected, MODES)
+    return evaluation.pair_records(latest(spark, sf_dir).withColumn("reason", said("reason ", 3)), theirs, expected, MODES)
 
 
 PAIRED = PAIRS + """, pairs AS (
-  SELECT m.mode, e.file, o.status AS our_status, t.status AS their_status, CASE WHEN NOT (coalesce(o.sha256 = 'h', false) AND coalesce(t.sha256 = 'h', false)) THEN 'missing_or_mismatched_pair' END AS failure
+  SELECT m.mode, e.file, o.status AS our_status, o.reason AS our_reason, t.status AS their_status, t.error AS their_reason, CASE WHEN NOT (coalesce(o.sha256 = 'h', false) AND coalesce(t.sha256 = 'h', false)) THEN 'missing_or_mismatched_pair' END AS failure
   FROM expected e, (SELECT unnest(['flash', 'standard']) AS mode) m LEFT JOIN ours o ON o.mode = m.mode AND o.file = e.file LEFT JOIN theirs t ON t.mode = m.mode AND t.file = e.file
 )"""
 
@@ -107,14 +108,33 @@ def questions(spark, sf_dir) -> DataFrame:
     )
 
 
+UNDER = """EXISTS (SELECT 1 FROM tree t WHERE t.doc_id = q.doc_id AND q.page BETWEEN t.start AND t."end" AND t.node % {n} = 0)
+  AND EXISTS (SELECT 1 FROM latest i WHERE i.doc_id = q.doc_id AND i.mode = 'flash' AND i.status = '{status}')"""
+REACHED = TREE + ", " + QUESTIONS.removeprefix(PAGES + ", ") + f""", {IMPORTS}, reached AS (
+  SELECT q.question_id, coalesce(bool_or(contains(p.text, q.passage) AND {UNDER.format(n=2, status='ready')}), false) AS ours, coalesce(bool_or(contains(p.text, q.passage) AND {UNDER.format(n=3, status='failed')}), false) AS theirs
+  FROM questions q LEFT JOIN page_text p ON p.doc_id = q.doc_id AND p.page = q.page GROUP BY q.question_id
+)"""
+
+
 @query(
     "E6_evidence_reachability",
-    f"""WITH {TREE}, {QUESTIONS.removeprefix(PAGES + ', ')} SELECT q.question_id, coalesce(bool_or(contains(p.text, q.passage) AND EXISTS (SELECT 1 FROM tree t WHERE t.doc_id = q.doc_id AND q.page BETWEEN t.start AND t."end" AND t.node % 2 = 0)), false) AS reachable
-    FROM questions q LEFT JOIN page_text p ON p.doc_id = q.doc_id AND p.page = q.page GROUP BY q.question_id""",
+    f"""WITH {REACHED} SELECT question_id, ours AS reachable FROM reached""",
 )
 def e6(spark, sf_dir):
-    nodes = trees.build_tree(lines(spark, sf_dir)).where("node % 2 = 0")
-    return evaluation.evidence_reachability(questions(spark, sf_dir), nodes, pages(spark, sf_dir))
+    return reached(spark, sf_dir, lines(spark, sf_dir), "ready", 2)
+
+
+@query("E6_paired_reachability", f"WITH {REACHED} SELECT question_id, ours, theirs FROM reached")
+def e6b(spark, sf_dir):
+    own = lines(spark, sf_dir)
+    return evaluation.paired_reachability(reached(spark, sf_dir, own, "ready", 2), reached(spark, sf_dir, own, "failed", 3))
+
+
+def reached(spark, sf_dir, own, status, every) -> DataFrame:
+    """Reachability in a part of the trees, of documents whose latest import has a status."""
+    accepted = latest(spark, sf_dir).where((F.col("mode") == "flash") & (F.col("status") == status))
+    nodes = trees.build_tree(own).where(F.col("node") % every == 0)
+    return evaluation.evidence_reachability(questions(spark, sf_dir), nodes, pages(spark, sf_dir), accepted)
 
 
 @query(
@@ -126,7 +146,7 @@ def e7(spark, sf_dir):
     return evaluation.coverage_by_mode(pairs(spark, sf_dir))
 
 
-@query("E7_rejected_records", f"WITH {PAIRED} SELECT mode, file, 'ours' AS side, our_status AS status FROM pairs WHERE our_status <> 'ready' UNION ALL SELECT mode, file, 'theirs', their_status FROM pairs WHERE their_status <> 'completed'")
+@query("E7_rejected_records", f"WITH {PAIRED} SELECT mode, file, 'ours' AS side, our_status AS status, our_reason AS reason FROM pairs WHERE our_status <> 'ready' UNION ALL SELECT mode, file, 'theirs', their_status, their_reason FROM pairs WHERE their_status <> 'completed'")
 def e7b(spark, sf_dir):
     return evaluation.rejected_records(pairs(spark, sf_dir))
 
@@ -267,7 +287,7 @@ def e13(spark, sf_dir):
     return evaluation.ledger_summary(derive(spark, sf_dir, "calls"))
 
 
-@query("E13_request_errors", f"WITH {cte('calls')} SELECT ledger, lane, seq FROM calls WHERE error")
+@query("E13_request_errors", f"WITH {cte('calls')} SELECT ledger, lane, seq, message FROM calls WHERE error")
 def e13b(spark, sf_dir):
     return evaluation.request_errors(derive(spark, sf_dir, "calls"))
 

@@ -79,8 +79,9 @@ def r3(spark, sf_dir):
       SELECT doc_id, node, row_number() OVER (PARTITION BY doc_id ORDER BY node) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS total,
         length(concat('{{"node":', CAST(node AS VARCHAR), ',"start":', CAST(start AS VARCHAR), ',"end":', CAST("end" AS VARCHAR), ',"depth":', CAST(depth AS VARCHAR), ',"parent":', coalesce(CAST(parent AS VARCHAR), 'null'), '}}')) AS size FROM tree
     ), k AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM j WHERE pos >= 1 AND pos < 21),
-    f AS (SELECT * FROM k WHERE upto <= 600), n AS (SELECT doc_id, count(*) AS taken FROM f GROUP BY doc_id)
-    SELECT doc_id, node, pos, CASE WHEN 1 + taken < total THEN 1 + taken END AS next_cursor, total FROM f JOIN n USING (doc_id)""",
+    n AS (SELECT doc_id, count(*) FILTER (WHERE upto <= 600) AS taken FROM k GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN upto <= 600 THEN node END AS node, CASE WHEN upto <= 600 THEN pos END AS pos, CASE WHEN 1 + taken < total THEN 1 + taken END AS next_cursor, total
+    FROM k JOIN n USING (doc_id) WHERE upto <= 600 OR pos = 1""",
 )
 def r4(spark, sf_dir):
     nodes = trees.build_tree(lines(spark, sf_dir)).select("doc_id", "node", "start", "end", "depth", "parent")
@@ -97,7 +98,7 @@ ASK = "SELECT doc_id AS request_id, doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 1
     s AS (SELECT a.*, p.text, c.n_pages, CASE WHEN pos = 0 THEN off ELSE 0 END AS start FROM a LEFT JOIN page_text p ON p.doc_id = a.doc_id AND p.page = a.page LEFT JOIN page_counts c ON c.doc_id = a.doc_id),
     b AS (SELECT *, CASE WHEN page > coalesce(n_pages, 0) THEN 'page_out_of_bounds' WHEN text IS NULL THEN 'page_unavailable' WHEN start > length(text) THEN 'page_offset_out_of_bounds' END AS bad, coalesce(length(text) - start, 0) AS own FROM s),
     r AS (SELECT *, coalesce(sum(own) OVER (PARTITION BY request_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
-    o AS (SELECT *, max(bad) OVER (PARTITION BY request_id) AS failure, least(length(text), start + 1200 - before) AS e, max(pos) OVER (PARTITION BY request_id) AS last FROM r WHERE pos = 0 OR before < 1200)
+    o AS (SELECT *, arg_min(bad, pos) FILTER (WHERE bad IS NOT NULL) OVER (PARTITION BY request_id) AS failure, least(length(text), start + 1200 - before) AS e, max(pos) OVER (PARTITION BY request_id) AS last FROM r WHERE pos = 0 OR before < 1200)
     SELECT request_id, doc_id, pos, page, failure, CASE WHEN failure IS NULL THEN start END AS start, CAST(CASE WHEN failure IS NULL THEN e END AS INT) AS "end",
       CASE WHEN failure IS NULL THEN substr(text, start + 1, CAST(e - start AS BIGINT)) END AS slice, CASE WHEN failure IS NULL THEN e >= length(text) END AS complete,
       CASE WHEN failure IS NULL AND pos = last THEN CASE WHEN e < length(text) THEN pos WHEN pos < 2 THEN pos + 1 END END AS next_pos,
@@ -217,16 +218,16 @@ def r12(spark, sf_dir):
 
 @query(
     "R13_budget_violations",
-    f"""WITH {cte('calls')}, c AS (SELECT run_id, seq, CASE WHEN lane IN ('view', 'click') THEN 'model' WHEN lane = 'error' THEN 'tool' ELSE 'page' END AS kind, k AS chars, CAST(elapsed_ms * 100 AS BIGINT) AS ms FROM calls),
-    s AS (SELECT run_id, seq, count(*) FILTER (WHERE kind = 'model') OVER w AS m, count(*) FILTER (WHERE kind = 'tool') OVER w AS t, count(*) FILTER (WHERE kind = 'page') OVER w AS p, sum(chars) OVER w AS c, sum(ms) OVER w AS e FROM c WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
-    v AS (SELECT run_id, seq, CASE WHEN e > 60000 THEN 'elapsed_budget_exceeded' WHEN m > 20 THEN 'model_call_budget_exceeded' WHEN t > 6 THEN 'tool_call_budget_exceeded' WHEN p > 15 THEN 'page_read_budget_exceeded' WHEN c > 1200 THEN 'output_budget_exceeded' END AS violation FROM s)
+    f"""WITH {cte('calls')}, c AS (SELECT run_id, seq, CASE WHEN lane IN ('view', 'click') THEN 'model' WHEN lane = 'error' THEN 'tool' ELSE 'page' END AS kind, k AS chars, k * 10 AS context, CAST(elapsed_ms * 100 AS BIGINT) AS ms FROM calls),
+    s AS (SELECT run_id, seq, kind, context, count(*) FILTER (WHERE kind = 'model') OVER w AS m, count(*) FILTER (WHERE kind = 'tool') OVER w AS t, count(*) FILTER (WHERE kind = 'page') OVER w AS p, sum(chars) OVER w AS c, sum(ms) OVER w AS e FROM c WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+    v AS (SELECT run_id, seq, CASE WHEN e > 60000 THEN 'elapsed_budget_exceeded' WHEN m > 20 THEN 'model_call_budget_exceeded' WHEN kind = 'model' AND context > 980 THEN 'context_budget_exceeded' WHEN t > 6 THEN 'tool_call_budget_exceeded' WHEN p > 15 THEN 'page_read_budget_exceeded' WHEN c > 1200 THEN 'output_budget_exceeded' END AS violation FROM s)
     SELECT run_id, min(seq) AS seq, arg_min(violation, seq) AS violation FROM v WHERE violation IS NOT NULL GROUP BY run_id""",
 )
 def r13(spark, sf_dir):
     c = derive(spark, sf_dir, "calls")
     kind = F.when(F.col("lane").isin("view", "click"), "model").when(F.col("lane") == "error", "tool").otherwise("page")
-    calls = c.select("run_id", "seq", kind.alias("kind"), F.col("k").alias("output_chars"), F.expr("CAST(round(elapsed_ms * 100) AS BIGINT)").alias("elapsed_ms"))
-    return reading.budget_violations(calls, model_calls=20, tool_calls=6, pages=15, output_chars=1200, elapsed_ms=60000)
+    calls = c.select("run_id", "seq", kind.alias("kind"), F.col("k").alias("output_chars"), (F.col("k") * 10).alias("context_chars"), F.expr("CAST(round(elapsed_ms * 100) AS BIGINT)").alias("elapsed_ms"))
+    return reading.budget_violations(calls, model_calls=20, tool_calls=6, pages=15, output_chars=1200, elapsed_ms=60000, context_chars=980)
 
 
 @query(

@@ -37,7 +37,9 @@ def t4(spark, sf_dir):
 
 FUSED = LEVELS + ", " + OUTLINES.removeprefix(PAGES + ", ") + f""", keyed AS (
   SELECT *, {squeeze('title')} AS key FROM headings
-), verified AS (SELECT *, {squeeze('title')} AS key FROM outlines WHERE verified),
+), verified AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, key ORDER BY seq) AS nth FROM (SELECT *, {squeeze('title')} AS key FROM outlines WHERE verified)) WHERE nth = 1
+),
 fused AS (
   SELECT k.doc_id, k.page, k.ord, k.title, k.depth,
     CASE WHEN EXISTS (SELECT 1 FROM verified v WHERE v.doc_id = k.doc_id AND v.page = k.page AND v.key = k.key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 LARGEST_ORIGINAL = 50 * 1024 * 1024
@@ -107,11 +109,12 @@ REPORT = (
 
 
 def read_reports(spark: SparkSession, paths: list[str], part: str = "imports") -> DataFrame:
-    """Imports, questions or failures (``part``) of evaluation reports, a row each, with the report's place in the list of paths."""
-    names = F.create_map(*[F.lit(v) for i, p in enumerate(paths) for v in (p.rsplit("/", 1)[-1], i)])
-    raw = spark.read.schema(REPORT).option("multiLine", True).json(paths)
-    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return raw.select(names[file].alias("report"), F.explode(part).alias("x")).select("report", "x" if part == "failures" else "x.*")
+    """Imports, questions or failures (``part``) of evaluation reports, a row each, with the report's place in the list of paths.
+
+    Each path, a file or a folder, is read apart, so names may repeat in different folders and hold any character.
+    """
+    each = [spark.read.schema(REPORT).option("multiLine", True).json(path).select(F.lit(i).alias("report"), F.explode(part).alias("x")) for i, path in enumerate(paths)]
+    return reduce(DataFrame.unionByName, each).select("report", "x" if part == "failures" else "x.*")
 
 
 def write_report(df: DataFrame, path: str) -> None:
