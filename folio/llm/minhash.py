@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from folio.llm import clusters
 from folio.llm.clusters import mixed
+from folio.llm.ngram_join import JOIN_SQL, Buckets, bucket_counts
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,33 +76,33 @@ class Signatures:
         return found.view(np.int64)
 
     def sign(self, sets: list[np.ndarray]) -> tuple[list[bytes], list[np.ndarray]]:
-        sketches = self.sketches(sets)
-        none = np.empty(0, np.int64)
-        return [s.tobytes() for s in sketches], [k if len(s) else none for s, k in zip(sets, self.keys(sketches), strict=True)]
+        """Sketches, which are symbols and then bucket counts, and keys."""
+        symbols, none = self.sketches(sets), np.empty(0, np.int64)
+        sketches = [own.tobytes() + bucket_counts(s) for own, s in zip(symbols, sets, strict=True)]
+        return sketches, [k if len(s) else none for s, k in zip(sets, self.keys(symbols), strict=True)]
 
 
-@dataclass(frozen=True)
 class Within:
-    """Bound by sizes and by the number of symbols in which signatures differ."""
-
-    signatures: Signatures
-    percent: int
+    """Bound by sizes, by bucket counts, which no link exceeds, and by the number of symbols in which signatures differ."""
 
-    def _symbols(self, rows: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, self.signatures.symbols)
+    def __init__(self, signatures: Signatures, percent: int):
+        self.signatures, self.buckets = signatures, Buckets(percent)
 
-    def _sizes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.maximum(a, b) * self.percent <= np.minimum(a, b) * 100
+    def _parts(self, rows: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        n = 2 * self.signatures.symbols
+        return np.frombuffer(b"".join(r[:n] for r in rows), np.uint16).reshape(-1, self.signatures.symbols), [r[n:] for r in rows]
 
     def aligned(self, a: list[bytes], size_a: np.ndarray, b: list[bytes], size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        apart = (self._symbols(a) != self._symbols(b)).sum(axis=1, dtype=np.int64)
-        return apart, (apart <= self.signatures.radius) & self._sizes(size_a, size_b)
+        (symbols_a, counts_a), (symbols_b, counts_b) = self._parts(a), self._parts(b)
+        apart, near = self.buckets.aligned(counts_a, size_a, counts_b, size_b)
+        return apart, near & ((symbols_a != symbols_b).sum(axis=1) <= self.signatures.radius)
 
     def crossed(self, a: list[bytes], size_a: np.ndarray, b: list[bytes], size_b: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, y = np.nonzero(asked & self._sizes(size_a[:, None], size_b[None, :]))
-        own, other = self._symbols(a), self._symbols(b)
-        apart = np.concatenate([np.empty(0, np.int64), *[(own[x[k : k + 8192]] != other[y[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 8192)]])
-        near = apart <= self.signatures.radius
+        (symbols_a, counts_a), (symbols_b, counts_b) = self._parts(a), self._parts(b)
+        x, y, apart = self.buckets.crossed(counts_a, size_a, counts_b, size_b, asked)
+        near = np.zeros(len(x), bool)
+        for k in range(0, len(x), 8192):
+            near[k : k + 8192] = (symbols_a[x[k : k + 8192]] != symbols_b[y[k : k + 8192]]).sum(axis=1) <= self.signatures.radius
         return x[near], y[near], apart[near]
 
 
@@ -115,7 +116,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, percent: int = 85, signa
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept (whether it is the row's own), n_links (of those that were compared) and class_id
     (the smallest doc_id with the same set). All pairs within the signature distance are candidates; a similarity of ``percent`` is beyond it with the
-    probability that ``Signatures`` states. Links are confirmed on full sets. Of the rows that share a key, which may be any number, the
+    probability that ``Signatures`` states. Candidates that bucket counts can't rule out are confirmed on full sets. Of the rows that share a key, which may be any number, the
     smallest meets the others first; groups that then span several components are finished in blocks (``clusters.joined_rows``).
 
     Null, empty or white-space texts have no set: n_shingles 0, linked with nothing, kept. Null ids: component_id null unless a link gives one; kept where it is null.
@@ -132,7 +133,5 @@ def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80, sign
 
 def near_sql() -> str:
     """The result in SQL: all shared n-grams of all pairs."""
-    from folio.llm.ngram_join import JOIN_SQL
-
     of_three = JOIN_SQL.replace("len(w) - 3", "len(w) - 2").replace("least(len(w), 4)", "least(len(w), 3)")
     return f"SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM ({of_three})"
