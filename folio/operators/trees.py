@@ -149,6 +149,7 @@ def without_structure(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return none.select("doc_id", F.lit("structural_extraction_inadequate").alias("failure"))
 
 
+#: Rules of a tree, in the order in which they are looked at.
 RULES = (
     "tree_size_invalid", "tree_identity_invalid", "tree_range_invalid", "tree_hierarchy_invalid", "tree_parent_invalid", "tree_location_unverified",
     "summary_missing_or_invalid", "tree_page_coverage_incomplete",
@@ -347,28 +348,30 @@ class Windows(Fold):
     def __init__(self, context_chars: int):
         self.most, self.window, self.n, self.chars = context_chars - 4000, 0, 0, 2
 
-    def row(self, doc_id, page, size):
+    def row(self, *values):
+        *key, size = values
         # [a,b] is two brackets, the pages and the commas between them
         with_page = self.chars + size + (self.n > 0)
         if self.n >= WINDOW_PAGES or (self.n and with_page > self.most):
             self.window, self.n, with_page = self.window + 1, 0, size + 2
         self.n, self.chars = self.n + 1, with_page
-        return [(doc_id, page, self.window, size)]
+        return [(*key, self.window, size)]
 
     def close(self):
         return []
 
 
-def pack_windows(pages: DataFrame, context_chars: int) -> DataFrame:
-    """Pages (doc_id, page, label, text) with ``window``: greedy runs of at most 8 pages within a budget of JSON characters; null with
+def pack_windows(pages: DataFrame, context_chars: int, keys: list[str] | None = None) -> DataFrame:
+    """Pages (doc_id, page, label, text), of documents or of groups of ``keys``, with ``window``: greedy runs of at most 8 pages within a budget of JSON characters; null with
     ``page_context_too_large`` where some page of the document cannot fit. Sizes stream by; the texts stay where they are."""
-    sized = pages.select("doc_id", "page", F.length(page_evidence()).alias("size"))
-    schema = T.StructType([*fields(sized, "doc_id", "page"), T.StructField("window", T.IntegerType()), *fields(sized, "size")])
-    packed = fold(sized, ["doc_id"], ["page"], schema, lambda: Windows(context_chars))
+    keys = keys or ["doc_id"]
+    sized = pages.select(*keys, "page", F.length(page_evidence()).alias("size"))
+    schema = T.StructType([*fields(sized, *keys, "page"), T.StructField("window", T.IntegerType()), *fields(sized, "size")])
+    packed = fold(sized, keys, ["page"], schema, lambda: Windows(context_chars))
     # {"pages":[...]} is 12 characters more than the page
-    refused = F.max("size").over(Window.partitionBy("doc_id")) + 12 > context_chars - 2000
+    refused = F.max("size").over(Window.partitionBy(*keys)) + 12 > context_chars - 2000
     return packed.withColumn("refused", refused).select(
-        "doc_id", "page", F.when(~F.col("refused"), F.col("window")).alias("window"), F.when(F.col("refused"), "page_context_too_large").alias("failure")
+        *keys, "page", F.when(~F.col("refused"), F.col("window")).alias("window"), F.when(F.col("refused"), "page_context_too_large").alias("failure")
     )
 
 
@@ -397,28 +400,51 @@ def subdivide(leaves: DataFrame, proposed: DataFrame) -> DataFrame:
     return judged.select("doc_id", "node", F.col("child").cast("int").alias("child"), "title", "anchor", F.col("page").alias("child_start"), "child_end", (F.col("depth") + 1).alias("child_depth"), failure.alias("failure"))
 
 
-def splice(nodes: DataFrame, children: DataFrame) -> DataFrame:
-    """Trees (doc_id, node, title, start, end, depth, parent) with the children of ``subdivide`` after their leaves, numbered anew in order.
+def spliced(nodes: DataFrame, children: DataFrame | None = None) -> DataFrame:
+    """Trees with ``path`` (place in the order of the tree), ``anchor`` and ``merged_titles``, and with the children of ``subdivide`` after their leaves, numbered anew.
 
-    Children of a leaf that failed stay out. The result is what ``validate_tree`` judges.
+    All other columns of nodes stay; a child's origin is ``model``.
     """
-    kids = children.where("failure is null").select(
-        "doc_id", "node", "child", "title", F.col("child_start").alias("start"), F.col("child_end").alias("end"), F.col("child_depth").alias("depth"), F.col("node").alias("parent")
+    own, have = nodes, set(nodes.columns)
+    missing = {"path": F.array("node"), "anchor": F.lit(None).cast("string"), "merged_titles": F.lit(None).cast("string"), "origin": F.lit(None).cast("string")}
+    own = own.withColumns({c: v for c, v in missing.items() if c not in have})
+    if children is None:
+        return own
+    above = own.select("doc_id", "node", F.col("path").alias("above"))
+    kids = children.where("failure is null").join(above, ["doc_id", "node"]).select(
+        "doc_id", F.concat("above", F.array("child")).alias("path"), "title", "anchor", F.col("child_start").alias("start"), F.col("child_end").alias("end"),
+        F.col("child_depth").alias("depth"), F.col("node").alias("parent"), F.lit("model").alias("origin"), F.lit(False).alias("stuck"),
     )
-    both = nodes.select("doc_id", "node", F.lit(0).alias("child"), "title", "start", "end", "depth", "parent").unionByName(kids)
-    ranked = both.withColumn("new", (F.row_number().over(Window.partitionBy("doc_id").orderBy("node", "child")) - 1).cast("int"))
-    above = ranked.where("child = 0").select("doc_id", F.col("node").alias("parent"), F.col("new").alias("new_parent"))
-    return ranked.join(above, ["doc_id", "parent"], "left").select("doc_id", F.col("new").alias("node"), "title", "start", "end", "depth", F.col("new_parent").alias("parent"))
+    kids = kids.select(*[c for c in kids.columns if c in own.columns])
+    numbered = own.unionByName(kids, allowMissingColumns=True).withColumn("new", (F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1).cast("int"))
+    named = numbered.where("node is not null").select("doc_id", F.col("node").alias("parent"), F.col("new").alias("new_parent"))
+    found = numbered.join(named, ["doc_id", "parent"], "left").withColumns({"node": F.col("new"), "parent": F.col("new_parent")})
+    return found.select(*own.columns)
 
 
-def own_pages(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages of each node that lie under none of its children: (doc_id, node, page).
+def splice(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """Trees (doc_id, node, title, start, end, depth, parent) with the children of ``subdivide`` after their leaves, numbered anew in order.
 
-    Ranges become pages by ``sequence`` so both joins have equal keys.
+    Children of a leaf that failed stay out; origin, anchor and merged titles stay. The result is what ``validate_tree`` judges, children by their anchor.
     """
-    listed = nodes.select("doc_id", "node", F.explode(F.sequence("start", "end")).alias("page"))
-    under = nodes.where("parent is not null").select("doc_id", F.col("parent").alias("node"), F.explode(F.sequence("start", "end")).alias("page")).distinct()
-    return listed.join(under, ["doc_id", "node", "page"], "left_anti")
+    return spliced(nodes, children).drop("path")
+
+
+def own_runs(nodes: DataFrame) -> DataFrame:
+    """Runs of pages of each node (doc_id, node, low, high) that lie under none of its children: what is left between its children in order, and after the last."""
+    kids = nodes.where("parent is not null").select("doc_id", F.col("parent").alias("node"), F.col("start").alias("k_start"), F.col("end").alias("k_end"))
+    before = Window.partitionBy("doc_id", "node").orderBy("k_start", "k_end").rowsBetween(Window.unboundedPreceding, -1)
+    range_ = nodes.select("doc_id", "node", "start", "end")
+    gaps = kids.withColumn("before", F.max("k_end").over(before)).join(range_, ["doc_id", "node"])
+    gaps = gaps.select("doc_id", "node", F.greatest(F.col("start"), F.col("before") + 1).alias("low"), F.least(F.col("end"), F.col("k_start") - 1).alias("high"))
+    last = kids.groupBy("doc_id", "node").agg(F.max("k_end").alias("last"))
+    tails = range_.join(last, ["doc_id", "node"], "left").select("doc_id", "node", F.greatest(F.col("start"), F.col("last") + 1).alias("low"), F.col("end").alias("high"))
+    return gaps.unionByName(tails).where("low <= high")
+
+
+def own_pages(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages of each node that lie under none of its children: (doc_id, node, page), from its runs."""
+    return own_runs(nodes).select("doc_id", "node", F.explode(F.sequence("low", "high")).alias("page"))
 
 
 def own_text(nodes: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from folio.functions import text as t
 from folio.operators import evaluation, layout
 from folio.plans.derived import LINES, PAGES, cte, derive, lines, pages, squeeze
 from folio.plans.registry import query
 from folio.sources import tables
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder among those that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+from folio.sources.scratch import scratch
 
 
 @query("S1_read_originals")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.plans.corpus import scratch
 from folio.plans.derived import BASE, TEMPLATES, cte, derive
 from folio.plans.librarian import ACTIVATE
 from folio.plans.registry import query
+from folio.sources.scratch import scratch
 from folio.streaming import streams
 
 

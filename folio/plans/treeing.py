@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from folio.operators import trees
+from folio.operators import refining, trees
 from folio.plans.corpus import OUTLINES, outlines
 from folio.plans.derived import CANDIDATES, LEVELS, PAGES, TREE, lines, long_lines, one_a_page, pages, squeeze
 from folio.plans.registry import query
@@ -295,13 +295,61 @@ def t21(spark, sf_dir):
 @query(
     "T21_splice",
     f"""WITH {DIVIDED}, together AS (
-      SELECT doc_id, node, 0 AS child, title, start, "end", depth, parent FROM tree
-      UNION ALL SELECT doc_id, node, child, title, child_start, child_end, child_depth, node FROM divided WHERE failure IS NULL
+      SELECT doc_id, node, 0 AS child, title, start, "end", depth, parent, origin, NULL AS anchor FROM tree
+      UNION ALL SELECT doc_id, node, child, title, child_start, child_end, child_depth, node, 'model', title FROM divided WHERE failure IS NULL
     ), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY node, child) - 1 AS INT) AS new FROM together)
-    SELECT r.doc_id, r.new AS node, r.title, r.start, r."end", r.depth, p.new AS parent FROM ranked r LEFT JOIN ranked p ON p.doc_id = r.doc_id AND p.node = r.parent AND p.child = 0""",
+    SELECT r.doc_id, r.new AS node, r.title, r.start, r."end", r.depth, p.new AS parent, r.origin, r.anchor FROM ranked r LEFT JOIN ranked p ON p.doc_id = r.doc_id AND p.node = r.parent AND p.child = 0""",
 )
 def t21b(spark, sf_dir):
-    return trees.splice(trees.build_tree(long_lines(spark, sf_dir)), divided(spark, sf_dir))
+    return trees.splice(trees.build_tree(long_lines(spark, sf_dir)), divided(spark, sf_dir)).drop("merged_titles")
+
+
+# pages divide leaves by twenties, and what comes of that by fives; every node of the first tree is a boundary too
+GROWN = "WITH RECURSIVE " + LONG + """, proposed AS (
+  SELECT DISTINCT d.depth, l.doc_id, l.page, substr(l.text, 1, 40) AS title FROM lines l, (SELECT unnest([0, 1, 2, 3]) AS depth) d
+  WHERE l.doc_id % 4 <> 3 AND (l.page % (CASE WHEN d.depth = 0 THEN 20 ELSE 5 END) = 0 OR EXISTS (SELECT 1 FROM tree t WHERE t.doc_id = l.doc_id AND t.start = l.page) OR (l.page % 20 = 0))
+), upto AS (SELECT doc_id, page, length(text) AS own, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page) AS upto FROM page_text),
+grown AS (
+  SELECT doc_id, [node] AS path, title, start, "end", depth, origin, CAST(NULL AS VARCHAR) AS anchor, leaf AND (n_pages > 12 OR chars > 18000) AS big FROM sized
+  UNION ALL
+  SELECT k.doc_id, list_append(k.path, CAST(k.child AS INT)), k.title, k.page, k.child_end, k.depth + 1, 'model', k.title, k.child_end - k.page + 1 > 12 OR b.upto - a.upto + a.own > 18000
+  FROM (
+    SELECT *, max(child_end - page) OVER leaf AS longest, count(*) OVER leaf AS n, min(page) OVER leaf AS first FROM (
+      SELECT g.doc_id, g.path, g.depth, g.start, g."end", p.page, p.title, row_number() OVER w AS child, coalesce(lead(p.page) OVER w, g."end") AS child_end
+      FROM grown g JOIN proposed p ON p.doc_id = g.doc_id AND p.depth = g.depth AND p.page BETWEEN g.start AND g."end" WHERE g.big AND g.depth < 4 WINDOW w AS (PARTITION BY g.doc_id, g.path ORDER BY p.page)
+    ) WINDOW leaf AS (PARTITION BY doc_id, path)
+  ) k JOIN upto a ON a.doc_id = k.doc_id AND a.page = k.page JOIN upto b ON b.doc_id = k.doc_id AND b.page = k.child_end
+  WHERE k.n >= 2 AND k.first = k.start AND k.n < k."end" - k.start + 1 AND k.longest < k."end" - k.start
+), stuck AS (
+  SELECT g.doc_id, g.path, CASE WHEN g.depth >= 4 THEN 'subdivision_depth_exceeded' WHEN p.n IS NULL OR p.n < 2 OR p.first <> g.start OR p.n >= g."end" - g.start + 1 THEN 'subdivision_inadequate' ELSE 'subdivision_no_progress' END AS failure
+  FROM grown g LEFT JOIN (
+    SELECT g.doc_id, g.path, count(*) AS n, min(p.page) AS first FROM grown g JOIN proposed p ON p.doc_id = g.doc_id AND p.depth = g.depth AND p.page BETWEEN g.start AND g."end" WHERE g.big GROUP BY g.doc_id, g.path
+  ) p ON p.doc_id = g.doc_id AND p.path = g.path
+  WHERE g.big AND NOT EXISTS (SELECT 1 FROM grown c WHERE c.doc_id = g.doc_id AND len(c.path) = len(g.path) + 1 AND c.path[1:len(g.path)] = g.path)
+), failed AS (SELECT doc_id, arg_min(failure, path) AS failure FROM stuck GROUP BY doc_id)"""
+
+
+def grown(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    own, nodes = long_lines(spark, sf_dir), trees.build_tree(long_lines(spark, sf_dir))
+    depth = F.explode(F.array(*map(F.lit, range(4)))).alias("depth")
+    starts = nodes.select("doc_id", F.col("start").alias("page"), F.lit(True).alias("starts")).distinct()
+    each = own.where("doc_id % 4 <> 3").join(starts, ["doc_id", "page"], "left").select("doc_id", "page", "ord", F.substring("text", 1, 40).alias("title"), "starts", depth)
+    asked = each.where("starts or page % 20 = 0 or (depth > 0 and page % 5 = 0)").select("doc_id", "depth", "page", "ord", "title", F.col("title").alias("anchor"))
+    return refining.subdivide_to_end(nodes, tables.page_texts(own), asked)
+
+
+@query(
+    "T21_subdivide_to_end",
+    f"""{GROWN}, kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS INT) AS node FROM grown WHERE doc_id NOT IN (SELECT doc_id FROM failed))
+    SELECT k.doc_id, k.node, k.title, k.start, k."end", k.depth, k.origin, k.anchor, (SELECT max(p.node) FROM kept p WHERE p.doc_id = k.doc_id AND p.node < k.node AND p.depth = k.depth - 1) AS parent FROM kept k""",
+)
+def t21c(spark, sf_dir):
+    return grown(spark, sf_dir)[0].drop("merged_titles")
+
+
+@query("T21_subdivision_failures", f"{GROWN} SELECT doc_id, failure FROM failed")
+def t21d(spark, sf_dir):
+    return grown(spark, sf_dir)[1]
 
 
 OWN = TREE + """, own_pages AS (
@@ -338,6 +386,27 @@ def t23(spark, sf_dir):
     return trees.rollup_batches(parts, 8000)
 
 
+def told(requests: DataFrame) -> DataFrame:
+    """Answers that follow from a request's numbers, some of them too long to stay alone."""
+    long_ = F.when((F.col("round") == 1) & (F.col("node") % 5 == 2), 1700).otherwise(F.col("node") * 7 % 50 + 400)
+    return requests.withColumn("summary", F.rpad(F.concat_ws("/", "node", "round", "batch"), long_, "."))
+
+
+def summarised(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    labelled = pages(spark, sf_dir).select("doc_id", "page", F.lit(None).cast("string").alias("label"), "text")
+    return refining.summarise_tree(tree(spark, sf_dir), labelled, told, 9000)
+
+
+@query("T23_summaries")
+def t23b(spark, sf_dir):
+    return summarised(spark, sf_dir)[0]
+
+
+@query("T23_summary_failures")
+def t23c(spark, sf_dir):
+    return summarised(spark, sf_dir)[1]
+
+
 @query("T24_document_description", f"WITH {OWN} SELECT doc_id, substr(coalesce(arg_min(summary, node) FILTER (WHERE summary IS NOT NULL AND summary <> ''), ''), 1, 500) AS description FROM summarised GROUP BY doc_id")
 def t24(spark, sf_dir):
     return trees.document_description(trees.own_text(tree(spark, sf_dir), pages(spark, sf_dir)))
