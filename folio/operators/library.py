@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from folio.operators.folds import Fold, fields, fold
 from folio.sources.tables import latest
 
 ACTIVE_WORK = ("queued", "processing")
@@ -73,6 +76,9 @@ def string_of(value) -> str | None:
     return None if pd.isna(value) else value
 
 
+Event = namedtuple("Event", ["seq", "kind", "operation", "expected", "attempt"])
+
+
 class LibraryState:
     """A document's revision, latest operation and attempt, and the outcome of each event by the rules of ``activate``."""
 
@@ -104,31 +110,31 @@ class LibraryState:
         return "unchanged"
 
 
+class Activations(Fold):
+    """V6: the state of a document's library entry."""
+
+    def __init__(self):
+        self.state = LibraryState()
+
+    def row(self, document_id, *values):
+        outcome = self.state.after(Event(*values))
+        return [(document_id, values[0], outcome, int(self.state.revision))]
+
+    def close(self):
+        return []
+
+
 def activate(events: DataFrame) -> DataFrame:
     """V6: events of documents (document_id, seq, kind, operation, expected, attempt) with outcome and revision after each.
 
     kind accept: an operation becomes the document's latest if it is live and at the revision expected. attempt: an operation gets a
     newer attempt. activate: wins if the operation is the document's latest, its expected revision still holds and the attempt is its latest; then the
-    revision goes up. retire: ends the document. One shuffle puts a document's events in order; a task holds one state and a batch of rows, however
+    revision goes up. retire: ends the document. A document's events are sorted and stream by; a task holds one state and a batch of rows, however
     many events a document has.
     """
-
-    def run(batches):
-        state = LibraryState()
-        for batch in batches:
-            outcomes, revisions = [], []
-            for e in batch.itertuples():
-                if e.first:
-                    state = LibraryState()
-                outcomes.append(state.after(e))
-                revisions.append(state.revision)
-            yield pd.DataFrame({"document_id": batch["document_id"], "seq": batch["seq"], "outcome": outcomes, "revision": revisions})
-
-    order = Window.partitionBy("document_id").orderBy("seq", "kind", "operation", "expected", "attempt")
-    columns = ["document_id", "seq", "kind", "operation", "expected", "attempt"]
-    placed = events.select(*columns, (F.row_number().over(order) == 1).alias("first"))
-    kind = events.schema["document_id"].dataType.simpleString()
-    return placed.mapInPandas(run, f"document_id {kind}, seq long, outcome string, revision int")
+    own = events.select("document_id", *Event._fields)
+    schema = T.StructType([*fields(own, "document_id"), T.StructField("seq", T.LongType()), T.StructField("outcome", T.StringType()), T.StructField("revision", T.IntegerType())])
+    return fold(own, ["document_id"], list(Event._fields), schema, Activations)
 
 
 def activation_gate(attempts: DataFrame) -> DataFrame:

@@ -36,20 +36,26 @@ def s2(spark, sf_dir) -> DataFrame:
 
 @query("S3_write_pages", f"WITH {PAGES} SELECT doc_id, count(*) AS n_pages FROM page_text GROUP BY doc_id")
 def s3(spark, sf_dir) -> DataFrame:
-    path = scratch(spark, "pages")
+    name, path = store(spark)
     own = pages(spark, sf_dir)
-    tables.write_pages(own.where("doc_id % 2 = 0"), path)
-    tables.write_pages(own, path, spark.read.parquet(path))
-    return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    tables.write_pages(own.where("doc_id % 2 = 0"), name, path, 1)
+    tables.write_pages(own, name, path, 1)
+    return spark.table(name).groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+
+
+def store(spark) -> tuple[str, str]:
+    """Name and folder of a new table of pages."""
+    path = scratch(spark, "pages")
+    return path.rsplit("/", 1)[-1].replace("-", "_"), path
 
 
 @query("S4_load_pages", f"WITH {PAGES} SELECT doc_id, page, length(text) AS chars FROM page_text WHERE doc_id % 4 <> 0")
 def s4(spark, sf_dir) -> DataFrame:
-    path = scratch(spark, "store")
-    tables.write_pages(pages(spark, sf_dir), path)
+    name, path = store(spark)
+    tables.write_pages(pages(spark, sf_dir), name, path)
     counts = lines(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("n"))
     versions = counts.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("page_count"))
-    return tables.load_pages(spark.read.parquet(path), versions).select("doc_id", "page", F.length("text").alias("chars"))
+    return tables.load_pages(spark.table(name), versions).select("doc_id", "page", F.length("text").alias("chars"))
 
 
 REPORTS = f"WITH {cte('imports')} SELECT report, mode, file, sha256, status, elapsed_ms FROM imports"

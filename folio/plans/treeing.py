@@ -394,7 +394,7 @@ def told(requests: DataFrame) -> DataFrame:
 
 def summarised(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     labelled = pages(spark, sf_dir).select("doc_id", "page", F.lit(None).cast("string").alias("label"), "text")
-    return refining.summarise_tree(tree(spark, sf_dir), labelled, told, 9000)
+    return refining.summarise_tree(tree(spark, sf_dir), labelled, told, 5600)
 
 
 @query("T23_summaries")

@@ -78,26 +78,44 @@ def page_texts(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_pages(pages: DataFrame, path: str, stored: DataFrame | None = None) -> DataFrame:
-    """S3: append the pages of versions (doc_id) that number them 1..n and are not stored yet; returns those refused.
+def write_pages(pages: DataFrame, table: str, path: str, bucket_mb: int = 128) -> DataFrame:
+    """S3: append the pages of versions (doc_id) that number them 1..n and are not stored yet to a table; returns those refused.
 
-    Pages lie in ``bucket`` folders by hash of the version, so a reader of one version opens one of them.
+    The table is bucketed by version and sorted by page, in as many buckets as hold about ``bucket_mb`` MB of the first pages that are written. A reader
+    of one version opens one bucket, and joins and sums by version move no pages.
     """
+    spark = pages.sparkSession
+    known = spark.catalog.tableExists(table)
+    if known:
+        buckets = int(next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r.col_name == "Num Buckets"))
+    else:
+        size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        buckets = max(1, min(100_000, (size if size < 1 << 57 else 0) // (bucket_mb << 20)))
     ok = pages.groupBy("doc_id").agg(
         ((F.min("page") == 1) & (F.max("page") == F.count("*")) & (F.count_distinct("page") == F.count("*"))).alias("ok")
     )
     good = pages.join(ok.where("ok").select("doc_id"), "doc_id", "left_semi")
-    if stored is not None:
-        good = good.join(stored.select("doc_id").distinct(), "doc_id", "left_anti")
-    good.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")).write.mode("append").partitionBy("bucket").parquet(path)
+    if known:
+        good = good.join(spark.table(table).select("doc_id").distinct(), "doc_id", "left_anti")
+    # a task has one bucket's pages, so a write adds a file a bucket
+    good.repartition(buckets, "doc_id").write.mode("append").bucketBy(buckets, "doc_id").sortBy("doc_id", "page").option("path", path).saveAsTable(table)
     return ok.where("not ok").select("doc_id")
 
 
 def load_pages(stored: DataFrame, versions: DataFrame) -> DataFrame:
-    """Pages of versions (doc_id, page_count) whose stored count is the version's, in order."""
-    count = stored.groupBy("doc_id").agg(F.count("*").alias("n"))
-    whole = versions.join(count, "doc_id").where("n = page_count").select("doc_id")
-    return stored.join(whole, "doc_id", "left_semi").orderBy("doc_id", "page")
+    """Pages of versions (doc_id, page_count) whose stored count is the version's, each version's in order.
+
+    Only pages of the versions asked for are counted. Over the table of ``write_pages`` the stored pages stay in their buckets; the versions move to them.
+    """
+    asked = versions.select("doc_id", "page_count").distinct()
+    count = stored.select("doc_id").join(asked.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    whole = asked.join(count, "doc_id").where("n = page_count").select("doc_id")
+    return stored.join(whole, "doc_id", "left_semi").sortWithinPartitions("doc_id", "page")
+
+
+def load_version(stored: DataFrame, doc_id) -> DataFrame:
+    """Pages of one version in order; its bucket is the only one that is opened."""
+    return stored.where(F.col("doc_id") == F.lit(doc_id)).sortWithinPartitions("page")
 
 
 REPORT = (
