@@ -205,7 +205,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return clusters.signed_sets(docs, words, lambda sets: ([bucket_counts(s) for s in sets], [signer.of(s) for s in sets]))
 
 
-def open_pairs(rest: DataFrame, percent: int, block: int = 512, nearest: bool = False) -> DataFrame:
+def open_pairs(rest: DataFrame, percent: int, block: int = 1024, nearest: bool = False) -> DataFrame:
     """``clusters.open_pairs`` of groups whose sketches are bucket counts."""
     return clusters.open_pairs(rest.withColumnRenamed("buckets", "sketch"), Buckets(percent), percent, block, nearest)
 
