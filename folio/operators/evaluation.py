@@ -203,24 +203,24 @@ def _beside(groups: DataFrame, found: DataFrame, by: list[str], how: str = "left
     return groups.join(own, same, how).drop(*[f"own_{c}" for c in by])
 
 
-def latency_distribution(df: DataFrame, by: list[str], value: str = "elapsed_ms", prefix: str = "", accuracy: int = 10_000) -> DataFrame:
+def latency_distribution(df: DataFrame, by: list[str], value: str = "elapsed_ms", prefix: str = "", buckets: int = 10_000) -> DataFrame:
     """Count, least, nearest-rank median and 95th percentile, and largest of each group's finite numbers; null when there is none."""
-    return latency_distributions(df, by, {prefix: value}, accuracy)
+    return latency_distributions(df, by, {prefix: value}, buckets)
 
 
-def latency_distributions(df: DataFrame, by: list[str], values: dict[str, str], accuracy: int = 10_000) -> DataFrame:
+def latency_distributions(df: DataFrame, by: list[str], values: dict[str, str], buckets: int = 10_000) -> DataFrame:
     """E10 for several columns at once, ``values`` by prefix of the result's columns.
 
-    A first pass takes two pivots around each rank, by approximate percentiles whose error is 1 / ``accuracy`` of a group; they are ten times that away on either side. A second one
-    counts what lies below the lower pivot where rows lie, and only values between the pivots, a share of 20 / ``accuracy`` of the group however
+    A first pass takes two pivots around each rank, by approximate percentiles whose error is 1 / ``buckets`` of a group; they are ten times that away on either side. A second one
+    counts what lies below the lower pivot where rows lie, and only values between the pivots, a share of 20 / ``buckets`` of the group however
     uneven they are, are put in order. Ranks are exact.
     """
     finite = lambda c: F.expr(f"CASE WHEN abs(`{c}`) < double('Infinity') THEN CAST(`{c}` AS double) END")  # noqa: E731  not a number is above all
     stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), finite(c).alias("v")) for i, c in enumerate(values.values())])).alias("x")
     each, key = df.select(*by, stacked).select(*by, "x.of", "x.v"), [*by, "of"]
-    margin = 10 / accuracy
+    margin = 10 / buckets
     shares = [min(1.0, max(0.0, p + side)) for p in RANKS.values() for side in (-margin, margin)]
-    stats = each.groupBy(*key).agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", shares, accuracy).alias("pivots"))
+    stats = each.groupBy(*key).agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", shares, buckets).alias("pivots"))
 
     asked = _beside(each.where("v is not null"), stats.select(*key, "n", "pivots"), key, "inner")
     parts = []

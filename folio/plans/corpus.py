@@ -38,8 +38,8 @@ def s2(spark, sf_dir) -> DataFrame:
 def s3(spark, sf_dir) -> DataFrame:
     name, path = store(spark)
     own = pages(spark, sf_dir)
-    tables.write_pages(own.where("doc_id % 2 = 0"), name, path, 1)
-    tables.write_pages(own, name, path, 1)
+    tables.store_pages(own.where("doc_id % 2 = 0"), name, path, 1)
+    tables.store_pages(own, name, path, 1)
     return spark.table(name).groupBy("doc_id").agg(F.count("*").alias("n_pages"))
 
 
@@ -52,7 +52,7 @@ def store(spark) -> tuple[str, str]:
 @query("S4_load_pages", f"WITH {PAGES} SELECT doc_id, page, length(text) AS chars FROM page_text WHERE doc_id % 4 <> 0")
 def s4(spark, sf_dir) -> DataFrame:
     name, path = store(spark)
-    tables.write_pages(pages(spark, sf_dir), name, path)
+    tables.store_pages(pages(spark, sf_dir), name, path)
     counts = lines(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("n"))
     versions = counts.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("page_count"))
     return tables.load_pages(spark.table(name), versions).select("doc_id", "page", F.length("text").alias("chars"))

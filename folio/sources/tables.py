@@ -78,7 +78,27 @@ def page_texts(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_pages(pages: DataFrame, table: str, path: str, bucket_mb: int = 128) -> DataFrame:
+def _whole_versions(pages: DataFrame) -> DataFrame:
+    """Versions (doc_id) with ``ok``: their pages are numbered 1..n."""
+    return pages.groupBy("doc_id").agg(
+        ((F.min("page") == 1) & (F.max("page") == F.count("*")) & (F.count_distinct("page") == F.count("*"))).alias("ok")
+    )
+
+
+def write_pages(pages: DataFrame, path: str, stored: DataFrame | None = None) -> DataFrame:
+    """S3: append the pages of versions (doc_id) that number them 1..n and are not stored yet to a folder; returns those refused.
+
+    Pages lie in ``bucket`` folders by hash of the version. See ``store_pages`` for a table that is read without moving its pages.
+    """
+    ok = _whole_versions(pages)
+    good = pages.join(ok.where("ok").select("doc_id"), "doc_id", "left_semi")
+    if stored is not None:
+        good = good.join(stored.select("doc_id").distinct(), "doc_id", "left_anti")
+    good.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")).write.mode("append").partitionBy("bucket").parquet(path)
+    return ok.where("not ok").select("doc_id")
+
+
+def store_pages(pages: DataFrame, table: str, path: str, bucket_mb: int = 128) -> DataFrame:
     """S3: append the pages of versions (doc_id) that number them 1..n and are not stored yet to a table; returns those refused.
 
     The table is bucketed by version and sorted by page, in as many buckets as hold about ``bucket_mb`` MB of the first pages that are written. A reader
@@ -91,9 +111,7 @@ def write_pages(pages: DataFrame, table: str, path: str, bucket_mb: int = 128) -
     else:
         size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         buckets = max(1, min(100_000, (size if size < 1 << 57 else 0) // (bucket_mb << 20)))
-    ok = pages.groupBy("doc_id").agg(
-        ((F.min("page") == 1) & (F.max("page") == F.count("*")) & (F.count_distinct("page") == F.count("*"))).alias("ok")
-    )
+    ok = _whole_versions(pages)
     good = pages.join(ok.where("ok").select("doc_id"), "doc_id", "left_semi")
     if known:
         good = good.join(spark.table(table).select("doc_id").distinct(), "doc_id", "left_anti")
@@ -105,7 +123,7 @@ def write_pages(pages: DataFrame, table: str, path: str, bucket_mb: int = 128) -
 def load_pages(stored: DataFrame, versions: DataFrame) -> DataFrame:
     """Pages of versions (doc_id, page_count) whose stored count is the version's, each version's in order.
 
-    Only pages of the versions asked for are counted. Over the table of ``write_pages`` the stored pages stay in their buckets; the versions move to them.
+    Only pages of the versions asked for are counted. Over the table of ``store_pages`` the stored pages stay in their buckets; the versions move to them.
     """
     asked = versions.select("doc_id", "page_count").distinct()
     count = stored.select("doc_id").join(asked.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import evaluation, layout, links, reading, trees
+from folio.functions import text
+from folio.operators import evaluation, layout, links, reading, refining, trees
 from folio.plans import registry
 from folio.sources import tables
 
@@ -142,3 +143,246 @@ def test_originals_have_their_digest(spark, data):
 @pytest.mark.parametrize("name", ["T20_oversized_leaves", "T21_subdivide", "R6_structure_required"])
 def test_long_documents_give_rows(spark, data, name):
     assert registry.queries()[name](spark, data).count()
+
+
+def test_compatible_forms_are_one(spark):
+    forms = ["ﬁle", "Ｆｕｌｌ　Ｗｉｄｔｈ", "ﾊﾝｶｸ", "①②", "é x", "ẛ̣", "plain", "", None, "Ⅳ.㎏"]
+    import unicodedata
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(forms)], "i int, t string")
+    found = df.select("i", text.compatible(F.col("t")).alias("n"), text.normalized_title(F.col("t")).alias("title"), text.normalized_chars(F.col("t")).alias("chars")).orderBy("i").collect()
+    assert [r.n for r in found] == [None if x is None else unicodedata.normalize("NFKC", x) for x in forms]
+    assert [r.title for r in found[:3]] == ["file", "fullwidth", "ハンカク"]
+    assert found[1].chars == "".join(sorted("FullWidth"))
+    pages = spark.createDataFrame([(1, 1, "the ｆｉｌｅ here")], "doc_id long, page int, navigation_text string")
+    asked = spark.createDataFrame([(1, 1, "ﬁle")], "doc_id long, page int, anchor string")
+    assert trees.verify_headings(asked, pages).first().verified
+    assert "Python" not in df.select(text.normalized_title(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_without_y_or_height(spark):
+    rows = [(1, 1, 0, None, 5.0), (1, 1, 1, None, 5.0), (1, 1, 2, 10.0, None), (1, 1, 3, 12.5, 40.0), (1, 1, 4, 30.0, 4.0), (1, 2, 0, 1.0, 4.0)]
+    items = spark.createDataFrame(rows, "doc_id long, page int, seq int, y double, height double").selectExpr("*", "0D AS x", "'a' AS text", "'f' AS font", "1.0D AS width", "600.0D AS page_width", "800.0D AS page_height")
+    assert {(r.page, r.seq): r.row for r in layout.cluster_rows(items).collect()} == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 2, (1, 4): 3, (2, 0): 0}
+    assert layout.cluster_rows(items.limit(0)).count() == 0
+
+
+def test_a_value_far_from_all_others_keeps_ranks_exact(spark):
+    rng = random.Random(11)
+    values = [rng.random() for _ in range(60_000)] + [1e300]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 2.0)] * 50_000 + [("b", 3.0)] * 40_000, "g string, elapsed_ms double").repartition(5)
+    found = {r.g: r for r in evaluation.latency_distribution(df, ["g"]).collect()}
+    order = sorted(values)
+    assert (found["a"].median_ms, found["a"].p95_ms) == tuple(order[math.ceil(p * len(order)) - 1] for p in (0.5, 0.95))
+    assert (found["b"].median_ms, found["b"].p95_ms, found["b"].max_ms) == (2.0, 3.0, 3.0)
+
+
+def test_titles_are_found_in_long_documents(spark):
+    titles = [f"Title {i} of the book" for i in range(500)] + ["...", "of the"]
+    entries = spark.createDataFrame([(1, i, t, str(i), 0) for i, t in enumerate(titles)], "doc_id long, entry int, title string, label string, depth int")
+    rows = [(1, p, 0, f"line with title {p % 700} of the book in it" if p % 3 else "nothing", 9.0, 9.0, 792.0, False) for p in range(1, 2001)]
+    lines = spark.createDataFrame(rows, LINE)
+    labels = lines.select("doc_id", "page", F.col("page").cast("string").alias("label"))
+    found = {r.entry: (r.page, r.reason) for r in trees.map_toc(entries, lines, lines.where("page = 0").select("doc_id", "page"), labels).collect()}
+    there = {i: [r[1] for r in rows if r[3] != "nothing" and f"title{i}ofthebook" in r[3].replace(" ", "")] for i in range(500)}
+    wanted = {}
+    for i, at in there.items():
+        place = i if i in at else at[0] if len(at) == 1 else None
+        wanted[i] = (place, None if place else "toc_mapping_ambiguous" if at else "toc_heading_unverified")
+    assert {i: f for i, f in found.items() if i < 500} == wanted
+    assert found[500] == (500, None)  # without letters it is in every line, so on the page of its label
+    assert found[501] == (None, "toc_mapping_ambiguous")  # page 501 doesn't have it
+
+
+def test_the_first_of_equal_bookmarks_comes_in(spark):
+    marks = spark.createDataFrame([(1, 0, "Beta", 1, 2, True), (1, 1, "BETA", 1, 0, True), (1, 2, "Alpha", 1, 1, True)], "doc_id long, seq int, title string, page int, depth int, verified boolean")
+    heads = spark.createDataFrame([(1, 1, 5, "alpha", 0, "layout")], "doc_id long, page int, ord int, title string, depth int, origin string")
+    lines = spark.createDataFrame([(1, 1, 3, "the beta", 9.0, 9.0, 792.0, False)], LINE)
+    found = {(r.title, r.ord, r.depth, r.origin) for r in trees.fuse_outlines(heads, marks, lines).collect()}
+    assert found == {("Beta", 3, 2, "outline"), ("alpha", 5, 0, "outline")}
+
+
+def test_a_request_fails_by_its_first_page(spark):
+    pages = spark.createDataFrame([(1, 1, "abcd")], "doc_id long, page int, text string")
+    request = spark.createDataFrame([(1, 1, [1, 5], 99)], "request_id long, doc_id long, pages array<int>, offset int")
+    found = reading.page_slices(request, pages, spark.createDataFrame([(1, 1)], "doc_id long, n_pages int")).first()
+    assert found.failure == "page_offset_out_of_bounds"
+
+
+def test_a_node_beyond_the_budget_keeps_the_cursor(spark):
+    nodes = spark.createDataFrame([(1, 0, "x" * 90), (1, 1, "y"), (2, 0, "z")], "doc_id long, node int, title string")
+    found = {(r.doc_id, r.node, r.next_cursor) for r in reading.structure_page(nodes, most=60).collect()}
+    assert found == {(1, None, 0), (2, 0, None)}
+
+
+def test_messages_beyond_the_context_break_a_model_call_only(spark):
+    rows = [(1, 0, "page", 0, 0, 999), (1, 1, "model", 0, 0, 10), (1, 2, "model", 0, 0, 11), (2, 0, "model", 0, 0, None)]
+    calls = spark.createDataFrame(rows, "run_id long, seq int, kind string, output_chars long, elapsed_ms long, context_chars long")
+    found = reading.budget_violations(calls, model_calls=9, tool_calls=9, pages=9, output_chars=9, elapsed_ms=9, context_chars=10).collect()
+    assert [tuple(r) for r in found] == [(1, 2, "context_budget_exceeded")]
+
+
+def test_rejected_trees_reach_nothing(spark):
+    asked = spark.createDataFrame([(1, 1, 1, "fact"), (2, 2, 1, "fact")], "question_id long, doc_id long, page int, passage string")
+    nodes = spark.createDataFrame([(1, 0, 1, 3), (2, 0, 1, 3)], "doc_id long, node int, start int, end int")
+    pages = spark.createDataFrame([(d, 1, "a fact") for d in (1, 2)], "doc_id long, page int, text string")
+    accepted = spark.createDataFrame([(1,)], "doc_id long")
+    ours = evaluation.evidence_reachability(asked, nodes, pages, accepted)
+    assert {(r.question_id, r.reachable) for r in ours.collect()} == {(1, True), (2, False)}
+    both = evaluation.paired_reachability(ours, evaluation.evidence_reachability(asked, nodes, pages, accepted.where("doc_id > 1")))
+    assert {tuple(r) for r in both.collect()} == {(1, True, False), (2, False, False)}
+
+
+def test_reports_of_one_name_and_with_spaces(spark, tmp_path):
+    paths = []
+    for i, name in enumerate(("a/report.json", "b/report.json", "b/x y.json")):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text('{"imports": [{"mode": "m", "file": "f%d"}], "questions": [], "failures": ["no"]}' % i)
+        paths.append(str(path))
+    assert [(r.report, r.file) for r in tables.read_reports(spark, paths).orderBy("report").collect()] == [(0, "f0"), (1, "f1"), (2, "f2")]
+    assert tables.read_reports(spark, paths, "failures").count() == 3
+
+
+def test_stored_pages_stay_in_their_buckets(spark, tmp_path):
+    pages = spark.range(40).selectExpr("id AS doc_id", "explode(sequence(1, int(id % 3) + 1)) AS page", "'t' AS text")
+    bad = spark.createDataFrame([(99, 2, "t")], "doc_id long, page int, text string")
+    name = "pages_of_test"
+    assert [r.doc_id for r in tables.store_pages(pages.union(bad), name, str(tmp_path / "p")).collect()] == [99]
+    spark.sql(f"DROP TABLE {name}")
+    table = pages.repartition(4, "doc_id").write.bucketBy(4, "doc_id").sortBy("doc_id", "page").option("path", str(tmp_path / "q"))
+    table.saveAsTable(name)
+    tables.store_pages(pages.union(pages.selectExpr("doc_id + 100", "page", "text")), name, str(tmp_path / "q"))
+    stored = spark.table(name)
+    assert stored.count() == 2 * pages.count()
+    versions = spark.createDataFrame([(5, 3), (6, 3), (7, 2)], "doc_id long, page_count int").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = tables.load_pages(stored, versions)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.doc_id, r.page) for r in found.collect()} == {(5, 1), (5, 2), (5, 3), (7, 1), (7, 2)}
+    assert "Exchange hashpartitioning(doc_id" in plan and plan.count("Bucketed: true") >= 1
+    own = {r.f.rsplit("/", 1)[-1] for r in stored.where("doc_id = 5").select(F.input_file_name().alias("f")).collect()}
+    others = [f for f in (tmp_path / "q").glob("*.parquet") if f.name not in own]
+    assert others
+    for f in others:  # files of other buckets are never opened
+        f.unlink()
+    assert [r.page for r in tables.load_version(stored, 5).collect()] == [1, 2, 3]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_equal_headings_and_long_chains(spark):
+    body = "".join("<h2>same</h2>" for _ in range(5000)) + "<h2>same-3</h2>"
+    anchors = [r.anchor for r in links.heading_anchors(spark.createDataFrame([("p", body)], "path string, body string")).orderBy("pos").collect()]
+    assert anchors[:3] == ["same", "same-1", "same-2"] and anchors[4999] == "same-4999" and anchors[5000] == "same-3-1"
+
+
+def test_reach_along_chains_circles_and_crossings(spark):
+    n = 10_000
+    chain = [(i, i + 1) for i in range(n)]
+    rng = random.Random(2)
+    web = [(n + rng.randrange(60), n + rng.randrange(60)) for _ in range(90)]
+    circle = [(20_000 + i, 20_000 + (i + 1) % 7) for i in range(7)] + [(20_000, 20_100), (20_100, 20_101)]
+    edges = chain + web + circle + [(30_001, 30_002), (30_000, 30_000)]
+    paths = sorted({x for e in edges for x in e})
+    docs, own = spark.createDataFrame([(str(p),) for p in paths], "path string"), spark.createDataFrame([(str(a), str(b)) for a, b in edges], "path string, target string")
+    found = {int(r.path) for r in links.unreachable(docs, own.repartition(4), F.col("path") == "0").collect()}
+    after, seen, todo = {}, {0}, [0]
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    while todo:
+        for b in after.get(todo.pop(), []):
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    assert found == set(paths) - seen
+
+
+def test_trees_are_divided_to_the_end(spark):
+    pages = spark.createDataFrame([(d, p, "words " * 5, f"head {p} words") for d in (1, 2) for p in range(1, 61)], "doc_id long, page int, text string, navigation_text string")
+    nodes = spark.createDataFrame([(d, 0, "head 1", 1, 60, 0, None, "layout") for d in (1, 2)], "doc_id long, node int, title string, start int, end int, depth int, parent int, origin string")
+    asked = [(1, 0, p) for p in (1, 31)] + [(1, 1, p) for p in (1, 11, 21, 31, 41, 51)] + [(2, 0, p) for p in (1, 31)] + [(2, 1, 1), (2, 1, 2)]
+    proposed = spark.createDataFrame([(d, k, p, 0, f"Part {p}", f"head {p}") for d, k, p in asked], "doc_id long, depth int, page int, ord int, title string, anchor string")
+    found, failures = refining.subdivide_to_end(nodes, pages, proposed)
+    assert [tuple(r) for r in failures.collect()] == [(2, "subdivision_inadequate")]
+    rows = [(r.node, r.title, r.start, r.end, r.depth, r.parent, r.origin, r.anchor) for r in found.orderBy("node").collect()]
+    assert rows[:3] == [(0, "head 1", 1, 60, 0, None, "layout", None), (1, "Part 1", 1, 31, 1, 0, "model", "head 1"), (2, "Part 1", 1, 11, 2, 1, "model", "head 1")]
+    assert [r[5] for r in rows[1:]] == [0, 1, 1, 1, 1, 0, 6, 6, 6] and rows[5][1:4] == ("Part 31", 31, 31)
+    assert [r.failure for r in trees.validate_tree(found, pages).collect()] == [None]
+
+
+def plain_summaries(nodes, texts, told, context):
+    """Summaries of one document by the rules, node by node from the last; or its failure."""
+    import json
+
+    said = {}
+    evidence = lambda p: {"page": p, "label": None, "text": texts[p]}
+    size = lambda x: len(json.dumps(x, separators=(",", ":"), ensure_ascii=False))
+    for node, title, start, end, parent in sorted(nodes, reverse=True):
+        kids = sorted(n for n in nodes if n[4] == node)
+        own = [p for p in range(start, end + 1) if p in texts and not any(k[2] <= p <= k[3] for k in kids)]
+        whole = "\n".join(texts[p] for p in own)
+        if not kids and len(whole) <= trees.SHORT_LEAF:
+            said[node] = whole.strip()
+            continue
+        windows, group = [], []
+        for p in own:
+            if size({"pages": [evidence(p)]}) > context - 2000:
+                return "page_context_too_large"
+            if len(group) >= 8 or (group and size([evidence(q) for q in [*group, p]]) > context - 4000):
+                windows.append(group)
+                group = []
+            group.append(p)
+        windows += [group] if group else []
+        parts = [(w[0], w[-1], told(node, 0, i)) for i, w in enumerate(windows)]
+        if not kids and len(parts) == 1:
+            said[node] = parts[0][2]
+            continue
+        if not parts and len(kids) == 1 and len(f"{kids[0][1]}: {said[kids[0][0]]}") <= 1600:
+            said[node] = f"{kids[0][1]}: {said[kids[0][0]]}"
+            continue
+        parts = [json.dumps({"title": k[1], "start": k[2], "end": k[3], "summary": said[k[0]]}, separators=(",", ":"), ensure_ascii=False) for k in kids] + [
+            json.dumps({"start": a, "end": b, "summary": s}, separators=(",", ":"), ensure_ascii=False) for a, b, s in parts
+        ]
+        if not parts:
+            return "summary_evidence_missing"
+        turn = 0
+        while len(parts) > 1 or len(parts[0]) > 1600:
+            turn, after, at = turn + 1, [], 0
+            while at < len(parts):
+                n, chars = 1, len(parts[at])
+                while at + n < len(parts) and chars + len(parts[at + n]) < context - 4000 and n < 12:
+                    chars += len(parts[at + n])
+                    n += 1
+                at += n
+                after.append(told(node, turn, len(after)))
+            if len(after) >= len(parts) and len(after) > 1:
+                return "summary_context_too_small"
+            parts = after
+        said[node] = parts[0]
+    return said
+
+
+def test_summaries_equal_the_rules_node_by_node(spark):
+    rng = random.Random(4)
+    trees_of, rows, page_rows = {}, [], []
+    for d in range(12):
+        texts = {p: "x" * rng.choice([40, 300, 900, 1500, 3700 if d == 3 else 10]) for p in range(1, 31) if not (d == 5 and p < 31)}
+        nodes = [(0, "root", 1, 30, None), (1, "a", 1, 12, 0), (2, "b", 1, 3, 1), (3, "c", 4, 12, 1), (4, "d", 13, 30, 0), (5, "e", 13, 30, 4)]
+        trees_of[d] = nodes, texts
+        depth = {0: 0, 1: 1, 2: 2, 3: 2, 4: 1, 5: 2}
+        rows += [(d, n, t, s, e, depth[n], p) for n, t, s, e, p in nodes]
+        page_rows += [(d, p, None, t) for p, t in texts.items()]
+    nodes = spark.createDataFrame(rows, "doc_id long, node int, title string, start int, end int, depth int, parent int")
+    pages = spark.createDataFrame(page_rows, "doc_id long, page int, label string, text string")
+    long_ = lambda n, r: 1700 if r == 1 and n % 4 == 0 else 300 + n * 60
+    told = lambda n, r, b: f"{n}/{r}/{b}".ljust(long_(n, r), ".")
+    wide = F.when((F.col("round") == 1) & (F.col("node") % 4 == 0), 1700).otherwise(300 + F.col("node") * 60)
+    answer = lambda df: df.withColumn("summary", F.rpad(F.concat_ws("/", "node", "round", "batch"), wide, "."))
+    for context in (5200, 9000):
+        found, failures = refining.summarise_tree(nodes, pages, answer, context)
+        wanted = {d: plain_summaries(*trees_of[d], told, context) for d in trees_of}
+        assert {r.doc_id: r.failure for r in failures.collect()} == {d: w for d, w in wanted.items() if isinstance(w, str)}
+        assert {(r.doc_id, r.node): r.summary for r in found.collect()} == {(d, n): s for d, w in wanted.items() if isinstance(w, dict) for n, s in w.items()}
