@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import tempfile
 from collections.abc import Callable, Iterator
 from operator import attrgetter
 
@@ -14,40 +13,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folio.operators.library import LibraryState, string_of
 
-TERMINAL = ("ready", "failed", "unsupported", "interrupted")
-
 
 def in_order(batches: Iterator[pd.DataFrame], by: str = "seq", run_rows: int = 200_000) -> Iterator:
-    """Rows of a group's chunks in order. Up to ``run_rows`` are sorted in memory; more become sorted runs in temporary files, which are merged."""
-    held, rows, runs = [], 0, []
-
-    def sorted_run() -> pd.DataFrame:
-        return pd.concat(held).sort_values(by, kind="stable")
-
-    def rows_of(file) -> Iterator:
-        file.seek(0)
-        while True:
-            try:
-                yield from pd.read_pickle(file, compression=None).itertuples()
-            except EOFError:
-                return
+    """Rows of a group's chunks in order: runs of about ``run_rows`` are sorted as they come and merged at the end.
 
-    try:
-        for batch in batches:
-            if len(batch):
-                held.append(batch)
-                rows += len(batch)
-            if rows >= run_rows:
-                run, file = sorted_run(), tempfile.TemporaryFile()
-                runs.append(file)
-                for at in range(0, len(run), 5000):
-                    run.iloc[at : at + 5000].to_pickle(file, compression=None)
-                held, rows = [], 0
-        last = [sorted_run().itertuples()] if held else []
-        yield from heapq.merge(*map(rows_of, runs), *last, key=attrgetter(by))
-    finally:
-        for file in runs:
-            file.close()
+    A task holds a group's events of one micro-batch, which the source's rate limit bounds; nothing goes to files of its machine.
+    """
+    held, rows, runs = [], 0, []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            rows += len(batch)
+        if rows >= run_rows:
+            runs.append(pd.concat(held).sort_values(by, kind="stable"))
+            held, rows = [], 0
+    if held:
+        runs.append(pd.concat(held).sort_values(by, kind="stable"))
+    yield from heapq.merge(*(run.itertuples() for run in runs), key=attrgetter(by))
 
 
 def progress_state(events: DataFrame) -> DataFrame:
