@@ -81,6 +81,11 @@ def drop_stored(*tables: DataFrame) -> None:
         _delete(session_of(df), df.stored_at)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage, upon which Spark removes shuffle files that nothing reads any more: those of tables that are stored by now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(df: DataFrame, mb: int = 256, least_mb: int = 0) -> int:
     """Partitions for a shuffle of a table's rows: the session's number, or more, so that one holds about ``mb`` MB of its files (where Spark knows their size).
 
