@@ -84,8 +84,10 @@ def compare_extraction(a: DataFrame, b: DataFrame, block: int = 4096) -> DataFra
         F.array_join(F.array_sort(F.collect_list(F.when(differs, F.col("page")))), ",").alias("differing"),
     )
     sides = lambda *fields: F.explode(F.array(*[F.struct(*[F.expr(f.format(s=s)).alias(f.split(" AS ")[1]) for f in fields]) for s in "ab"])).alias("s")
-    chars = both.where(moved).select("doc_id", sides("s{s} AS text", "'{s}' = 'a' AS first")).select("doc_id", "s.first", F.explode(F.split("s.text", "")).alias("char"))
-    net = chars.where("char <> ''").groupBy("doc_id", "char").agg(F.sum(F.when(F.col("first"), 1).otherwise(-1)).alias("net"))
+    # a row a distinct character of a page, with its count there
+    chars = both.where(moved).select("doc_id", sides("s{s} AS text", "'{s}' = 'a' AS first")).select("doc_id", "s.*", F.explode(F.array_distinct(F.split("s.text", ""))).alias("char"))
+    there = F.length("text") - F.length(F.replace("text", F.col("char"), F.lit("")))
+    net = chars.where("char <> ''").groupBy("doc_id", "char").agg(F.sum(F.when(F.col("first"), there).otherwise(-there)).alias("net"))
     other_chars = net.where("net <> 0").select("doc_id", F.lit("chars").alias("what"))
 
     changed = both.where(moved).select(F.col("doc_id").alias("changed_id")).distinct()

@@ -12,6 +12,7 @@ from folio.operators.folds import Fold, fields, fold
 DEEPEST = 8
 PAGE = ["doc_id", "page"]
 HEADING = ["doc_id", "page", "ord", "title", "depth", "origin"]
+#: Bounds of a tree's nodes, and of what is merged, divided and rolled up.
 NODE_LIMIT, TITLE_LIMIT, SUMMARY_LIMIT = 5000, 250, 2000
 SMALL, SMALL_MERGED, LEAF_PAGES, LEAF_CHARS, WINDOW_PAGES, LEAF_DEPTH, SHORT_LEAF, BATCH = 500, 5000, 12, 18000, 8, 4, 1200, 12
 

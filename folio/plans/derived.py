@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.functions.text import DOT_LEADER, NAMED_HEADING
 from folio.sources import tables
 
 BASE = ("documents", "events", "conversations", "labels", "pages", "benchmark", "orders", "customer", "lineitem")
@@ -141,9 +142,9 @@ CANDIDATES = PAGES + r""", body AS (
   FROM lines GROUP BY doc_id
 ), candidates AS (
   SELECT l.* FROM lines l JOIN body b USING (doc_id)
-  WHERE length(text) BETWEEN 3 AND 180 AND NOT regexp_matches(text, '(?i)\.{3,}\s*(\d+|[ivxlcdm]+)$')
-    AND (height >= body * 1.23 OR (height >= body * 1.04 AND regexp_matches(text, '(?i)^(chapter|section|appendix|abstract|references|conclusion|introduction|第[一二三四五六七八九十百\d]+[章节]|目录|参考文献|附录)')))
-)"""
+  WHERE length(text) BETWEEN 3 AND 180 AND NOT regexp_matches(text, '@LEADER@')
+    AND (height >= body * 1.23 OR (height >= body * 1.04 AND regexp_matches(text, '@NAMED@')))
+)""".replace("@LEADER@", DOT_LEADER).replace("@NAMED@", NAMED_HEADING)
 LEVELS = CANDIDATES + r""", sizes AS (
   SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) - 1 AS level FROM (SELECT DISTINCT doc_id, floor(height * 2 + 0.5) / 2 AS size FROM candidates)
 ), levels AS (
