@@ -46,19 +46,33 @@ def progress_state(events: DataFrame) -> DataFrame:
 
 
 PROGRESS = "operation string, attempt string, status string, stage string, reason string"
+#: Statuses after which an attempt says nothing more (fixed values).
+TERMINAL = ("ready", "failed", "unsupported", "interrupted")
 
 
-def progress_stream(events: DataFrame) -> DataFrame:
+def progress_stream(events: DataFrame, at: str | None = None, keep_ms: int = 86_400_000) -> DataFrame:
     """ST1 on a stream: the same in update mode, in whatever order events come.
 
     State of an operation: its newest opening and the newest status of each attempt that has said something since, at the most. A status may come
     before the opening of its attempt, so those of other attempts are kept until an opening is newer.
+
+    Without ``at`` state is kept for good. ``at`` names a time column of events that has a watermark: once that is ``keep_ms`` past the last event
+    of an operation whose current attempt has ended (``TERMINAL``), or that no opening has reached, its state is dropped, and no row comes of it. A later
+    opening begins anew; a later status waits for one. Events behind the watermark don't count, those without a time do.
     """
+    columns = ["operation", "seq", "attempt", "status", "stage", "reason"]
+    timed = events.select(*columns, at, F.unix_millis(at).alias("at_ms")) if at else events.select(*columns)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         attempt, since, kept = state.get if state.exists else (None, None, "[]")
         said = {own: tuple(rest) for own, *rest in json.loads(kept)}
+        last = state.getCurrentWatermarkMs() if at else 0
         for batch in batches:
+            if at and batch["at_ms"].notna().any():
+                last = max(last, int(batch["at_ms"].max()))
             batch = batch.sort_values("seq")
             opens = batch["status"].isna()
             if opens.any():
@@ -71,11 +85,14 @@ def progress_stream(events: DataFrame) -> DataFrame:
                     said[own] = seq, string_of(e.status), string_of(e.stage), string_of(e.reason)
             said = {own: s for own, s in said.items() if since is None or s[0] > since}
         state.update((attempt, since, json.dumps([[own, *s] for own, s in said.items()])))
+        _, status, stage, reason = said.get(attempt, (None, "queued", "accepted", None))
+        if at and (attempt is None or status in TERMINAL):
+            state.setTimeoutTimestamp(last + max(1, keep_ms))
         if attempt is not None:
-            _, status, stage, reason = said.get(attempt, (None, "queued", "accepted", None))
             yield pd.DataFrame({"operation": [key[0]], "attempt": [attempt], "status": [status], "stage": [stage], "reason": [reason]})
 
-    return events.groupBy("operation").applyInPandasWithState(step, PROGRESS, "attempt string, since long, said string", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if at else GroupStateTimeout.NoTimeout
+    return timed.groupBy("operation").applyInPandasWithState(step, PROGRESS, "attempt string, since long, said string", "update", timeout)
 
 
 OUTCOME = "document_id string, seq long, outcome string, revision int"
@@ -84,7 +101,8 @@ OUTCOME = "document_id string, seq long, outcome string, revision int"
 def library_stream(events: DataFrame) -> DataFrame:
     """ST2: outcomes of library events on a stream, by the rules of ``activate``; state is a document's revision, latest operation and attempt.
 
-    A document's events of a micro-batch are put in order first, however Spark cuts them into chunks; micro-batches count as they come.
+    A document's events of a micro-batch are put in order first, however Spark cuts them into chunks; micro-batches count as they come. State is
+    the library's own table, a row a document; a retired one stays in it, as it goes on refusing operations.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,45 @@ def test_progress_of_a_hot_operation_in_small_chunks(spark, tmp_path):
     assert streamed(spark, events, schema, streams.progress_stream, "update", tmp_path) == wanted
 
 
+TIMED = "operation string, seq long, attempt string, status string, stage string, reason string, at timestamp"
+
+
+def run_timed(spark, source, check, found):
+    """Run what has come to ``source`` through the stream at its checkpoint; rows go to ``found``. Rows of state after it."""
+    events = spark.readStream.schema(TIMED).option("maxFilesPerTrigger", 1).parquet(source).withWatermark("at", "10 seconds")
+    stream = streams.progress_stream(events, "at", keep_ms=60_000)
+    write = stream.writeStream.outputMode("update").option("checkpointLocation", check).trigger(availableNow=True)
+    q = write.foreachBatch(lambda df, _: found.extend(map(tuple, df.collect()))).start()
+    q.awaitTermination()
+    return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_progress_state_ends_with_its_operation_and_outlives_a_restart(spark, tmp_path):
+    source, check, found = str(tmp_path / "in"), str(tmp_path / "c"), []
+
+    def come(*rows):
+        timed = [(o, seq, a, status, status and "g", None, datetime(2024, 1, 1) + timedelta(seconds=second)) for o, seq, a, status, second in rows]
+        spark.createDataFrame(timed, TIMED).coalesce(1).write.mode("append").parquet(source)
+
+    come(("ended", 1, "a", None, 0), ("ended", 2, "a", "ready", 1), ("open", 3, "a", None, 1), ("open", 4, "a", "processing", 2), ("again", 5, "a", None, 2), ("again", 6, "a", "failed", 3), ("orphan", 7, "a", "failed", 3))
+    assert run_timed(spark, source, check, found) == 4
+    assert sorted(found) == [("again", "a", "failed", "g", None), ("ended", "a", "ready", "g", None), ("open", "a", "processing", "g", None)]
+    found.clear()
+    # within the period: a new attempt keeps the operation alive, and the old one's words don't count
+    come(("again", 8, "b", None, 20), ("again", 9, "a", "ready", 20))
+    assert run_timed(spark, source, check, found) == 4
+    assert found == [("again", "b", "queued", "accepted", None)]
+    found.clear()
+    # the watermark passes the period of those that ended or never opened: two are left, besides the one that comes
+    come(("late", 10, "a", None, 100))
+    assert run_timed(spark, source, check, found) == 3
+    assert found == [("late", "a", "queued", "accepted", None)]
+    found.clear()
+    come(("open", 11, "a", "ready", 101), ("ended", 12, "a", "ready", 101), ("again", 13, "b", "processing", 101))
+    run_timed(spark, source, check, found)
+    assert sorted(found) == [("again", "b", "processing", "g", None), ("open", "a", "ready", "g", None)]
+
+
 def test_library_stream_of_a_hot_document_in_small_chunks(spark, tmp_path):
     events = [("d0" if i % 2 else e[0], *e[1:]) for i, e in enumerate(library_events()) if e[2] != "retire"]
     random.Random(12).shuffle(events)
