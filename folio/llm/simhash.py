@@ -47,11 +47,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.bit_count(a.bitwiseXOR(b)) / 64.0
 
 
-def neighbours(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+def neighbours(prints: DataFrame, radius: int = 3, blocks: int | None = None, part_rows: int = 1024) -> DataFrame:
     """All pairs of distinct fingerprints of ``prints`` (fp) within the Hamming radius: a < b, distance.
 
     The bits fall into ``blocks`` blocks; fingerprints within the radius agree on all but ``radius`` of them. There is a table for each
     way to choose the blocks that agree, in which fingerprints meet by those blocks; a pair counts in the first table that shows it.
+    Keys that more than ``part_rows`` fingerprints share (versions of one text) are split by hash into parts of about that many: a part is
+    held by a task of its own, to which the fingerprints of the parts up to it come, so every pair still meets once.
     Equal fingerprints are one. Null ones have no neighbour.
     """
     n = blocks or radius + 3
@@ -62,12 +64,17 @@ def neighbours(prints: DataFrame, radius: int = 3, blocks: int | None = None) ->
     masks = [signed(mask(t)) for t in tables]
     one = stored(prints.where("fp is not null").select("fp").distinct(), "prints")
     keyed = one.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("table", "key"))
-    a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
+    hot = stored(keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > part_rows), "hot-keys")
+    parts = F.coalesce(F.ceil(F.col("n") / part_rows), F.lit(1))
+    dealt = keyed.join(hot, ["table", "key"], "left").select("table", "key", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).alias("part"))
+    a = dealt.select("table", "key", F.col("fp").alias("a"), F.col("part").alias("a_part"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part"))
+    b = dealt.select("table", "key", F.col("fp").alias("b"), "part")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     agree = [F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(m)) == 0 for m in masks]
     first = reduce(lambda rest, i: F.when(agree[i], i).otherwise(rest), reversed(range(len(masks))), F.lit(None))
-    met = a.join(b, ["table", "key"]).where((F.col("a") < F.col("b")) & (apart <= radius) & (F.col("table") == first))
-    return met.select("a", "b", apart.alias("distance"))
+    once = (F.col("a_part") < F.col("part")) | (F.col("a") < F.col("b"))
+    met = a.join(b, ["table", "key", "part"]).where(once & (apart <= radius) & (F.col("table") == first))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), apart.alias("distance"))
 
 
 def in_order(docs: DataFrame) -> DataFrame:

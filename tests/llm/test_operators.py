@@ -519,7 +519,9 @@ def test_all_neighbours_are_found(spark):
             prints.append(q)
     signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
     df = spark.createDataFrame([(p,) for p in signed] + [(None,), (signed[0],)], "fp long")
-    found = {(r.a, r.b): r.distance for r in simhash.neighbours(df, 3).collect()}
+    rows = simhash.neighbours(df, 3).collect()
+    found = {(r.a, r.b): r.distance for r in rows}
+    assert len(rows) == len(found)
     wanted = {}
     for i, a in enumerate(signed):
         for b in signed[i + 1 :]:
@@ -529,6 +531,17 @@ def test_all_neighbours_are_found(spark):
     assert found == wanted
 
 
+def test_neighbours_under_a_key_that_many_share(spark):
+    rng = random.Random(13)
+    # a block of 48 bits in common: nearly all meet in most tables; flips in the rest put them at every distance
+    prints = sorted({0x123456789ABC << 16 | sum(1 << b for b in rng.sample(range(16), rng.randint(0, 4))) for _ in range(400)})
+    wanted = {(a, b): (a ^ b).bit_count() for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 3}
+    for part_rows in (7, 100, 1024):
+        rows = simhash.neighbours(spark.createDataFrame([(p,) for p in prints], "fp long"), 3, part_rows=part_rows).collect()
+        assert len(rows) == len(wanted)
+        assert {(r.a, r.b): r.distance for r in rows} == wanted
+
+
 # 10
 def test_language_of_held_out_documents(spark, data):
     docs = spark.read.parquet(f"{data}/../sf0.01/documents.parquet")
