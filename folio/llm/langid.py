@@ -126,22 +126,28 @@ def train(rows: list[tuple[str, str]], *, filters: int = 8, epochs: int = 15, ra
     return ByteNet(langs, f, out, bias)
 
 
+#: Texts that a label gives at least, or all it has.
+LEAST_TEXTS = 16
+
+
 def is_held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, *, per_lang: int = 400, sample_chars: int = 1500) -> ByteNet | None:
-    """A network from at most about ``per_lang`` labelled documents a language that aren't held out.
+def fit(docs: DataFrame, *, per_lang: int = 400, sample_chars: int = 1500, most_texts: int = 160_000) -> ByteNet | None:
+    """A network from at most about ``per_lang`` labelled documents a language that aren't held out, and about ``most_texts`` in all.
 
     The sample is a hash threshold for each language, so it is bounded (``per_lang`` + a fluctuation, ``sample_chars`` code points each,
-    from a place in the text that its hash names) and the same on every run. Every language is learned: where there are more than 400,
-    each gives fewer texts, so that the sample keeps its size, but 16 or all it has. None without labelled rows.
+    from a place in the text that its hash names) and the same on every run. Where labels are so many that they pass ``most_texts``, each gives
+    fewer texts, but ``LEAST_TEXTS`` or all it has; labels for which that leaves no room, those with the fewest documents, aren't learned (the
+    ``most_texts`` / ``LEAST_TEXTS`` commonest are), so the driver's share is bounded however many labels there are. None without labelled rows.
     """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~is_held_out())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    commonest = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, most_texts // LEAST_TEXTS))
+    counts = {r["lang"]: r["n"] for r in commonest.collect()}
     if not counts:
         return None
-    per_lang = min(per_lang, max(16, 400 * per_lang // len(counts)))
+    per_lang = min(per_lang, max(LEAST_TEXTS, most_texts // len(counts)))
     shares = session_of(docs).createDataFrame([(k, min(1.0, per_lang / n)) for k, n in sorted(counts.items())], "lang string, share double")
     unit = F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1 << 30)) / float(1 << 30)
     sample_rows = labelled.join(F.broadcast(shares), "lang").where(unit < F.col("share"))

@@ -568,6 +568,13 @@ def test_more_than_400_languages_are_learned(spark):
     assert len(net.langs) > 400
 
 
+def test_the_sample_is_bounded_however_many_labels_there_are(spark):
+    rows = [(i, f"text of {i % 3} and more", "often") for i in range(90)] + [(100 + i, f"other {i % 3} words", "less") for i in range(60)]
+    rows += [(1000 + i, "junk", f"junk{i}") for i in range(30)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_texts=2 * langid.LEAST_TEXTS)
+    assert sorted(net.langs) == ["less", "often"]
+
+
 def test_texts_pass_where_no_language_can_be_learned(spark):
     rows = [(1, "plain words", None), (2, None, None), (3, "", None), (4, "12 34", None), (5, "Größe", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
