@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,3 +388,30 @@ def test_summaries_equal_the_rules_node_by_node(spark):
         wanted = {d: plain_summaries(*trees_of[d], told, context) for d in trees_of}
         assert {r.doc_id: r.failure for r in failures.collect()} == {d: w for d, w in wanted.items() if isinstance(w, str)}
         assert {(r.doc_id, r.node): r.summary for r in found.collect()} == {(d, n): s for d, w in wanted.items() if isinstance(w, dict) for n, s in w.items()}
+
+
+def test_rows_and_texts_go_on_from_batch_to_batch():
+    rng = np.random.default_rng(3)
+    page, y = np.sort(rng.integers(0, 40, 3000)), np.round(rng.random(3000) * 300, 1)
+    order = np.lexsort((y, page))
+    page, y, height = page[order], y[order], rng.choice([1.0, 8.0, 16.0, 40.0], 3000)
+    wanted, before = [], None
+    for p, at, h in zip(page, y, height):
+        if p != before:
+            before, row, first = p, -1, None
+        if first is None or at - first[0] > max(2.0, 0.25 * min(first[1], h)):
+            row, first = row + 1, (at, h)
+        wanted.append(row)
+    cuts = np.unique(np.append([0, 3000], rng.integers(0, 3000, 700)))
+    slices = lambda *columns: (tuple(pa.array(c[i:j]) for c in columns) for i, j in zip(cuts, cuts[1:]))
+    assert np.concatenate([np.asarray(r) for r in layout.number_rows(slices(np.zeros(3000, int), page, y, height))]).tolist() == wanted
+    first = np.append(True, rng.random(2999) < 0.3)
+    texts = [t for batch in layout.chunk_texts(slices([str(i) for i in range(3000)], first, np.append(first[1:], True))) for t in batch.to_pylist()]
+    ends = np.append(np.flatnonzero(first)[1:], 3000)
+    assert [t for t in texts if t is not None] == ["".join(map(str, range(i, j))) for i, j in zip(np.flatnonzero(first), ends)]
+    assert np.flatnonzero([t is not None for t in texts]).tolist() == (ends - 1).tolist()
+
+
+def test_reading_order_moves_no_text(spark, data):
+    plan = registry.queries()["L6_reading_order"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "chunk_texts" not in plan and "MapInArrow" not in plan
