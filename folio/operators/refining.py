@@ -24,6 +24,9 @@ def subdivide_to_end(nodes: DataFrame, pages: DataFrame, proposed: DataFrame) ->
     rejects; its nodes stay out.
     """
     now = stored(trees.spliced(nodes).withColumn("stuck", F.lit(False)), "tree")
+    # rounds read them again
+    pages = stored(pages.select("doc_id", "page", F.length("text").alias("chars"), "navigation_text"), "pages")
+    proposed = stored(proposed, "proposed")
     failed = []
     for _ in range(trees.LEAF_DEPTH + 1):
         sized = trees.node_sizes(now, pages)
@@ -43,6 +46,7 @@ def subdivide_to_end(nodes: DataFrame, pages: DataFrame, proposed: DataFrame) ->
         failed.append(judged.select("doc_id", F.struct(F.lit(len(failed)).alias("round"), F.array().cast("array<int>").alias("path"), "failure").alias("at")))
         dropped(now, leaves, children)
         now = new
+    dropped(pages, proposed)
     none = nodes.sparkSession.createDataFrame([], "doc_id long, at struct<round:int,path:array<int>,failure:string>")
     failures = reduce(DataFrame.union, failed).groupBy("doc_id").agg(F.min("at").alias("at")).select("doc_id", "at.failure") if failed else none.select("doc_id", "at.failure")
     return now.join(failures.select("doc_id"), "doc_id", "left_anti").drop("stuck", "path"), failures
@@ -59,6 +63,7 @@ def summarise_tree(nodes: DataFrame, pages: DataFrame, answer: Callable[[DataFra
     left. Nodes of a depth go on together, the deepest first. A document fails by the last of its nodes, in the order of the tree, that fails: a page too large for
     a window, no evidence at all, or a round that leaves as many parts as it took.
     """
+    nodes = stored(nodes.select(*NODE, "title", "start", "end", "depth", "parent"), "nodes")  # each depth reads them again
     own = stored(trees.own_pages(nodes, pages).join(pages.select("doc_id", "page", "label", "text"), ["doc_id", "page"]), "own")
     has_child = nodes.where("parent is not null").select("doc_id", F.col("parent").alias("node"), F.lit(True).alias("inner")).distinct()
     chars = own.groupBy(*NODE).agg((F.sum(F.length("text")) + F.count("*") - 1).alias("own_chars"))

@@ -293,9 +293,10 @@ def verify_headings(proposed: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def node_sizes(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Nodes with chars, n_pages and leaf. Characters are a running sum over pages at the end less that before the start."""
+    """Nodes with chars, n_pages and leaf. Characters are a running sum over pages at the end less that before the start; pages may have ``chars`` in place of their text."""
     run = Window.partitionBy("doc_id").orderBy("page")
-    sums = pages.select("doc_id", "page", F.length("text").alias("own"), F.sum(F.length("text")).over(run).alias("upto"))
+    chars = F.col("chars") if "chars" in pages.columns else F.length("text")
+    sums = pages.select("doc_id", "page", chars.alias("own"), F.sum(chars).over(run).alias("upto"))
     start = sums.select("doc_id", F.col("page").alias("start"), (F.col("upto") - F.col("own")).alias("low"))
     end = sums.select("doc_id", F.col("page").alias("end"), F.col("upto").alias("high"))
     parents = nodes.where("parent is not null").select("doc_id", F.col("parent").alias("node"), F.lit(True).alias("has")).distinct()

@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import layout, library, reading, trees
+from folio.operators import layout, library, reading, refining, trees
+from folio.plans import registry
 from folio.sources import tables
 from folio.streaming import streams
 
@@ -335,3 +336,22 @@ def test_an_existing_report_is_not_overwritten(spark, tmp_path):
     tables.write_report(df, str(tmp_path / "r"))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         tables.write_report(df, str(tmp_path / "r"))
+
+
+def test_refining_reads_its_inputs_once(spark, data):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(title):
+        asked.add(1)
+        return title
+
+    rows = [(1, d, p, 0, f"t{p}", f"t{p}") for d in range(3) for p in range(1, 61) if p % (20, 5, 2)[d] == 1 or p == 1]
+    proposed = spark.createDataFrame(rows, "doc_id long, depth int, page int, ord int, title string, anchor string").withColumn("anchor", seen.asNondeterministic()("anchor"))
+    pages = spark.createDataFrame([(1, p, f"t{p}", f"t{p}") for p in range(1, 61)], "doc_id long, page int, text string, navigation_text string")
+    nodes = spark.createDataFrame([(1, 0, "t1", 1, 60, 0, None, "layout")], "doc_id long, node int, title string, start int, end int, depth int, parent int, origin string")
+    tree, failures = refining.subdivide_to_end(nodes, pages, proposed)
+    assert failures.count() == 0 and tree.count() > 4
+    assert asked.value == len(rows)
+    for name in ("T23_summaries", "T23_summary_failures"):
+        assert not any("documents" in f and data in f for f in registry.queries()[name](spark, data).inputFiles())
