@@ -9,6 +9,7 @@ from folio.plans.corpus import OUTLINES, outlines
 from folio.plans.derived import CANDIDATES, LEVELS, PAGES, TREE, lines, long_lines, one_a_page, pages, squeeze
 from folio.plans.registry import query
 from folio.sources import tables
+from folio.sources.scratch import stored
 
 
 def tree(spark, sf_dir) -> DataFrame:
@@ -278,13 +279,15 @@ divided AS (
 )"""
 
 
-def divided(spark, sf_dir) -> DataFrame:
-    leaves = trees.oversized_leaves(long_sized(spark, sf_dir))
+def divided(spark, sf_dir, nodes: DataFrame | None = None) -> DataFrame:
+    body = stored(tables.page_texts(long_lines(spark, sf_dir)).select("doc_id", "page", F.length("text").alias("chars"), "navigation_text"), "pages")
+    nodes = trees.build_tree(long_lines(spark, sf_dir)) if nodes is None else nodes
+    leaves = trees.oversized_leaves(trees.node_sizes(nodes, body))
     found = long_lines(spark, sf_dir).join(leaves.select("doc_id", "node", "start", "end"), "doc_id").where("page between start and end and doc_id % 4 <> 3")
     found = found.where("(page % 3 = 0 and doc_id % 4 <> 1) or (page = start and doc_id % 4 <> 2)")
     title = F.substring("text", 1, 40)
     proposed = found.select("doc_id", "node", "page", "ord", title.alias("title"), title.alias("anchor"))
-    return trees.subdivide(leaves, trees.verify_headings(proposed, tables.page_texts(long_lines(spark, sf_dir))))
+    return trees.subdivide(leaves, trees.verify_headings(proposed, body))
 
 
 @query("T21_subdivide", f"WITH {DIVIDED} SELECT * FROM divided")
@@ -301,7 +304,8 @@ def t21(spark, sf_dir):
     SELECT r.doc_id, r.new AS node, r.title, r.start, r."end", r.depth, p.new AS parent, r.origin, r.anchor FROM ranked r LEFT JOIN ranked p ON p.doc_id = r.doc_id AND p.node = r.parent AND p.child = 0""",
 )
 def t21b(spark, sf_dir):
-    return trees.splice(trees.build_tree(long_lines(spark, sf_dir)), divided(spark, sf_dir)).drop("merged_titles")
+    nodes = stored(trees.build_tree(long_lines(spark, sf_dir)), "nodes")
+    return trees.splice(nodes, divided(spark, sf_dir, nodes)).drop("merged_titles")
 
 
 # pages divide leaves by twenties, and what comes of that by fives; every node of the first tree is a boundary too
