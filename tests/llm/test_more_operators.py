@@ -196,6 +196,27 @@ def test_pairs_are_verified_in_one_pass_or_two(spark):
     assert found[0] == found[1] == found[2] == sorted((i, c) for i, _, c in brute_components(rows, 4, 85))
 
 
+def test_rows_dealt_in_passes_link_alike(spark, docs):
+    """Also dense groups that nearest members don't join, so that pairs of open groups are dealt in passes too."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    near = [(1000 + i, " ".join(w if rng.random() > 0.04 else f"x{i}-{k}" for k, w in enumerate(base))) for i in range(40)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
+    one, three = (
+        sorted(map(tuple, clusters.joined_rows(both, ngram_join.shingle_sets(both, 4, 85), ngram_join.Buckets(85), words=4, percent=85, passes=n).select("n_shingles", "component_id", "class_id").collect()), key=str)
+        for n in (1, 3)
+    )
+    assert one == three and len({x[1] for x in one}) < len(one)
+
+
+def test_passes_split_rows_by_whole_groups(spark):
+    rows = spark.range(4000).selectExpr("id % 97 AS signature", "id AS row")
+    parts = [df.collect() for df in clusters.in_passes(rows, 2, lambda part: part, "part")]
+    assert sorted(r.row for part in parts for r in part) == list(range(4000))
+    groups = [{r.signature for r in part} for part in parts]
+    assert all(groups) and not groups[0] & groups[1]
+
+
 # 13
 def brute_divergence(rows, least_docs=3, top=200):
     terms = [Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))) for r in rows]
