@@ -14,6 +14,9 @@ from folio.llm.bpe import LibraryWords, frugal, slices
 from folio.llm.common import session_of, stored
 from folio.llm.token_counts import tokenizer_spec
 
+#: MB of text that a task tokenizes at a time: each distinct word of them meets the library once, so small batches repeat much of its work.
+BATCH_MB = 16
+
 
 @dataclass
 class Bins:
@@ -172,7 +175,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     Null or empty text: the end id alone. Equal rows are packed once each; ids may repeat or be null. An empty table
     gives an empty result. Columns other than ``doc_id`` and ``text`` are not read.
     """
-    pieces = stored(tokenized_pieces(docs, vocabulary, capacity, end_id), "pieces")
+    pieces = stored(tokenized_pieces(docs, vocabulary, capacity, end_id), "pieces", BATCH_MB)
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

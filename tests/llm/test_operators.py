@@ -303,6 +303,21 @@ def test_packing(docs, rows):
     assert len(bins) <= math.ceil(sum(w[3] for w in wanted) / 64) + 2
 
 
+def test_packing_takes_its_texts_in_large_batches(spark, monkeypatch):
+    """12 MB of text in one partition reach the tokenizer as one batch."""
+    def counted(docs, *_):
+        def run(batches):
+            for batch in batches:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, k) for i, k in ((n, pa.int64()), (0, pa.int32()), (0, pa.int64()), (1, pa.int64()), (0, pa.int64()), (0, pa.int32()))] + [pa.array(range(n), pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+
+        return docs.select("text").mapInArrow(run, packing.PIECES)
+
+    monkeypatch.setattr(packing, "tokenized_pieces", counted)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 800) AS text")
+    assert {r.doc_id for r in packing.pack_documents(docs, WORD).select("doc_id").collect()} == {3000}
+
+
 def test_bins_take_two_large_pieces_at_most_and_waste_little():
     rng = random.Random(8)
     for _ in range(60):
