@@ -142,6 +142,15 @@ def test_originals_have_their_digest(spark, data):
     assert found == wanted
 
 
+def test_long_originals_are_digested_in_rounds(spark, tmp_path):
+    """No task reads more than its part; parts may end anywhere, and names may hold what addresses can't."""
+    sizes = {"a": 1, "b b%20#é": 1000, "c": 999, "d": 64 * 40, "e": 2049, "f": 10}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(random.Random(n).randbytes(n))
+    found = {r.file: (r.byte_length, r.sha256) for r in tables.read_originals(spark, str(tmp_path), whole=500, part=333).collect()}
+    assert found == {name: (n, hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()) for name, n in sizes.items()}
+
+
 @pytest.mark.parametrize("name", ["T20_oversized_leaves", "T21_subdivide", "R6_structure_required"])
 def test_long_documents_give_rows(spark, data, name):
     assert registry.queries()[name](spark, data).count()
