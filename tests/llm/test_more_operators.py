@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -217,6 +219,28 @@ def test_passes_split_rows_by_whole_groups(spark):
     assert all(groups) and not groups[0] & groups[1]
 
 
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p.name for d in folders for p in Path(d).glob("*/shuffle_*")}
+
+
+def test_passes_leave_no_shuffle_files(spark, docs):
+    """Those of a pass are gone when the next begins, and those of all steps when the last join begins."""
+    time.sleep(1)  # for Spark's listeners, which hold the query that ended last
+    common.forget_shuffles(spark)
+    before, seen = shuffle_files(spark), []
+    rows = spark.range(4000).selectExpr("id % 97 AS signature", "id AS row")
+
+    def step(part):
+        seen.append(shuffle_files(spark) - before)
+        return part.repartition(3, "signature")
+
+    clusters.in_passes(rows, 3, step, "part")
+    own = docs.select("doc_id", "text")
+    clusters.joined_rows(own, ngram_join.shingle_sets(own, 4, 85), ngram_join.Buckets(85), words=4, percent=85, passes=2)
+    assert [*seen, shuffle_files(spark) - before] == [set()] * 4
+
+
 # 13
 def brute_divergence(rows, least_docs=3, top=200):
     terms = [Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))) for r in rows]
