@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.functions.text import sorted_chars, squeezed
-from folio.sources.tables import latest
+from folio.sources.tables import dealt, latest, parts_of
 
 USAGE = ("modelCalls", "toolCalls", "readPages", "inputTokens", "outputTokens")
 #: Nearest ranks of a distribution.
@@ -68,12 +68,15 @@ def pair_records(ours: DataFrame, theirs: DataFrame, expected: DataFrame, modes:
     return joined.select("mode", "file", "our_status", "our_reason", "their_status", "their_reason", F.when(~ok, "missing_or_mismatched_pair").alias("failure"))
 
 
-def compare_extraction(a: DataFrame, b: DataFrame, block: int = 4096) -> DataFrame:
+def compare_extraction(a: DataFrame, b: DataFrame, block: int = 4096, part_mb: float = 8) -> DataFrame:
     """E5: texts of two extractions (doc_id, page, text): page counts, characters, order, and the pages that differ.
 
     No text of a document is put together. Pages meet by number; characters are counted over the pages that aren't equal, once for one side and
-    once against the other. Order is compared in blocks of ``block`` characters of the document, wherever its pages end on either side.
+    once against the other. Order is compared in blocks of ``block`` characters of the document, wherever its pages end on either side. Pages are dealt in partitions
+    of about ``part_mb`` MB of either side, so a task's rows don't grow with the input.
     """
+    parts = parts_of(a, b, mb=2 * part_mb)
+    a, b = (dealt(df, parts, "doc_id", "page") for df in (a, b))
     left = a.select("doc_id", "page", squeezed(F.coalesce("text", F.lit(""))).alias("sa"), F.lit(1).alias("in_a"))
     right = b.select("doc_id", "page", squeezed(F.coalesce("text", F.lit(""))).alias("sb"), F.lit(1).alias("in_b"))
     both = left.join(right, ["doc_id", "page"], "full").na.fill("", ["sa", "sb"])
@@ -93,12 +96,14 @@ def compare_extraction(a: DataFrame, b: DataFrame, block: int = 4096) -> DataFra
     changed = both.where(moved).select(F.col("doc_id").alias("changed_id")).distinct()
     kept = both.join(changed, F.col("doc_id").eqNullSafe(F.col("changed_id")), "left_semi")
     before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    kept = dealt(kept, parts, "doc_id")
     starts = {f"start_{s}": F.coalesce(F.sum(F.length(f"s{s}")).over(before), F.lit(0)) for s in "ab"}
     placed = kept.withColumns(starts).select("doc_id", sides("s{s} AS text", "start_{s} AS start", "'{s}' = 'a' AS first")).select("doc_id", "s.*").where("text <> ''")
     end = F.col("start") + F.length("text")
     cut = placed.withColumn("k", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     low, high = F.greatest("start", F.col("k") * block), F.least(end, (F.col("k") + 1) * block)
     cut = cut.select("doc_id", "k", "first", F.struct("start", F.substring("text", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("text")).alias("piece"))
+    cut = dealt(cut, parts, "doc_id", "k")
     joined = lambda on: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(on, F.col("piece")))), lambda p: p["text"]), "")
     texts = cut.groupBy("doc_id", "k").agg(joined(F.col("first")).alias("ta"), joined(~F.col("first")).alias("tb"))
     other_order = texts.where("ta <> tb").select("doc_id", F.lit("order").alias("what"))

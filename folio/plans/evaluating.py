@@ -92,7 +92,8 @@ OTHER = "CASE WHEN doc_id % 4 = 1 AND page = 2 THEN concat(text, 'x') WHEN doc_i
     SELECT doc_id, ax <> '' AND ay <> '' AS both_extracted, nx = ny AS same_page_count, array_to_string(list_sort(string_split(ax, '')), '') = array_to_string(list_sort(string_split(ay, '')), '') AS same_characters, ax = ay AS same_order, differing FROM s""",
 )
 def e5(spark, sf_dir):
-    own = pages(spark, sf_dir).select("doc_id", "page", "text")
+    own = lines(spark, sf_dir)
+    own = tables.page_texts(tables.dealt(own, tables.parts_of(own), "doc_id", "page")).select("doc_id", "page", "text")
     other = own.where("not (doc_id % 4 = 3 and page = 3)").select("doc_id", "page", F.expr(OTHER).alias("text"))
     return evaluation.compare_extraction(own, other)
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,19 @@ def test_extractions_meet_wherever_their_pages_end(spark):
     assert {r.doc_id: tuple(r)[1:] for r in found if r.doc_id} == wanted
 
 
+def test_partitions_of_extractions_follow_their_size(spark, tmp_path):
+    found = []
+    for n in (2000, 8000):
+        path = f"file://{tmp_path}/{n}"
+        spark.range(n).selectExpr("id div 5 AS doc_id", "cast(id % 5 AS int) + 1 AS page", "sha2(cast(id AS string), 512) AS text").write.parquet(path)
+        own = spark.read.parquet(path)
+        compared = evaluation.compare_extraction(own, own.where("doc_id % 2 = 0 OR page < 5"), part_mb=0.01)
+        plan = compared._jdf.queryExecution().executedPlan().toString()
+        found.append(max(map(int, re.findall(r"hashpartitioning\(doc_id#\d+L?, page#\d+, (\d+)\)", plan))))
+        assert compared.where("same_page_count").count() == n // 10 == compared.where("differing = ''").count()
+    assert 4 < found[0] and 3 * found[0] < found[1]
+
+
 def test_trees_of_any_depth_are_flattened(spark):
     kind, node = "struct<title string, start_index int, end_index int, summary string>", None
     for d in reversed(range(12)):
