@@ -1,6 +1,7 @@
 """Training-data operators against brute force over small tables with odd rows."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -98,6 +99,40 @@ def test_pieces_joined_equal_whole_texts():
     assert [list(w.batch(column.slice(0, 0))) for w in (counting, LibraryWords(byte, True), LibraryWords(word, False))] == [[]] * 3
 
 
+ODD_WORDS = (
+    ["Haus", "HAUS", "haus,", "Haus.###", "haus's", "haus'", "'s", "haus'.", "ÉTÉ!", "été", "Straße", "ÿ", "J\u030c", "j\u030c.", "H\u0331a", "I\u0307", "İ", "E\u0301", "abc\u0338", "abc<\u0338"]
+    + ["<|endoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>b", "endoftext|>", "<|", "\u0301", "×", "a×b", "ª", "µ", "K", "3rd", "x1", "don't", "DON'T", "(a)", "_a_", "a_", "a\tb", "a\x1c", "Œuvre", "ΟΔΟΣ", "한국", "😀", "", ""]
+)
+
+
+def test_words_of_letters_and_marks_get_the_library_ids():
+    rng = random.Random(3)
+    texts = ["", *ODD_WORDS, *(rng.choice(" \n").join(rng.choice(ODD_WORDS) for _ in range(rng.randint(1, 30))) for _ in range(1500))]
+    texts += ["".join(rng.choice("aBéÉ\u030c\u0331<|>'s.,1 ") for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    with open(WORD, encoding="utf-8") as f:
+        spec = f.read()
+    assert [x.tolist() for x in LibraryWords(spec, False).batch(pa.array(texts))] == ids_of(WORD, texts)
+
+
+def test_words_of_a_vocabulary_with_other_rules_get_the_library_ids():
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.loads(f.read())
+    for rules in ({"normalizer": None}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "WhitespaceSplit"}}):
+        own = json.dumps(spec | rules)
+        wanted = [x.ids for x in Tokenizer.from_str(own).encode_batch(ODD_WORDS, add_special_tokens=False)]
+        assert [x.tolist() for x in LibraryWords(own, False).batch(pa.array(ODD_WORDS))] == wanted
+
+
+def test_letters_meet_the_library_once_whatever_their_case_and_marks():
+    with open(WORD, encoding="utf-8") as f:
+        words = LibraryWords(f.read(), False)
+    met, encode = [], words.encode
+    words.encode = lambda texts, *rest, **more: met.extend(" ".join(texts).lower().split()) or encode(texts, *rest, **more)
+    texts = ["The house, the garden.", "THE HOUSE; The Garden&&&", "house. garden, Thé thé!"]
+    assert [x.tolist() for x in words.batch(pa.array(texts))] == ids_of(WORD, texts)
+    assert sorted(w for w in met if w.isalpha()) == ["garden", "house", "the", "thé"]
+
+
 def test_merging_gives_the_library_ids():
     with open(BYTE, encoding="utf-8") as f:
         table = RankTable(f.read())
