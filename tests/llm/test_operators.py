@@ -109,9 +109,9 @@ def test_words_of_letters_and_marks_get_the_library_ids():
     rng = random.Random(3)
     texts = ["", *ODD_WORDS, *(rng.choice(" \n").join(rng.choice(ODD_WORDS) for _ in range(rng.randint(1, 30))) for _ in range(1500))]
     texts += ["".join(rng.choice("aBéÉ\u030c\u0331<|>'s.,1 ") for _ in range(rng.randint(1, 12))) for _ in range(1500)]
-    with open(WORD, encoding="utf-8") as f:
-        spec = f.read()
-    assert [x.tolist() for x in LibraryWords(spec, False).batch(pa.array(texts))] == ids_of(WORD, texts)
+    for path in (WORD, BYTE):
+        with open(path, encoding="utf-8") as f:
+            assert [x.tolist() for x in LibraryWords(f.read(), path == BYTE).batch(pa.array(texts))] == ids_of(path, texts)
 
 
 def test_words_of_a_vocabulary_with_other_rules_get_the_library_ids():
@@ -133,6 +133,16 @@ def test_letters_meet_the_library_once_whatever_their_case_and_marks():
     assert sorted(w for w in met if w.isalpha()) == ["garden", "house", "the", "thé"]
 
 
+def test_letters_of_a_byte_level_vocabulary_meet_the_library_once_whatever_their_marks():
+    with open(BYTE, encoding="utf-8") as f:
+        words = LibraryWords(f.read(), True)
+    met, encode = [], words.encode
+    words.encode = lambda texts, *rest, **more: met.extend(" ".join(texts).split()) or encode(texts, *rest, **more)
+    texts = ["a house, the garden.", "a house; the garden&&&", "a house. garden, thé thé! The"]
+    assert [x.tolist() for x in words.batch(pa.array(texts))] == ids_of(BYTE, texts)
+    assert sorted(w for w in met if w[0].isalpha() and w != "a") == ["The", "garden", "house", "the", "thé"]
+
+
 def test_merging_gives_the_library_ids():
     with open(BYTE, encoding="utf-8") as f:
         table = RankTable(f.read())
