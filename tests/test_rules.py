@@ -438,3 +438,67 @@ def test_rows_and_texts_go_on_from_batch_to_batch():
 def test_reading_order_moves_no_text(spark, data):
     plan = registry.queries()["L6_reading_order"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "chunk_texts" not in plan and "MapInArrow" not in plan
+
+
+@pytest.fixture
+def short_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("name", ["L1_cluster_rows", "L2_split_chunks", "L3_join_text"])
+def test_words_of_documents_are_not_moved(spark, data, name):
+    plan = registry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # a plan's last lines come first
+
+
+def test_repeated_ids_share_their_pages(spark, short_batches):
+    docs = spark.createDataFrame([(1, "b a"), (2, "c"), (1, "d " * 90), (None, "e f")], "doc_id long, text string").repartition(3)
+    items = tables.items_from_text(tables.by_document(docs, mb=1e-6))
+    chunked = layout.split_chunks(layout.cluster_rows(items, together=True), together=True)
+    moved = layout.split_chunks(layout.cluster_rows(tables.items_from_text(docs)).repartition(3))
+    columns = ["doc_id", "page", "row", "chunk", "x", "seq"]
+    assert sorted(map(tuple, chunked.select(columns).collect()), key=str) == sorted(map(tuple, moved.select(columns).collect()), key=str)
+    lines, apart = layout.join_text(chunked, in_order=True), layout.join_text(moved)
+    assert sorted(map(tuple, lines.drop("text").collect()), key=str) == sorted(map(tuple, apart.drop("text").collect()), key=str)
+
+
+def test_chunks_and_boxes_equal_plain_rules(spark, short_batches):
+    rng = random.Random(4)
+    pick = lambda *options: rng.choice(options)
+    rows = [
+        (d, p, s, p + s % 3, pick("a", "b1", "(c", "d)", "é", "", None, " f"), pick("f", "g", None), round(rng.random() * 300, 1) if rng.random() > 0.05 else None,
+         pick(1.0, 2.5, None), pick(4.0, 9.0, None), pick(8.0, 16.0, None), pick(300.0, 600.0, None), 800.0)
+        for d in (1, 2, None) for p in range(4) for s in range(pick(1, 9, 40))
+    ]
+    kind = "doc_id long, page int, seq int, row int, text string, font string, x double, y double, width double, height double, page_width double, page_height double"
+    groups, wanted = {}, []
+    for r in rows:
+        groups.setdefault((r[0], r[1], r[3]), []).append(r)
+    least = lambda values: min((v for v in values if v is not None), default=None)
+    chunk_of = {}
+    for key, group in groups.items():
+        group.sort(key=lambda r: (r[6] is not None, r[6] or 0, r[7] is not None, r[7] or 0, r[2]))
+        chunk, lines = 0, {}
+        for before, r in zip([None, *group], group):
+            gap = None if before is None or None in (r[6], before[6], before[8]) else r[6] - before[6] - before[8]
+            bounds = [v for v in (r[9] and r[9] * 2.3, r[10] and r[10] * 0.06) if v is not None]
+            chunk += gap is not None and bool(bounds) and gap >= max(bounds)
+            chunk_of[r[0], r[1], r[2]] = chunk
+            own = lines.setdefault(chunk, [])
+            latin = own and None not in (gap, r[9], r[4], before[4]) and re.search("[A-Za-z0-9)]$", before[4]) and re.search("^[A-Za-z0-9(]", r[4])
+            own.append((" " if latin and gap > r[9] * 0.12 else "") + (r[4] or ""))
+            lines.setdefault((chunk, "items"), []).append(r)
+        for c in range(chunk + 1):
+            of = lines[c, "items"]
+            x, end = least(r[6] for r in of), of[-1]
+            width = None if None in (end[6], end[8]) else end[6] + end[8] - x
+            high = [r[9] for r in of if r[9] is not None]
+            wanted.append((*key, c, "".join(lines[c]).strip(), x, least(r[7] for r in of), width, max(high, default=None), of[0][5], of[0][10], of[0][11]))
+    items = spark.createDataFrame(rows, kind).repartition(5)
+    chunked = layout.split_chunks(items)
+    assert {(r.doc_id, r.page, r.seq): r.chunk for r in chunked.collect()} == chunk_of
+    for lines in (layout.join_text(chunked, in_order=True), layout.join_text(chunked.repartition(3))):
+        assert sorted(map(tuple, lines.collect()), key=str) == sorted(wanted, key=str)
+    assert layout.join_text(layout.split_chunks(items.limit(0))).count() == 0
