@@ -502,3 +502,53 @@ def test_chunks_and_boxes_equal_plain_rules(spark, short_batches):
     for lines in (layout.join_text(chunked, in_order=True), layout.join_text(chunked.repartition(3))):
         assert sorted(map(tuple, lines.collect()), key=str) == sorted(wanted, key=str)
     assert layout.join_text(layout.split_chunks(items.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["L5_detect_columns", "L6_reading_order", "L7_page_text"])
+def test_lines_of_documents_are_not_moved(spark, data, name):
+    plan = registry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_order_of_lines_equals_plain_rules(spark, short_batches):
+    rng = random.Random(5)
+    pick = lambda *options: rng.choice(options)
+    rows = []
+    for page in range(60):
+        odd = page % 3 == 0
+        for i in range(pick(1, 8, 30)):
+            x = pick(50.0, 60.0, 330.0, 340.0, *([None, 200.0] if odd else []))
+            y = pick(40.0, 60.0, 100.0, 200.0, 300.0, 750.0, *([None] if odd else []))
+            rows.append((page % 2, page, i // 3, i % 3, f"t{page}-{i}", x, y, pick(100.0, 200.0, *([260.0, 500.0, None] if odd else [])), 612.0, 792.0))
+    kind = "doc_id long, page int, row int, chunk int, text string, x double, y double, width double, page_width double, page_height double"
+    less = lambda a, b: a is not None and b is not None and a < b
+    low = lambda v: (v is not None, v or 0)  # noqa: E731  missing values come first
+    wanted, sides = {}, {}
+    for page in range(60):
+        own = [(r, r[5], r[6], None if None in (r[5], r[7]) else r[5] + r[7], r[7]) for r in sorted((r for r in rows if r[1] == page), key=lambda r: r[2:4])]
+        left = [end for _, x, _, end, _ in own if end is not None and end <= 612 * 0.53 and x < 612 * 0.35]
+        right = [x for _, x, _, _, w in own if x is not None and w is not None and x >= 612 * 0.45 and w < 612 * 0.5]
+        two = len(left) >= 3 and len(right) >= 3 and min(right) - sorted(left)[len(left) // 2] > 612 * 0.035
+        gutter = (max([*left, 0.0]) + min([*right, 612.0])) / 2
+        sides[page] = (gutter, 2 if two else 1, len(left), len(right))
+        cuts = [two and (less(x, gutter) and less(gutter, end) or less(y, 792 * 0.065) or less(792 * 0.92, y)) for _, x, y, end, _ in own]
+        ranked = sorted((i for i in range(len(own)) if cuts[i]), key=lambda i: (low(own[i][2]), i))
+        keys = []
+        for i, (_, x, y, _, _) in enumerate(own):
+            if not two:
+                keys.append((0, 0, low(y), low(x), i))
+            elif cuts[i]:
+                keys.append((ranked.index(i), 2, low(y), 0, i))
+            else:
+                keys.append((sum(low(own[k][2]) <= low(y) for k in ranked), 0 if less(x, gutter) else 1, low(y), 0, i))
+        for place, key in enumerate(sorted(keys)):
+            wanted[own[key[-1]][0][4]] = place
+    assert {s[1] for s in sides.values()} == {1, 2}
+    lines = spark.createDataFrame(rows, kind).repartition(5)
+    columns = layout.detect_columns(lines)
+    assert {r.page: (r.gutter, r.columns, r.n_left, r.n_right) for r in columns.collect()} == sides
+    for ordered in (layout.reading_order(lines), layout.reading_order(lines, columns)):
+        assert {r.text: r.ord for r in ordered.collect()} == wanted
+        for texts in (layout.page_text(ordered, together=True), layout.page_text(ordered.repartition(3))):
+            found = {r.page: r.text.split("\n") for r in texts.collect()}
+            assert {t: i for of in found.values() for i, t in enumerate(of)} == wanted and len(found) == 60
