@@ -106,15 +106,15 @@ class Within:
         return x[near], y[near], apart[near]
 
 
-def _joined(docs: DataFrame, words: int, percent: int, signatures: Signatures, broadcast_rows: int) -> DataFrame:
+def _joined(docs: DataFrame, words: int, percent: int, signatures: Signatures, broadcast_rows: int, count_links: bool = True) -> DataFrame:
     own = docs.select("doc_id", "text")
-    return clusters.joined_rows(own, clusters.signed_sets(own, words, signatures.sign), Within(signatures, percent), words=words, percent=percent, broadcast_rows=broadcast_rows)
+    return clusters.joined_rows(own, clusters.signed_sets(own, words, signatures.sign), Within(signatures, percent), words=words, percent=percent, broadcast_rows=broadcast_rows, count_links=count_links)
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 3, percent: int = 85, signatures: Signatures | None = None, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Components of documents whose sets of word n-grams have a Jaccard similarity of ``percent`` % or more, and which documents stay.
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept (whether it is the row's own), n_links (of those that were compared) and class_id
+    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept (whether it is the row's own), n_links (how many other sets of its component the set links with) and class_id
     (the smallest doc_id with the same set). All pairs within the signature distance are candidates; a similarity of ``percent`` is beyond it with the
     probability that ``Signatures`` states. Candidates that bucket counts can't rule out are confirmed on full sets. Of the rows that share a key, which may be any number, the
     smallest meets the others first; groups that then span several components are finished in blocks (``clusters.joined_rows``).
@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, percent: int = 85, signa
 
 def keep_one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80, signatures: Signatures | None = None) -> DataFrame:
     """Rows of docs, all columns, one of each component, as ``clusters.one_of_each`` chooses it. At 80 % the distance should be larger: 21 chunks reach 41 of 96."""
-    return clusters.one_of_each(docs, _joined(docs, words, percent, signatures or Signatures(chunks=21), 2_000_000))
+    return clusters.one_of_each(docs, _joined(docs, words, percent, signatures or Signatures(chunks=21), 2_000_000, False))
 
 
 def near_sql() -> str:

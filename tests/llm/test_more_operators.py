@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import clusters, common, divergence, langid, minhash, ngram_join, packing, prefix_trie, simhash
-from tests.llm.test_operators import brute_components, corpus, key
+from tests.llm.test_operators import brute_components, corpus, key, sets_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, a string, label string, k_id long, part int, drops string, l_row int, signature string"
 
@@ -211,6 +211,30 @@ def test_rows_dealt_in_passes_link_alike(spark, docs):
     assert one == three and len({x[1] for x in one}) < len(one)
 
 
+def test_links_within_components_are_all_counted(spark, docs, rows):
+    """Copies count as one set; pairs of blocks, whatever their size, give what one block gives."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    near = [(1000 + i, " ".join(w if rng.random() > 0.02 else f"x{i}-{k}" for k, w in enumerate(base))) for i in range(60)]
+    near += [(2000, near[0][1]), (None, near[1][1]), *((i, " ".join(base[:9] * 30) + f" y{i}") for i in range(3000, 3003))]
+    every = [(r[0], r[1]) for r in rows] + near
+    sets = [frozenset(x) for x in sets_of(every, 4)]
+    links = {x: sum(x != y and 100 * len(x & y) >= 85 * len(x | y) for y in {*sets} if y) if x else 0 for x in {*sets}}
+    wanted = sorted(((i, len(x), links[x]) for (i, _), x in zip(every, sets, strict=True)), key=key)
+    assert len({*links.values()}) > 5
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string")).repartition(4)
+    for found in (ngram_join.jaccard_join(both, words=4, percent=85), minhash.near_duplicates(both, words=4, percent=85)):
+        assert sorted(map(tuple, found.select("doc_id", "n_shingles", "n_links").collect()), key=key) == wanted
+    once = {text: i for i, text in near[:60]}
+    only = spark.createDataFrame([(i, text) for text, i in once.items()], "doc_id long, text string").coalesce(1).cache()
+    signed = common.stored(ngram_join.shingle_sets(only, 4, 85), "signed")
+    labels = signed.selectExpr("row AS node", "0L AS label")
+    own = {i: links[x] for (i, _), x in zip(every, sets, strict=True) if i}
+    for block, features in ((512, 1 << 18), (7, 1 << 18), (512, 300), (1, 1)):
+        counted = clusters.link_counts(labels, only, signed, 4, 85, 0, block, features).join(signed, "row")
+        assert {r.doc_id: r.n_links for r in counted.collect()} == {i: own[i] for i in once.values()}
+
+
 def test_passes_split_rows_by_whole_groups(spark):
     rows = spark.range(4000).selectExpr("id % 97 AS signature", "id AS row")
     parts = [df.collect() for df in clusters.in_passes(rows, 2, lambda part: part, "part")]
